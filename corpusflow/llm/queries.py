@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from corpusflow.llm.neardup import op3_minhash_neardup
 from corpusflow.llm.packing import op7_best_fit_packing
+from corpusflow.llm.quality import op9_adaptive_quality
+from corpusflow.llm.sentpiece import op2_sentencepiece
+from corpusflow.llm.substrings import op10_substring_dedup
+from corpusflow.llm.tokenfiles import op6_token_id_files
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_minhash_neardup": op3_minhash_neardup,
+    "op6_token_id_files": op6_token_id_files,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_adaptive_quality": op9_adaptive_quality,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL where SQL can express the query; the others are held against brute force in tests/llm.
