@@ -23,6 +23,7 @@ each other's windows and lose them. An empty table gives no rows. All other colu
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -126,24 +127,39 @@ def _texts(column) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+#: Phrases of one automaton; more of them make more automata over the same texts.
+SHARD_PHRASES = 40_000
+
+
 def locate_phrases(words: Words, places: np.ndarray, phrase: int) -> np.ndarray:
-    """Marks at each word where one of the phrases that start at `places` occurs, located by an automaton."""
+    """Marks at each word where one of the phrases that start at `places` occurs, located by automata.
+
+    A word is three characters, the digits of its number among the words of the automaton's phrases, each place of the
+    number with digits of its own; any other word, and the gap between texts, is three zeros. So an occurrence is one of
+    whole words within one text, and a node of the automaton has few children, which it searches one by one.
+    """
     import ahocorasick
 
     marks = np.zeros(len(words.hashes), bool)
-    if not len(places):
-        return marks
-    number = np.unique(words.hashes, return_inverse=True)[1].astype(np.int64) + 1
-    sequence = number.tolist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p in places.tolist():
-        automaton.add_word(tuple(sequence[p : p + phrase]), 1)
-    automaton.make_automaton()
-    found = []
-    for lo, hi in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        if hi - lo >= phrase:
-            found += [lo + end for end, _ in automaton.iter(tuple(sequence[lo:hi]))]
-    marks[np.array(found, np.int64) - phrase + 1] = True
+    fence = np.zeros(len(words.hashes) + len(words.first), bool)
+    fence[words.first + np.arange(len(words.first))] = True  # a place before each text, and one at the end
+    word_of = np.cumsum(~fence) - 1
+    for lo in range(0, len(places), SHARD_PHRASES):
+        own = places[lo : lo + SHARD_PHRASES]
+        known = np.unique(words.hashes[(own[:, None] + np.arange(phrase)).ravel()])
+        base = int(np.ceil(len(known) ** (1 / 3))) + 1
+        number = np.searchsorted(known, words.hashes)
+        digits = np.stack([number // base**2, number // base % base + base, number % base + 2 * base], axis=1) + 1
+        digits[~_members(known, words.hashes)] = 0
+        letters = np.zeros((len(fence), 3), "<u4")
+        letters[~fence] = digits
+        text = letters.tobytes().decode("utf-32-le")
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p in (3 * np.flatnonzero(~fence)[own]).tolist():
+            automaton.add_word(text[p : p + 3 * phrase], 1)
+        automaton.make_automaton()
+        found = np.fromiter((end for end, _ in automaton.iter(text)), np.int64) // 3 - phrase + 1
+        marks[word_of[found]] = True
     return marks
 
 
@@ -191,22 +207,19 @@ def drop_repeats(docs: DataFrame, window: int = 35, phrase: int = 12, bucket_byt
             words = words_of(texts[lo:hi])
             starts = np.flatnonzero(ngram_places(words.first, window))
             h = ngram_hashes(words.hashes, window)[starts]
-            edges = np.zeros(len(words.hashes) + 1, np.int64)
             starts = starts[_members(known, h)]
-            np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + window, -1)
+            n = len(words.hashes)
+            edges = np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1)
             gone = np.cumsum(edges)[:-1] > 0
-            data = words.data.tobytes()
-            for i in range(hi - lo):
-                a, z = int(words.first[i]), int(words.first[i + 1])
-                lost = int(gone[a:z].sum())
-                kept = [data[p:q] for p, q in zip(words.begin[a:z][~gone[a:z]].tolist(), words.end[a:z][~gone[a:z]].tolist())] if lost else texts[lo + i].translate(_TO_SPACE).split(" ")
-                kept = b" ".join(kept) if lost else " ".join(filter(None, kept)).encode("utf-8", "surrogatepass")
+            lost_by = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
+            for i, (a, z, lost) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), lost_by.tolist())):
+                every = texts[lo + i].translate(_TO_SPACE).split(" ")
+                kept = " ".join(compress(filter(None, every), (~gone[a:z]).tolist()) if lost else filter(None, every))
                 if lost:
-                    out[lo + i] = kept.decode("utf-8", "surrogatepass")
+                    out[lo + i] = kept
                 n_words.append(z - a)
                 n_removed.append(lost)
-                digests.append(hashlib.sha256(kept).hexdigest())
+                digests.append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest())
         made = {c: (pa.array(out, pa.string()) if c == "text" else left.column(c)) for c in columns}
         made |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table({f.name: made[f.name] for f in result.fields})
