@@ -8,7 +8,8 @@ Sets are the distinct 5-word shingles of a document (as 64-bit hashes). Document
    `miss`. Survivors that still join different components are verified exactly on the full sets, smallest partners
    first, and merge components; this repeats until no unverified survivor joins two components.
 3. Buckets that hold more than one component after that compare all their members across components, in blocks of
-   bounded size, under the same Bayesian test; survivors are verified as before.
+   bounded size, under the same Bayesian test. Each document of the lighter component puts up its best survivors, which
+   are verified as before; what then is still apart puts up eight times as many, until no survivor is left out.
 
 A pair within one component changes nothing, so a large group of copies costs a link or a few for each member, and no
 list of all its pairs is ever made. What two documents can be missed for is sharing no band, or the pruning at `miss`.
@@ -147,7 +148,7 @@ def verify(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
     side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -156,7 +157,6 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is two grouped minima and two joins; the rounds grow with the logarithm of the longest path.
     """
     current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    seen = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -165,10 +165,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         current = materialize(small, "cc")
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
+        # done once every node points at one node, and that node at none
+        forked = current.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi")
+        if forked.isEmpty() and current.join(current.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
-        seen = tuple(state)
     top = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(top)
 
@@ -194,7 +194,7 @@ class Linker:
     def absorb(self, survivors: DataFrame) -> None:
         """Verify survivors, few for each document first, until those left join no two components."""
         order = Window.partitionBy("a").orderBy("b")
-        for most in (2, 16, None):
+        for most in (4, None):
             picked = self.apart(survivors)
             if most:
                 picked = picked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
@@ -208,20 +208,24 @@ class Linker:
                 self.labels = components(self.edges)
 
 
-def mixed_pairs(members: DataFrame, signatures: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs across components of one bucket that pass the Bayesian test; members: key, id, component, size.
+def mixed_pairs(members: DataFrame, signatures: DataFrame, p: NearDup, most: int) -> DataFrame:
+    """Pairs across components of one bucket that pass the Bayesian test; members: key, id, component, weight (number of
+    documents in the component), size (of the bucket). For each document of the lighter component the `most` best in each
+    unit of work; more says that it had others.
 
     Buckets of more than `block` members are cut into blocks by hash, and each pair of blocks is a unit of work.
     """
     n = F.ceil(F.col("size") / F.lit(p.block)).cast("int")
     rows = members.withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") < F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("both"), "id", "component")
+    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") < F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("both"), "id", "component", "weight")
     rows = rows.join(signatures, "id").withColumn("unit", F.xxhash64("key", "x", "y"))
-    rows = rows.select("unit", "first", "both", "id", "component", "sig").repartition("unit").sortWithinPartitions("unit")
+    rows = rows.select("unit", "first", "both", "id", "component", "weight", "sig").repartition("unit").sortWithinPartitions("unit")
     steps = least_matches(p)
 
-    def compare(ids, comp, sig, first, both):
+    def compare(ids, comp, weight, sig, first, both):
+        """a lighter than b (ties by component), and a's best partners by matches, then id."""
         left, right = np.flatnonzero(both | first), np.flatnonzero(both | ~first)
+        light, heavy, score = [], [], []
         for lo in range(0, len(left), 64):
             some = left[lo : lo + 64]
             i, j = np.nonzero((comp[some][:, None] != comp[right][None, :]) & ~(both[some][:, None] & (ids[some][:, None] <= ids[right][None, :])))
@@ -230,8 +234,19 @@ def mixed_pairs(members: DataFrame, signatures: DataFrame, p: NearDup) -> DataFr
                 matches += (sig[i, done:n] == sig[j, done:n]).sum(axis=1)
                 ok = matches >= least
                 i, j, matches, done = i[ok], j[ok], matches[ok], n
-            if len(i):
-                yield np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
+            swap = (weight[i] > weight[j]) | ((weight[i] == weight[j]) & (comp[i] > comp[j]))
+            light.append(np.where(swap, j, i))
+            heavy.append(np.where(swap, i, j))
+            score.append(matches)
+        light, heavy, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (light, heavy, score))
+        order = np.lexsort((ids[heavy], -score, light))
+        light, heavy = light[order], heavy[order]
+        begin = np.flatnonzero(np.concatenate([[True], light[1:] != light[:-1]])) if len(light) else np.zeros(0, np.int64)
+        number = np.diff(np.append(begin, len(light)))
+        keep = np.arange(len(light)) - np.repeat(begin, number) < most
+        more = np.repeat(number > most, number)[keep]
+        x, y = ids[light[keep]], ids[heavy[keep]]
+        return np.maximum(x, y), np.minimum(x, y), more
 
     def run(batches):
         kept: pa.Table | None = None
@@ -240,26 +255,26 @@ def mixed_pairs(members: DataFrame, signatures: DataFrame, p: NearDup) -> DataFr
             unit = table.column("unit").to_numpy()
             cut = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
             ends = np.append(cut[1:], len(unit))
-            ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+            ids, comp, weight = (table.column(c).to_numpy() for c in ("id", "component", "weight"))
             first, both = (table.column(c).to_numpy() for c in ("first", "both"))
             sig = _matrix(table.column("sig"), p.hashes)
             for a, z in zip(cut, ends) if last else zip(cut[:-1], ends[:-1]):
-                yield from compare(ids[a:z], comp[a:z], sig[a:z], first[a:z], both[a:z])
+                yield compare(ids[a:z], comp[a:z], weight[a:z], sig[a:z], first[a:z], both[a:z])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([kept, table]) if kept is not None else table
             if not table.num_rows:
                 continue
-            for a, b in units(table, False):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for found in units(table, False):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "more"])
             unit = table.column("unit").to_numpy()
             kept = table.slice(int(np.searchsorted(unit, unit[-1])))
         if kept is not None:
-            for a, b in units(kept, True):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for found in units(kept, True):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "more"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -296,10 +311,17 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     stars = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     linker.absorb(materialize(bayes_filter(stars, signatures, p), "stars"))
     linker.tested = linker.tested.unionByName(stars)  # pruned ones included
-    labelled = linker.labelled(members.select("key", "id", "size"), "id", "component")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = labelled.where("size > 2").join(mixed, "key", "left_semi")
-    linker.absorb(materialize(mixed_pairs(rest, signatures, p).join(stars, ["a", "b"], "left_anti"), "mixed"))
+    most = 2
+    while True:
+        labelled = linker.labelled(members.where("size > 2").select("key", "id", "size"), "id", "component")
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        weights = linker.labels.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+        rest = labelled.join(mixed, "key", "left_semi").join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+        found = materialize(mixed_pairs(rest, signatures, p, most), "mixed")
+        linker.absorb(found.select("a", "b"))
+        if found.where("more").isEmpty():
+            break
+        most *= 8
 
     found = reps.join(linker.labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     rows = features.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
