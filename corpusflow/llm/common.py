@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """About `size` rows, those whose hash of `keys` is smallest; never more than twice as many, whatever the table.
+
+    The threshold follows from the row count, so no partition sends more than its share to the driver.
+    """
+    n = df.count()
+    if n > size:
+        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(2**40)) < int(2**40 * size / n))
+    return df.limit(2 * size)
+
+
 def text_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow string column; null becomes the empty text."""
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -59,16 +59,19 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
     Each window's 64-bit hash gives way in its low bits to the window's position; once sorted, equal hashes are
     neighbours. The hash keeps 64 - log2(number of words) bits.
     """
+    left = lambda x, n: F.call_function("shiftleft", x, n)
+    right = lambda x, n: F.call_function("shiftright", x, n)
+
     def marked(w: Column) -> Column:
         n = F.size(w)
         bits = F.ceil(F.log2(n + F.lit(1.0))).cast("int")
-        keys = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.shiftleft(F.shiftright(F.xxhash64(*(F.get(w, i + k) for k in range(width))), bits), bits).bitwiseOR(i.cast("long")))
+        keys = F.transform(F.sequence(F.lit(0), n - width), lambda i: left(right(F.xxhash64(*(F.get(w, i + k) for k in range(width))), bits), bits).bitwiseOR(i.cast("long")))
 
         def covered(s: Column) -> Column:
             # the array holds each element beside its neighbours: of equal hash means equal above the low bits
-            same = lambda a, b: F.shiftright(a, bits) == F.shiftright(b, bits)
+            same = lambda a, b: right(a, bits) == right(b, bits)
             at = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
-            places = F.array_sort(F.transform(at, lambda x: x - F.shiftleft(F.shiftright(x, bits), bits)))
+            places = F.array_sort(F.transform(at, lambda x: x - left(right(x, bits), bits)))
             return _let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(width).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(width).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x))
 
         return _let(F.sort_array(keys), covered)
@@ -148,20 +151,22 @@ def group_fences(features: DataFrame, rules: Rules) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """docs with the features, base_failed and kept added; documents that fail a fence or the base rule are not kept."""
-    missing = [c for c in ("lang", "source") if c not in docs.columns]
-    docs = docs.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else docs
+    """One row per row of docs: row (all its columns, whatever their names, as a struct), the features, base_failed and
+    kept. Documents that fail a fence or the base rule are not kept."""
     base = (F.col("n_words") < rules.min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(rules.max_repeat_percent) * F.col("n_words"))
-    features = materialize(text_features(docs.select("doc_id", "lang", "source", "text")).drop("text").withColumn("base_failed", base), "quality-features")
+    own = [(F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source", "text")]
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), *own)
+    features = materialize(text_features(rows).drop("text").withColumn("base_failed", base), "quality-features")
     features = _shares(features)
-    fences = group_fences(features, rules)
+    fences = group_fences(features.drop("row"), rules)
     inside = F.lit(True)
     for f in FEATURES:
         inside = inside & F.coalesce(F.col(f) >= F.col(f"fence.lo_{f}"), F.lit(True)) & F.coalesce(F.col(f) <= F.col(f"fence.hi_{f}"), F.lit(True))
-    # the fences number languages times sources: a bound that a join by hash leaves to the optimiser
+    # the fences number languages times sources; the optimiser sees their size and chooses the join
     joined = features.join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), *FEATURES)
+    return joined.select("row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), *FEATURES)
 
 
 def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_quality(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = judge_quality(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

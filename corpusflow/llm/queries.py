@@ -1,7 +1,11 @@
-"""Registry of the corpus operators: one query each over its whole table, and the pipeline."""
+"""Registry of the corpus operators: one query each over its whole table."""
 
 from __future__ import annotations
 
+from corpusflow.llm.ann import op1_projected_neighbours
+from corpusflow.llm.chat import op4_chat_formatting
+from corpusflow.llm.htmltext import op5_html_extraction
+from corpusflow.llm.linededup import op8_line_templates
 from corpusflow.llm.neardup import op3_minhash_neardup
 from corpusflow.llm.packing import op7_best_fit_packing
 from corpusflow.llm.quality import op9_adaptive_quality
@@ -10,10 +14,14 @@ from corpusflow.llm.substrings import op10_substring_dedup
 from corpusflow.llm.tokenfiles import op6_token_id_files
 
 QUERIES = {
+    "op1_projected_neighbours": op1_projected_neighbours,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_html_extraction": op5_html_extraction,
     "op6_token_id_files": op6_token_id_files,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_line_templates": op8_line_templates,
     "op9_adaptive_quality": op9_adaptive_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -11,8 +11,8 @@ File format. A store is a folder with two Parquet tables written by Spark's comm
 A document is read by its block (first_doc_id and last_doc_id are Parquet statistics), its place in doc_ids and
 its two offsets; no other frame is touched. Shards hold ascending ranges of doc_id, so the store is in doc_id order.
 
-The dictionary is trained on a bounded sample (`sample_docs` documents, those with the smallest hash of doc_id,
-the first `sample_bytes` of each), a parameter of compression alone; every document is encoded whole.
+The dictionary is trained on a bounded sample (`sample_docs` documents, about those with the smallest hash of
+doc_id, the first `sample_bytes` of each), a parameter of compression alone; every document is encoded whole.
 
 Nulls: a null text is the empty text (just the end id); a null doc_id sorts first. Equal doc_ids are ordered by text.
 An empty table gives an empty store. Other columns are ignored.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import read_table, shared_dir, text_of
+from corpusflow.llm.common import bounded_sample, read_table, shared_dir, text_of
 from corpusflow.llm.wordcodec import library_codec
 
 BLOCKS = (
@@ -48,9 +48,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, s
     """A zstandard dictionary from the serialized ids of the sample; empty where the sample is too small for one."""
     import zstandard
 
-    picked = docs.select("doc_id", F.substring("text", 1, sample_bytes).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    picked = bounded_sample(docs.select("doc_id", F.substring("text", 1, sample_bytes).alias("text")), sample_docs, "doc_id")
     codec, end = library_codec(tokenizer), np.array([end_id], "<u4").tobytes()
-    samples = [_serialized(codec.encode(r["text"] or "") + end, width) for r in picked.collect()]  # at most sample_docs rows
+    samples = [_serialized(codec.encode(r["text"] or "") + end, width) for r in picked.collect()]  # at most twice sample_docs rows
     try:
         return zstandard.train_dictionary(min(dict_bytes, sum(map(len, samples)) // 8), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):

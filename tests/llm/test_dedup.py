@@ -122,7 +122,7 @@ def test_quality_counts(spark, source):
     texts = defaultdict(set)
     for r in docs.collect():
         texts[r["doc_id"]].add(brute_quality(r["text"]))
-    got = quality.judge_quality(docs).collect()
+    got = quality.judge_quality(docs).select("row.doc_id", "*").collect()
     assert len(got) == docs.count()
     for r in got:
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) in texts[r["doc_id"]], r
