@@ -2,8 +2,8 @@
 
 A line is its tokens, those with a digit replaced by a wildcard. The tree has a level for the number of tokens and one
 for each of the first `depth` tokens; its leaves hold the templates. A template recurs if at least `min_docs` documents
-have it, and in different surroundings: the leaves of the lines before and after it must differ in at least
-`min_contexts` of those documents. So a line that many documents share goes, while the lines of a text that was copied
+have it, and in different surroundings: the leaves of the lines before and after it (where a document has it first) must
+differ in at least `min_contexts` of those documents. So a line that many documents share goes, while the lines of a text that was copied
 many times, which keep their neighbours, are left to document-level deduplication.
 
 1. Lines with the same tokens are one template.
@@ -62,7 +62,7 @@ def _parsed(p: Lines) -> Column:
 
 def _recurring(lines: DataFrame, by: str, p: Lines) -> DataFrame:
     """Values of `by` that enough documents have in enough different surroundings, with the number of documents."""
-    once = lines.groupBy(by, "key").agg(F.min("context").alias("context"))
+    once = lines.groupBy(by, "key").agg(F.min_by("context", "pos").alias("context"))  # of its first place
     spread = once.groupBy(by, "context").agg(F.count(F.lit(1)).alias("docs"))
     total = spread.groupBy(by).agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("contexts"))
     return total.where((F.col("docs") >= p.min_docs) & (F.col("contexts") >= F.col("docs") * p.min_contexts)).select(by, "docs")

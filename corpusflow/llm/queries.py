@@ -1,4 +1,5 @@
-"""Registry of the corpus operators: one query each over its whole table."""
+"""Registry of the corpus operators: one query each over its whole table, and DuckDB SQL for those that SQL can express;
+the others are held against brute force in tests/llm."""
 
 from __future__ import annotations
 
@@ -7,12 +8,15 @@ from corpusflow.llm.chat import op4_chat_formatting
 from corpusflow.llm.htmltext import op5_html_extraction
 from corpusflow.llm.linededup import op8_line_templates
 from corpusflow.llm.neardup import op3_minhash_neardup
+from corpusflow.llm.oracles import ORACLES
 from corpusflow.llm.packing import op7_best_fit_packing
 from corpusflow.llm.quality import op9_adaptive_quality
 from corpusflow.llm.sentpiece import op2_sentencepiece
 from corpusflow.llm.substrings import op10_substring_dedup
 from corpusflow.llm.tokenfiles import op6_token_id_files
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_projected_neighbours": op1_projected_neighbours,
     "op2_sentencepiece": op2_sentencepiece,
@@ -25,6 +29,3 @@ QUERIES = {
     "op9_adaptive_quality": op9_adaptive_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
-
-#: DuckDB SQL where SQL can express the query; the others are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {}

@@ -31,9 +31,8 @@ def brute_lines(rows, p=linededup.Lines()):
             if t:
                 around = (lines[i - 1][1] if i else None, lines[i + 1][1] if i + 1 < len(lines) else None)
                 for of, what in ((docs_of, t), (leaf_docs, leaf)):
-                    of[what].setdefault(key, set()).add(around)
-    # one surrounding stands for a document; which one does not matter in these tables unless a line repeats in it
-    enough = lambda d: len(d) >= p.min_docs and len({min(s, key=repr) for s in d.values()}) >= p.min_contexts * len(d)
+                    of[what].setdefault(key, around)
+    enough = lambda d: len(d) >= p.min_docs and len(set(d.values())) >= p.min_contexts * len(d)
     gone = {t for t, d in docs_of.items() if enough(d)}
     leaves = {leaf for leaf, d in leaf_docs.items() if enough(d) and leaf[0] >= p.min_tokens}
     members = defaultdict(dict)
