@@ -40,7 +40,7 @@ def category_summary(facts: DataFrame, categories: DataFrame, models: DataFrame,
 
 def overall_unweighted(summary: DataFrame, model: str = "model", columns: tuple[str, ...] = ("llm_accuracy", "avg_correctness", "avg_latency")) -> DataFrame:
     """Means over categories of the categories' means, each category counting once."""
-    return summary.groupBy(model).agg(*(F.bround(F.avg(c), 4).alias(c) for c in columns))
+    return summary.groupBy(model).agg(*(F.round(F.avg(c), 6).alias(c) for c in columns))
 
 
 def metric_winners(summary: DataFrame, by: str, model: str, metrics: list[str], order: str | None = None) -> DataFrame:

@@ -219,7 +219,7 @@ def p95_floor_index(spark, sf_dir):
     return rows.groupBy("g").agg(F.round(metrics.p95_by_index(F.collect_list("latency")), 3).alias("p95"))
 
 
-@query(f"WITH {_SUMMARY} SELECT model, round_even(avg(llm_accuracy), 4) AS llm_accuracy, round_even(avg(avg_correctness), 4) AS avg_correctness, round_even(avg(avg_latency), 4) AS avg_latency FROM summary GROUP BY model")
+@query(f"WITH {_SUMMARY} SELECT model, round(avg(llm_accuracy), 6) AS llm_accuracy, round(avg(avg_correctness), 6) AS avg_correctness, round(avg(avg_latency), 6) AS avg_latency FROM summary GROUP BY model")
 def overall_unweighted(spark, sf_dir):
     return evaluation.overall_unweighted(_summary(spark, sf_dir))
 
@@ -240,7 +240,7 @@ def category_winner_tie(spark, sf_dir):
 _BAR = lambda x: f"repeat('█', greatest(0, least(20, floor({x} * 20)))::INT) || repeat('░', 20 - greatest(0, least(20, floor({x} * 20)))::INT)"
 
 
-@query(f"""WITH {_SUMMARY}, o AS (SELECT model, round_even(avg(avg_correctness), 4) AS avg_correctness FROM summary GROUP BY model)
+@query(f"""WITH {_SUMMARY}, o AS (SELECT model, round(avg(avg_correctness), 6) AS avg_correctness FROM summary GROUP BY model)
 SELECT model, avg_correctness, (row_number() OVER (ORDER BY avg_correctness DESC, model))::INT AS rank, {_BAR("avg_correctness")} AS bar FROM o""")
 def model_ranking(spark, sf_dir):
     return evaluation.model_ranking(evaluation.overall_unweighted(_summary(spark, sf_dir)), "model", "avg_correctness")
