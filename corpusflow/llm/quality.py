@@ -150,12 +150,12 @@ def group_fences(features: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def judge_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per row of docs: row (all its columns, whatever their names, as a struct), the features, base_failed and
-    kept. Documents that fail a fence or the base rule are not kept."""
+def judge_quality(docs: DataFrame, rules: Rules = Rules(), carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: row (its columns, or those of carry, whatever their names, as a struct), the features,
+    base_failed and kept. Documents that fail a fence or the base rule are not kept."""
     base = (F.col("n_words") < rules.min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(rules.max_repeat_percent) * F.col("n_words"))
     own = [(F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source", "text")]
-    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), *own)
+    rows = docs.select(F.struct(*(f"`{c}`" for c in carry or docs.columns)).alias("row"), *own)
     features = materialize(text_features(rows).drop("text").withColumn("base_failed", base), "quality-features")
     features = _shares(features)
     fences = group_fences(features.drop("row"), rules)
@@ -168,5 +168,5 @@ def judge_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge_quality(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    out = judge_quality(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
