@@ -53,12 +53,23 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return out
 
 
+def runs(values: Column) -> Column:
+    """Array of (value, n) of the distinct values of an array and how often each occurs, ascending; linear after the sort.
+    Null for an empty array."""
+
+    def ends(s: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == F.size(s) - 1) | (F.get(s, i) != F.get(s, i + 1)))
+        return let(last, lambda e: F.transform(e, lambda at, j: F.struct(F.get(s, at).alias("value"), (at - F.coalesce(F.get(e, j - 1), F.lit(-1))).alias("n"))))
+
+    return let(F.array_sort(values), lambda s: F.when(F.size(s) > 0, ends(s)))
+
+
 def token_f1(left: Column, right: Column) -> Column:
-    """F1 of two bags of words, 0 without a common word. Bags are compared as sorted arrays of numbered tokens."""
+    """F1 of two bags of words, 0 without a common word. A bag is the set of its words with the number of the occurrence."""
 
     def numbered(tokens: Column) -> Column:
-        # the k-th occurrence of a token is an element of its own, so a bag is a set
-        return let(F.array_sort(tokens), lambda s: F.transform(s, lambda t, i: F.concat_ws("\x01", t, (i - F.array_position(s, t) + 1).cast("string"))))
+        each = F.flatten(F.transform(runs(tokens), lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda k: F.concat_ws("\x01", r["value"], k.cast("string")))))
+        return F.coalesce(each, F.array().cast("array<string>"))
 
     def score(pair: Column) -> Column:
         a, b = pair["a"], pair["b"]

@@ -6,11 +6,12 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.config import DEFAULT
-from corpusflow.functions.text import word_tokens
+from corpusflow.functions.text import let, runs, word_tokens
 
 #: Rows of a block of vectors and of queries in a top-k join: what one task holds at a time.
 VECTOR_BLOCK, QUERY_BLOCK = 20_000, 1_000
@@ -36,32 +37,46 @@ def top_k(vectors: DataFrame, query: list[float], k: int = DEFAULT.top_k, where:
     return rows.withColumn("distance", cosine_distance(F.col(column), literal)).orderBy("distance", vec_id).limit(k)
 
 
-def top_k_join(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, vec_id: str = "vec_id", column: str = "embedding", query_id: str = "query_id") -> DataFrame:
+def top_k_join(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT.top_k, vec_id: str = "vec_id", column: str = "embedding", query_id: str = "query_id", dims: int | None = None) -> DataFrame:
     """query_id, vec_id, distance, rank of the k nearest vectors of each query (query_id, column), exactly.
 
     Blocks of vectors meet blocks of queries, one matrix product a pair; each pair of blocks sends k rows a query, so what is
-    shuffled is both tables once per block of the other, and the k best of each block.
+    shuffled is both tables once per block of the other, and the k best of each block. Vectors are arrays of numbers or, with
+    dims, sparse: arrays of (d, w). Ids are longs or strings.
     """
     counts = [max(1, -(-df.count() // n)) for df, n in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK))]
+    kinds = dict(vectors.dtypes)[vec_id], dict(queries.dtypes)[query_id]
+    vec = lambda: F.col(column) if dims else F.col(column).cast("array<double>")
     side = lambda df, key, own, other: df.select(
-        F.pmod(F.xxhash64(key), F.lit(counts[own])).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(counts[other] - 1))).alias("other"), F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vec")
+        F.pmod(F.xxhash64(key), F.lit(counts[own])).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(counts[other] - 1))).alias("other"), F.col(key).alias("id"), vec().alias("vec")
     )
     left = side(vectors, vec_id, 0, 1).withColumnsRenamed({"own": "v", "other": "q"})
     right = side(queries, query_id, 1, 0).withColumnsRenamed({"own": "q", "other": "v"})
 
+    def matrix(table: pa.Table) -> np.ndarray:
+        if not dims:
+            return np.array(table.column("vec").to_pylist(), float)
+        lists = table.column("vec").combine_chunks()
+        out = np.zeros((len(lists), dims))
+        entries = lists.flatten()
+        rows = np.repeat(np.arange(len(lists)), np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)))
+        out[rows, entries.field("d").to_numpy()] = entries.field("w").to_numpy()
+        return out
+
     def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, asked = a.column("id").to_numpy(), b.column("id").to_numpy()
-        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if len(ids) and len(asked):
-            x, y = (np.array(t.column("vec").to_pylist(), float) for t in (a, b))
+        ids, asked = a.column("id").to_pylist(), b.column("id").to_pylist()
+        q, v, found = [], [], np.zeros(0)
+        if ids and asked:
+            x, y = matrix(a), matrix(b)
             with np.errstate(invalid="ignore", divide="ignore"):
                 d = 1 - (y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None])
             d = np.where(np.isnan(d), np.inf, np.round(d, 12))
-            best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-            found = (np.repeat(asked, best.shape[1]), ids[best].ravel(), np.take_along_axis(d, best, axis=1).ravel())
-        return pa.table({"query_id": pa.array(found[0]), "vec_id": pa.array(found[1]), "distance": pa.array(found[2])})
+            place = np.argsort(np.argsort(np.array(ids)))  # ids in order, so that ties go to the smaller
+            best = np.lexsort((np.broadcast_to(place, d.shape), d), axis=1)[:, :k]
+            q, v, found = np.repeat(np.arange(len(asked)), best.shape[1]), best.ravel(), np.take_along_axis(d, best, axis=1).ravel()
+        return pa.table({"query_id": pa.array([asked[i] for i in q], b.schema.field("id").type), "vec_id": pa.array([ids[i] for i in v], a.schema.field("id").type), "distance": pa.array(found)})
 
-    pairs = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(nearest, "query_id long, vec_id long, distance double")
+    pairs = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(nearest, f"query_id {kinds[1]}, vec_id {kinds[0]}, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -81,25 +96,18 @@ class HashingEmbedder:
     def vector(self, text: Column) -> Column:
         """Token counts by pmod(crc32(token), dims), over their norm; zeros for a text without tokens."""
         at = F.transform(word_tokens(text), lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(self.dims)).cast("int"))
-        # sorted places give runs; the j-th dimension's count is a difference of two run ends
-        counted = F.transform(F.array_distinct(F.array_sort(at)), lambda d: F.struct(d.alias("d"), F.size(F.filter(at, lambda x: x == d)).cast("double").alias("n")))
-        size = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda a, s: a + s["n"] * s["n"]))
-        return F.transform(counted, lambda s: F.struct(s["d"].alias("d"), (s["n"] / size).alias("w")))
+
+        def scaled(counted: Column) -> Column:
+            size = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda a, r: a + r["n"] * r["n"]))
+            return let(F.struct(counted.alias("r"), size.alias("size")), lambda c: F.transform(c["r"], lambda r: F.struct(r["value"].alias("d"), (r["n"] / c["size"]).alias("w"))))
+
+        return F.coalesce(let(runs(at), scaled), F.array().cast("array<struct<d:int,w:double>>"))
 
     def embed(self, df: DataFrame, text: str, out: str) -> DataFrame:
         """Sparse vectors: array of (d, w), d ascending."""
         return df.withColumn(out, self.vector(F.col(text)))
 
 
-def sparse_top_k(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
-    """query_id, chunk_id, similarity, rank for sparse unit vectors `vector`: an equi-join on dimensions, products summed."""
-    a = chunks.select(chunk_id, F.explode("vector").alias("e")).select(chunk_id, F.col("e.d").alias("d"), F.col("e.w").alias("wa"))
-    b = queries.select(query_id, F.explode("vector").alias("e")).select(query_id, F.col("e.d").alias("d"), F.col("e.w").alias("wb"))
-    score = a.join(b, "d").groupBy(query_id, chunk_id).agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("similarity"))
-    order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), chunk_id)
-    return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def upsert(current: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
     """Rows of both, for each key the one of the highest version; changes win over current ones of the same version."""
     rows = current.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))

@@ -142,10 +142,10 @@ def hash_embed_retrieve(spark, sf_dir):
     cleaned = cleaning.clean_documents(docs, "source", "doc_id", "text")
     chunks = cleaned.select("source", "doc_id", F.posexplode(chunking.chunk_text(F.col("cleaned_text"))).alias("chunk_index", "text"))
     chunks = chunks.withColumn("chunk_id", F.format_string("%d_c%04d", "doc_id", "chunk_index"))
-    embedder = vectors.HashingEmbedder(4096)
+    embedder = vectors.HashingEmbedder(1024)
     asked = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 100 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
-    hits = vectors.sparse_top_k(embedder.embed(chunks, "text", "vector"), embedder.embed(asked, "question", "vector"), 5)
-    hits = hits.join(chunks, "chunk_id").select("query_id", "rank", F.col("source").alias("document_name"), F.col("doc_id").alias("page_start"), F.lit("").alias("section"), F.lit("").alias("heading"), F.lit("text").alias("content_type"), F.lit("").alias("table_id"), "text")
+    hits = vectors.top_k_join(embedder.embed(chunks, "text", "vector"), embedder.embed(asked, "question", "vector"), 5, "chunk_id", "vector", dims=embedder.dims)
+    hits = hits.withColumnRenamed("vec_id", "chunk_id").join(chunks, "chunk_id").select("query_id", "rank", F.col("source").alias("document_name"), F.col("doc_id").alias("page_start"), F.lit("").alias("section"), F.lit("").alias("heading"), F.lit("text").alias("content_type"), F.lit("").alias("table_id"), "text")
     out = rag.answer(asked, hits, rag.ExtractiveGenerator(), topics=[""])
     return out.select("query_id", "n_sources", F.length("context").alias("context_chars"), "answer", F.col("input_check.passed").alias("input_passed"), F.col("output_check.severity").alias("severity"))
 

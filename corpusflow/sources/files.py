@@ -91,7 +91,7 @@ def newest_file(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> s
 def source_tree(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ("node_modules", "venv", ".git", "__pycache__", "dist", "build"), extensions: tuple[str, ...] = (".py", ".js", ".jsx")) -> DataFrame:
     """file_path (below root), language and text of source files under the included folders (all if none is named)."""
     folders = [f"{root.rstrip('/')}/{d}" for d in include] or [root]
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folders).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", "true").text(folders, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     parts = F.split("path", "/")
     suffix = F.regexp_extract("path", r"(\.[^./]*)$", 1)
     base = root.split("://")[-1].rstrip("/") + "/"
