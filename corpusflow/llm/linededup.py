@@ -30,12 +30,14 @@ from corpusflow.llm.quality import SPACES, _let
 
 #: A token with a digit; it starts where no token character precedes, so the scan is linear.
 NUMBERED = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
+#: Lines with a digit, or whose tokens do not stand apart by one space each.
+ODD = "[0-9\\x09-\\x0D]|  |^ | $"
 OWN = ("n_lines", "n_dropped")
 
 
 @dataclass(frozen=True)
 class Lines:
-    depth: int = 2
+    depth: int = 3
     min_docs: int = 10
     min_contexts: float = 0.3
     min_tokens: int = 4
@@ -43,7 +45,8 @@ class Lines:
 
 
 def _tokens(line: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(line, NUMBERED, "<*>"), SPACES), lambda t: t != "")
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, NUMBERED, "<*>")).otherwise(line)
+    return F.filter(F.split(masked, SPACES), lambda t: t != "")
 
 
 def _key() -> Column:
@@ -54,8 +57,12 @@ def _key() -> Column:
 def _parsed(p: Lines) -> Column:
     """Array of (pos, template, leaf, n, context) of the lines of text; n is 0 for a blank line."""
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    leaf = lambda t: F.xxhash64(F.size(t), *(F.get(t, F.lit(i)) for i in range(p.depth)))
-    each = F.transform(lines, lambda x: _let(_tokens(x), lambda t: F.struct(F.xxhash64(F.array_join(t, " ")).alias("template"), leaf(t).alias("leaf"), F.size(t).alias("n"))))
+    of = lambda n, t, template: F.struct(F.xxhash64(template).alias("template"), F.xxhash64(n, *(F.get(t, F.lit(i)) for i in range(p.depth))).alias("leaf"), n.alias("n"))
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    # plain lines, nearly all: tokens are counted by their spaces, and only the leading ones are cut off
+    plain = lambda x: of(spaces(x) + 1, F.split(x, " ", p.depth + 1), x)
+    any_ = lambda x: _let(_tokens(x), lambda t: of(F.size(t), t, F.array_join(t, " ")))
+    each = F.transform(lines, lambda x: F.when((x != "") & ~x.rlike(ODD), plain(x)).otherwise(any_(x)))
     around = lambda a, i: F.xxhash64(F.get(a, i - 1)["leaf"], F.get(a, i + 1)["leaf"], F.lit(1))
     return _let(each, lambda a: F.transform(a, lambda s, i: F.struct(i.alias("pos"), s["template"].alias("template"), s["leaf"].alias("leaf"), s["n"].alias("n"), around(a, i).alias("context"))))
 
@@ -70,10 +77,10 @@ def _recurring(lines: DataFrame, by: str, p: Lines) -> DataFrame:
 
 def generalised_templates(docs: DataFrame, lines: DataFrame, leaves: DataFrame, p: Lines) -> DataFrame:
     """Templates of the given leaves that agree with their leaf's generalised template, where those recur together."""
-    text = docs.select(_key().alias("key"), F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line"))
-    text = text.select("key", _tokens(F.col("line")).alias("t")).where(F.size("t") >= p.min_tokens)
-    text = text.withColumn("leaf", F.xxhash64(F.size("t"), *(F.get("t", F.lit(i)) for i in range(p.depth)))).join(leaves.select("leaf"), "leaf", "left_semi")
-    text = text.withColumn("template", F.xxhash64(F.array_join("t", " ")))
+    places = lines.where(F.col("n") >= p.min_tokens).join(leaves.select("leaf"), "leaf", "left_semi").groupBy("key").agg(F.collect_set(F.struct("pos", "leaf", "template")).alias("places"))
+    text = docs.select(_key().alias("key"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines")).join(places, "key")
+    text = text.select("key", F.explode(F.transform("places", lambda x: F.struct(x["leaf"].alias("leaf"), x["template"].alias("template"), F.get("lines", x["pos"]).alias("line")))).alias("x"))
+    text = text.select("key", "x.leaf", "x.template", _tokens(F.col("x.line")).alias("t"))
     each = text.groupBy("leaf", "template", "key").agg(F.first("t").alias("t")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.first("t").alias("t"))
     each = materialize(each, "leaf-templates")
     total = each.groupBy("leaf").agg(F.sum("docs").alias("all_docs"))
@@ -92,7 +99,8 @@ def drop_recurring_lines(docs: DataFrame, p: Lines = Lines()) -> DataFrame:
     parsed = docs.select(_key().alias("key"), F.explode(_parsed(p)).alias("line")).select("key", "line.*").where("n > 0")
     lines = materialize(parsed, "lines")
     exact = _recurring(lines, "template", p).select("template")
-    leaves = _recurring(lines, "leaf", p)
+    several = lines.groupBy("leaf").agg(F.min("template").alias("lo"), F.max("template").alias("hi")).where("lo <> hi")
+    leaves = _recurring(lines, "leaf", p).join(several, "leaf", "left_semi")  # one template alone is judged above
     gone = materialize(exact.unionByName(generalised_templates(docs, lines, leaves, p)).distinct(), "templates")
     places = lines.join(gone, "template", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("__drop"))
     every = F.split(F.col("text").cast("string"), "\n")

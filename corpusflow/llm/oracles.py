@@ -34,7 +34,7 @@ def _recurring(by: str, name: str) -> str:
 RECURRING_LINES = rf"""
 WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
   tok AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS t FROM raw),
-  leaf AS (SELECT *, array_to_string(t, ' ') AS template, concat_ws(' ', len(t), t[1], t[2]) AS leaf FROM tok),
+  leaf AS (SELECT *, array_to_string(t, ' ') AS template, concat_ws(' ', len(t), t[1], t[2], t[3]) AS leaf FROM tok),
   ctx AS (SELECT *, concat_ws('|', coalesce(lag(leaf) OVER w, 'none'), coalesce(lead(leaf) OVER w, 'none')) AS context FROM leaf WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
   solid AS (SELECT * FROM ctx WHERE len(t) > 0),
   {_recurring("template", "exact")}, {_recurring("leaf", "leaves")},

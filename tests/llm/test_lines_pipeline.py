@@ -75,7 +75,7 @@ def test_recurring_lines(spark, source):
 def test_copies_keep_their_lines(spark):
     """Near copies share all lines and their surroundings; no line of theirs goes."""
     body = [f"line {chr(97 + i)} with words of its own {chr(98 + i)}{chr(99 + i)}" for i in range(8)]
-    rows = [(i, "\n".join(body[:4] + [f"edited here {chr(97 + i % 26)}{chr(97 + i // 26)} only"] + body[4:]), "en", "a", 0) for i in range(60)]
+    rows = [(i, "\n".join(body[:4] + [f"edited here in {chr(97 + i % 26)}{chr(97 + i // 26)} only"] + body[4:]), "en", "a", 0) for i in range(60)]
     assert linededup.drop_recurring_lines(documents(spark, rows)).agg(F.sum("n_dropped")).first()[0] <= 60
     assert linededup.drop_recurring_lines(documents(spark, [])).collect() == []
 

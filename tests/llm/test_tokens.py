@@ -1,6 +1,7 @@
 """Packing, token files and SentencePiece against the libraries themselves."""
 
 import hashlib
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -80,7 +81,7 @@ def test_packing_is_tight(spark):
 
 def test_token_files_round_trip(spark):
     docs = documents(spark)
-    path = f"{shared_dir(spark)}/store"
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     tokenfiles.write_store(docs, path, shards=5, block_bytes=2000)
     got = tokenfiles.read_store(spark, path, with_ids=True).orderBy("start").collect()
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
