@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,14 +58,6 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, s
         return b""
 
 
-def shard_bounds(docs: DataFrame, shards: int) -> list[int]:
-    """Upper doc_ids of all shards but the last, from a mergeable quantile sketch over doc_id alone."""
-    marks = [i / shards for i in range(1, shards)]
-    if not marks:
-        return []
-    return sorted(set(docs.agg(F.percentile_approx("doc_id", marks, 10 * shards)).first()[0] or []))
-
-
 def write_store(
     docs: DataFrame,
     path: str,
@@ -85,9 +78,8 @@ def write_store(
     digest = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(trained, digest)], "dictionary binary, dict_sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
     shards = shards or max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()) * 2
-    bounds = shard_bounds(docs, shards)
-    dealt = docs.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(_shard_of(bounds)).cast("int")).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "text")
-
+    # ranges of doc_id from Spark's sample of the keys; a partition is a shard, and equal ids share one
+    dealt = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     fields = BLOCKS.split(", ")
 
     def blocks(batches):
@@ -96,7 +88,7 @@ def write_store(
         codec, end = library_codec(tokenizer), np.array([end_id], "<u4").tobytes()
         options = {"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}
         press = zstandard.ZstdCompressor(level=level, **options)
-        at, block, done, tokens, ids, ends, payload = None, 0, 0, 0, [], [], []
+        at, block, done, tokens, ids, ends, payload = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 
         def flush():
             known = [i for i in ids if i is not None]
@@ -105,12 +97,11 @@ def write_store(
             return pa.RecordBatch.from_arrays([pa.array([v], _ARROW[f.split()[1]]) for v, f in zip(row, fields)], [f.split()[0] for f in fields])
 
         for batch in batches:
-            for number, doc_id, text in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), text_of(batch.column(1))):
-                if ids and (number != at or ends[-1] >= block_bytes):
+            for doc_id, text in zip(batch.column(0).to_pylist(), text_of(batch.column(1))):
+                if ids and ends[-1] >= block_bytes:
                     yield flush()
-                    block, done = (block + 1, done + tokens) if number == at else (0, 0)
+                    block, done = block + 1, done + tokens
                     tokens, ids, ends, payload = 0, [], [], []
-                at = number
                 raw = codec.encode(text) + end
                 frame = press.compress(_serialized(raw, width))
                 tokens += len(raw) // 4
@@ -123,20 +114,6 @@ def write_store(
     dealt.mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
 
 
-def _shard_of(bounds: list[int]):
-    """Number of bounds below doc_id, by binary search in nested conditions, as deep as log2 of the bounds."""
-    if not bounds:
-        return F.lit(0)
-
-    def between(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= bounds[mid], between(lo, mid)).otherwise(between(mid + 1, hi))
-
-    return between(0, len(bounds))
-
-
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per stored document: doc_id, start, n_tokens, ids_crc32[, ids as little-endian 32-bit integers]."""
     kept = spark.read.parquet(f"{path}/dictionary").first()
