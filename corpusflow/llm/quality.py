@@ -38,7 +38,7 @@ class Rules:
 FEATURES = {
     "mean_word_chars": ("both", 1.5),
     "symbol_share": ("upper", 0.02),
-    "dup_line_share": ("upper", 0.30),
+    "dup_line_share": ("upper", 0.50),
     "repeat_share": ("upper", 0.20),
 }
 
