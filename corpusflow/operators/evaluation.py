@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.functions.metrics import ascii_bar, p95_by_index, winner_direction
+from corpusflow.functions.metrics import ascii_bar, winner_direction
 
 SCORES = ("correctness", "relevance", "groundedness", "completeness")
 
@@ -14,17 +14,47 @@ def _mean(column: Column, digits: int = 4) -> Column:
     return F.bround(F.coalesce(F.avg(column), F.lit(0.0)), digits)
 
 
-def _p95(latency: str, digits: int = 3) -> Column:
-    return F.round(p95_by_index(F.filter(F.collect_list(latency), lambda x: x.isNotNull())), digits)
+def nth_smallest(df: DataFrame, groups: list[str], value: str, rank: Column, out: str, margin: float = 5e-4) -> DataFrame:
+    """groups and out: the exact value of a rank (an expression of n, the group's number of values, from 1) in each group.
+
+    A mergeable sketch brackets the rank between its 201 quantiles; only values in the bracket, about a hundredth of a group, are sorted. So a group of
+    any size is counted where its rows are, and small groups are bracketed whole. Null values do not count.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
+    at = lambda side: F.percentile_approx("_v", F.array(*(F.lit(i / 200) for i in range(201))), 10_000).alias(side)
+    sketch = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), at("_q")).withColumn("_k", rank.cast("long"))
+    step = F.col("_k") / F.col("n") * 200
+    low = F.when(step - 1 - 200 * margin >= 0, F.get("_q", F.floor(step - 1 - 200 * margin).cast("int")))
+    high = F.when(step + 1 + 200 * margin <= 200, F.get("_q", F.ceil(step + 1 + 200 * margin).cast("int")))
+    bracket = sketch.select(*groups, "_k", low.alias("_lo"), high.alias("_hi"))
+    placed = rows.join(bracket, groups)
+    below = placed.where(F.col("_v") < F.col("_lo")).groupBy(*groups).agg(F.count(F.lit(1)).alias("_below"))
+    inside = placed.where((F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
+    # equal values meet before they are ordered
+    ties = inside.groupBy(*groups, "_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ties.withColumn("_upto", upto).join(below, groups, "left").withColumn("_upto", F.col("_upto") + F.coalesce("_below", F.lit(0)))
+    return ranked.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k"))).select(*groups, F.col("_v").alias(out))
+
+
+def p95_by_group(df: DataFrame, groups: list[str], value: str, out: str = "p95", digits: int = 3) -> DataFrame:
+    """The int(n * 0.95)-th smallest value of each group, of one value that one."""
+    k = F.floor(F.col("n") * F.lit(0.95))
+    found = nth_smallest(df, groups, value, F.when(k == 0, F.col("n")).otherwise(k), out)
+    return found.withColumn(out, F.round(out, digits))
+
+
+def upper_median(df: DataFrame, groups: list[str], value: str, out: str = "upper_median") -> DataFrame:
+    return nth_smallest(df, groups, value, F.floor(F.col("n") / 2) + 1, out)
 
 
 def model_summary(facts: DataFrame, model: str = "model", latency: str = "latency", correct: str = "correct", means: tuple[str, ...] = (), flag: str | None = None) -> DataFrame:
     """model, questions, correct, accuracy, avg_<mean>..., [flag_rate,] avg_latency, p95_latency."""
     out = facts.groupBy(model).agg(
         F.count(F.lit(1)).alias("questions"), F.sum(F.col(correct).cast("long")).alias("correct"), _mean(F.col(correct).cast("int")).alias("accuracy"), *(_mean(F.col(c)).alias(f"avg_{c}") for c in means),
-        *([_mean(F.col(flag).cast("int")).alias("flag_rate")] if flag else []), _mean(F.col(latency), 3).alias("avg_latency"), _p95(latency).alias("p95_latency"),
+        *([_mean(F.col(flag).cast("int")).alias("flag_rate")] if flag else []), _mean(F.col(latency), 3).alias("avg_latency"),
     )
-    return out
+    return out.join(p95_by_group(facts, [model], latency, "p95_latency"), model, "left").fillna(0.0, ["p95_latency"])
 
 
 def category_summary(facts: DataFrame, categories: DataFrame, models: DataFrame, category: str = "category", model: str = "model", correctness: str = "correctness", latency: str = "latency") -> DataFrame:
@@ -32,8 +62,8 @@ def category_summary(facts: DataFrame, categories: DataFrame, models: DataFrame,
     (over 5), avg_latency, p95_latency. Facts of other categories are left out. Both lists are a handful of names."""
     grid = categories.select(category).distinct().join(models.select(model).distinct(), how="cross")
     grouped = facts.groupBy(category, model).agg(
-        F.count(F.lit(1)).alias("questions"), _mean((F.col(correctness) >= 3).cast("int")).alias("llm_accuracy"), _mean(F.col(correctness) / 5).alias("avg_correctness"), _mean(F.col(latency), 3).alias("avg_latency"), _p95(latency).alias("p95_latency")
-    )
+        F.count(F.lit(1)).alias("questions"), _mean((F.col(correctness) >= 3).cast("int")).alias("llm_accuracy"), _mean(F.col(correctness) / 5).alias("avg_correctness"), _mean(F.col(latency), 3).alias("avg_latency")
+    ).join(p95_by_group(facts, [category, model], latency, "p95_latency"), [category, model], "left")
     values = ("questions", "llm_accuracy", "avg_correctness", "avg_latency", "p95_latency")
     return grid.join(grouped, [category, model], "left").select(category, model, *(F.coalesce(F.col(c), F.lit(0)).cast(dict(grouped.dtypes)[c]).alias(c) for c in values))
 

@@ -216,7 +216,7 @@ def category_summary(spark, sf_dir):
 def p95_floor_index(spark, sf_dir):
     own = spark.createDataFrame([(-1, 5.0), (-2, 1.0), (-2, 2.0), *((-5, float(i)) for i in range(1, 6))], "g long, latency double")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), F.col("value").alias("latency")).unionByName(own)
-    return rows.groupBy("g").agg(F.round(metrics.p95_by_index(F.collect_list("latency")), 3).alias("p95"))
+    return evaluation.p95_by_group(rows, ["g"], "latency")
 
 
 @query(f"WITH {_SUMMARY} SELECT model, round(avg(llm_accuracy), 6) AS llm_accuracy, round(avg(avg_correctness), 6) AS avg_correctness, round(avg(avg_latency), 6) AS avg_latency FROM summary GROUP BY model")

@@ -321,9 +321,9 @@ def heading_level(spark, sf_dir):
 
 @query("""WITH g AS (SELECT p_brand, list_sort(list(p_size::DOUBLE)) AS s, median(p_retailprice) AS m FROM part GROUP BY p_brand) SELECT p_brand, s[len(s) // 2 + 1] AS upper_median, round(m, 4) AS true_median FROM g""")
 def medians(spark, sf_dir):
-    sizes = F.array_sort(F.collect_list(F.col("p_size").cast("double")))
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(sizes.alias("s"), F.round(F.median("p_retailprice"), 4).alias("true_median"))
-    return rows.select("p_brand", F.coalesce(F.try_element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")), F.lit(12.0)).alias("upper_median"), "true_median")
+    rows = table(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("double"))
+    true_median = rows.groupBy("p_brand").agg(F.round(F.median("p_retailprice"), 4).alias("true_median"))
+    return evaluation.upper_median(rows, ["p_brand"], "p_size").join(true_median, "p_brand")
 
 
 @query("""SELECT page_id, left(sha1(url), 16) AS document_id, format('{}_page_{:04d}', left(sha1(url), 8), page_id) AS page_name, format('{}_p{:04d}_c{:04d}', left(sha1(url), 8), page_id, 7) AS chunk_id, format('{}_p{:04d}_t{:02d}', left(sha1(url), 8), page_id, 2) AS table_id FROM pages""")

@@ -169,3 +169,9 @@ def test_the_rest_stands_alone():
             for node in ast.walk(ast.parse(path.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("corpusflow.llm" in n for n in names), path
+
+
+def test_order_statistics(spark):
+    rows = spark.createDataFrame([(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 5), ("d", 20), ("e", 5000)) for v in range(n, 0, -1)] + [("f", None), ("g", 3.0), ("g", 3.0), ("g", 3.0)], "g string, v double")
+    assert {r["g"]: r["p95"] for r in evaluation.p95_by_group(rows, ["g"], "v").collect()} == {"a": 1.0, "b": 1.0, "c": 4.0, "d": 19.0, "e": 4750.0, "g": 3.0}
+    assert {r["g"]: r["upper_median"] for r in evaluation.upper_median(rows, ["g"], "v").collect()} == {"a": 1.0, "b": 2.0, "c": 3.0, "d": 11.0, "e": 2501.0, "g": 3.0}
