@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import ids
 from corpusflow.functions.text import sentences
 from corpusflow.operators import chunking, cleaning, evaluation, tables
+from corpusflow.shipping import ship_package
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
