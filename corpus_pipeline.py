@@ -11,6 +11,7 @@ from corpusflow.llm.neardup import near_duplicates
 from corpusflow.llm.packing import pack_documents
 from corpusflow.llm.quality import judge_quality
 from corpusflow.llm.substrings import drop_repeats
+from corpusflow.shipping import ship_package
 
 
 def _like(changed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -31,17 +32,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; rows without an id are in no group."""
+    ship_package(spark)
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without passages that occur elsewhere."""
+    ship_package(spark)
     return _like(drop_repeats(docs), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences."""
+    ship_package(spark)
     return pack_documents(docs)
 
 
