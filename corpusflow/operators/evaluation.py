@@ -144,3 +144,10 @@ def render_report(ranking: DataFrame, winners: DataFrame, title: str = "Model ev
     lines += ["", "## Winners", ""]
     lines += ["| " + " | ".join(map(str, r)) + " |" for r in [tuple(winners.columns), ("---",) * len(winners.columns), *winners.orderBy(*winners.columns).collect()]]
     return "\n".join(lines) + "\n"
+
+
+def questions_by_model(questions: DataFrame, models: DataFrame, model: str = "model", safe: str | None = "oom_safe") -> DataFrame:
+    """Every question for every model (those marked safe, where models has such a column): a handful of models by a list of
+    questions, dealt by model so that an adapter loads each once per task."""
+    chosen = models.where(F.col(safe)) if safe and safe in models.columns else models
+    return questions.join(chosen, how="cross").repartition(model)

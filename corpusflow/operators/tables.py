@@ -65,3 +65,15 @@ def cluster_rows(words: DataFrame, page: list[str], min_confidence: float = 10.0
     out = pages.select(*page, F.posexplode(rows).alias("row_index", "r")).withColumn("r", F.array_sort("r"))
     mean = F.aggregate("r", F.lit(0.0), lambda a, x: a + x["conf"]) / F.size("r") / 100
     return out.select(*page, "row_index", F.size("r").alias("n_words"), F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("row_text"), mean.alias("confidence"))
+
+
+def page_confidence(words: DataFrame, page: list[str]) -> DataFrame:
+    """page columns and ocr_confidence: the median confidence of a page's words over 100, rounded to 4; words without one
+    (below 0, or no number) do not count, and a page without any has null."""
+    value = F.col("conf").try_cast("double")
+    return words.groupBy(*page).agg(F.bround(F.median(F.when(value >= 0, value)) / 100, 4).alias("ocr_confidence"))
+
+
+def missing_tables(documents: DataFrame, tables: DataFrame, document: str, critical: str) -> DataFrame:
+    """Documents marked critical for their tables of which none was found."""
+    return documents.where(F.col(critical)).join(tables.select(document).distinct(), document, "left_anti")

@@ -175,3 +175,12 @@ def test_order_statistics(spark):
     rows = spark.createDataFrame([(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 5), ("d", 20), ("e", 5000)) for v in range(n, 0, -1)] + [("f", None), ("g", 3.0), ("g", 3.0), ("g", 3.0)], "g string, v double")
     assert {r["g"]: r["p95"] for r in evaluation.p95_by_group(rows, ["g"], "v").collect()} == {"a": 1.0, "b": 1.0, "c": 4.0, "d": 19.0, "e": 4750.0, "g": 3.0}
     assert {r["g"]: r["upper_median"] for r in evaluation.upper_median(rows, ["g"], "v").collect()} == {"a": 1.0, "b": 2.0, "c": 3.0, "d": 11.0, "e": 2501.0, "g": 3.0}
+
+
+def test_small_tables_of_a_run(spark):
+    words = spark.createDataFrame([(1, "90"), (1, "80"), (1, "-1"), (1, "x"), (2, "-1")], "page int, conf string")
+    assert {r["page"]: r["ocr_confidence"] for r in tables.page_confidence(words, ["page"]).collect()} == {1: 0.85, 2: None}
+    docs = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "d string, critical boolean")
+    assert [r["d"] for r in tables.missing_tables(docs, spark.createDataFrame([("a",)], "d string"), "d", "critical").collect()] == ["b"]
+    models = spark.createDataFrame([("m1", True), ("m2", False)], "model string, oom_safe boolean")
+    assert evaluation.questions_by_model(spark.createDataFrame([("q1",), ("q2",)], "id string"), models).count() == 2
