@@ -9,7 +9,7 @@ Sets are the distinct 5-word shingles of a document (as 64-bit hashes). Document
    first, and merge components; this repeats until no unverified survivor joins two components.
 3. Buckets that hold more than one component after that compare all their members across components, in blocks of
    bounded size, under the same Bayesian test. Each document of the lighter component puts up its best survivors, which
-   are verified as before; what then is still apart puts up eight times as many, until no survivor is left out.
+   are verified as before; what then is still apart puts up all of its survivors.
 
 A pair within one component changes nothing, so a large group of copies costs a link or a few for each member, and no
 list of all its pairs is ever made. What two documents can be missed for is sharing no band, or the pruning at `miss`.
@@ -42,7 +42,7 @@ class NearDup:
     rows: int = 5
     miss: float = 0.001
     batch: int = 32
-    block: int = 512
+    block: int = 2048
 
     @property
     def hashes(self) -> int:
@@ -311,8 +311,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     stars = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     linker.absorb(materialize(bayes_filter(stars, signatures, p), "stars"))
     linker.tested = linker.tested.unionByName(stars)  # pruned ones included
-    most = 2
-    while True:
+    for most in (2, 2 * p.block):  # the best partners, then whatever a unit of work holds
         labelled = linker.labelled(members.where("size > 2").select("key", "id", "size"), "id", "component")
         mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         weights = linker.labels.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
@@ -321,7 +320,6 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         linker.absorb(found.select("a", "b"))
         if found.where("more").isEmpty():
             break
-        most *= 8
 
     found = reps.join(linker.labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     rows = features.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
