@@ -1,9 +1,9 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over themselves and their neighbours.
 
 A page is cut into text blocks at block-level tags. Each block has its words and link density (share of words in
-links), those of the block before and after, and where it stands: inside an article or main element, inside an element
-that is furniture by name, role, class or id, a heading, on a page with an article element at all. A CART tree
-learns from the small labelled table below which blocks are content; it is trained in the driver in milliseconds and
+links), those of the block before and after, and where it stands: its place (0 beside the article or main element of its
+page, 1 on a page without one, 2 inside one), inside an element that is furniture by name, role, class or id, a heading. A
+CART tree learns from the small labelled table below which blocks are content; it is trained in the driver in milliseconds and
 goes to the tasks as a few numbers.
 
 Texts: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
@@ -54,35 +54,37 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+>"
 )
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "furniture", "heading", "page_has_article")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "furniture", "heading")
 
 # Blocks labelled by hand, in the order of FEATURES, then 1 for content and 0 for furniture.
 LABELLED = [
     # inside an article element: content whatever its length, unless it is furniture there
-    (60, 0.0, 12, 0.0, 45, 0.0, 1, 0, 0, 1, 1), (3, 0.0, 60, 0.0, 50, 0.0, 1, 0, 0, 1, 1), (9, 0.0, 4, 0.0, 80, 0.0, 1, 0, 1, 1, 1),
-    (1, 0.0, 9, 0.0, 30, 0.0, 1, 0, 0, 1, 1), (140, 0.05, 3, 0.0, 6, 1.0, 1, 0, 0, 1, 1), (5, 0.0, 2, 1.0, 4, 0.2, 1, 0, 0, 1, 1),
-    (25, 0.2, 90, 0.0, 12, 0.3, 1, 0, 0, 1, 1), (2, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1, 1, 1), (12, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1, 1),
-    (8, 0.6, 50, 0.0, 60, 0.0, 1, 0, 0, 1, 1), (4, 1.0, 70, 0.0, 30, 0.0, 1, 0, 0, 1, 1), (7, 0.0, 7, 0.0, 15, 0.1, 1, 0, 0, 1, 1),
-    (30, 0.0, 40, 0.0, 30, 0.0, 1, 1, 0, 1, 0), (6, 1.0, 90, 0.0, 5, 1.0, 1, 1, 0, 1, 0), (14, 0.0, 60, 0.0, 25, 0.0, 1, 1, 0, 1, 0),
-    (3, 0.0, 30, 0.0, 22, 0.0, 1, 1, 1, 1, 0), (80, 0.0, 20, 0.0, 60, 0.0, 1, 1, 0, 1, 0), (2, 0.0, 120, 0.0, 8, 0.0, 1, 1, 0, 1, 0),
+    (60, 0.0, 12, 0.0, 45, 0.0, 2, 0, 0, 1), (3, 0.0, 60, 0.0, 50, 0.0, 2, 0, 0, 1), (9, 0.0, 4, 0.0, 80, 0.0, 2, 0, 1, 1),
+    (1, 0.0, 9, 0.0, 30, 0.0, 2, 0, 0, 1), (140, 0.05, 3, 0.0, 6, 1.0, 2, 0, 0, 1), (5, 0.0, 2, 1.0, 4, 0.2, 2, 0, 0, 1),
+    (25, 0.2, 90, 0.0, 12, 0.3, 2, 0, 0, 1), (2, 0.0, 1, 1.0, 1, 1.0, 2, 0, 1, 1), (12, 0.0, 0, 0.0, 0, 0.0, 2, 0, 0, 1),
+    (8, 0.6, 50, 0.0, 60, 0.0, 2, 0, 0, 1), (4, 1.0, 70, 0.0, 30, 0.0, 2, 0, 0, 1), (7, 0.0, 7, 0.0, 15, 0.1, 2, 0, 0, 1),
+    (30, 0.0, 40, 0.0, 30, 0.0, 2, 1, 0, 0), (6, 1.0, 90, 0.0, 5, 1.0, 2, 1, 0, 0), (14, 0.0, 60, 0.0, 25, 0.0, 2, 1, 0, 0),
+    (3, 0.0, 30, 0.0, 22, 0.0, 2, 1, 1, 0), (80, 0.0, 20, 0.0, 60, 0.0, 2, 1, 0, 0), (2, 0.0, 120, 0.0, 8, 0.0, 2, 1, 0, 0),
+    (4, 0.0, 40, 0.0, 1, 0.0, 2, 0, 0, 1), (9, 0.0, 60, 0.0, 2, 0.0, 2, 0, 0, 1), (6, 0.0, 0, 0.0, 3, 0.0, 2, 0, 1, 1),
+    (5, 0.0, 3, 0.0, 0, 0.0, 2, 0, 0, 1), (7, 0.0, 30, 0.0, 1, 1.0, 2, 0, 0, 1), (3, 0.0, 5, 0.0, 2, 0.0, 2, 0, 0, 1),
     # beside an article element: furniture
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0, 1, 0), (8, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0, 1, 0),
-    (14, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 1, 0), (20, 0.0, 15, 0.0, 12, 0.0, 0, 0, 0, 1, 0), (6, 0.0, 2, 1.0, 9, 0.0, 0, 0, 0, 1, 0),
-    (45, 0.1, 12, 0.0, 6, 0.0, 0, 0, 0, 1, 0), (4, 0.5, 1, 0.0, 3, 1.0, 0, 0, 0, 1, 0), (3, 0.0, 60, 0.0, 18, 0.0, 0, 0, 1, 1, 0),
-    (90, 0.0, 5, 0.0, 40, 0.0, 0, 1, 0, 1, 0), (30, 0.9, 3, 0.0, 20, 1.0, 0, 0, 0, 1, 0), (2, 0.0, 0, 0.0, 11, 0.0, 0, 0, 0, 1, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0), (8, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0),
+    (14, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 0), (20, 0.0, 15, 0.0, 12, 0.0, 0, 0, 0, 0), (6, 0.0, 2, 1.0, 9, 0.0, 0, 0, 0, 0),
+    (45, 0.1, 12, 0.0, 6, 0.0, 0, 0, 0, 0), (4, 0.5, 1, 0.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 60, 0.0, 18, 0.0, 0, 0, 1, 0),
+    (90, 0.0, 5, 0.0, 40, 0.0, 0, 1, 0, 0), (30, 0.9, 3, 0.0, 20, 1.0, 0, 0, 0, 0), (2, 0.0, 0, 0.0, 11, 0.0, 0, 0, 0, 0),
     # on a page without one: long blocks with few links, short ones and headings between or before such blocks
-    (70, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (35, 0.1, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 1), (18, 0.0, 50, 0.0, 44, 0.0, 0, 0, 0, 0, 1),
-    (120, 0.02, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 1), (6, 0.0, 40, 0.0, 52, 0.0, 0, 0, 0, 0, 1), (7, 0.0, 3, 1.0, 66, 0.0, 0, 0, 1, 0, 1),
-    (4, 0.0, 80, 0.0, 36, 0.0, 0, 0, 1, 0, 1), (22, 0.15, 19, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (16, 0.0, 33, 0.0, 5, 0.4, 0, 0, 0, 0, 1),
-    (3, 0.0, 28, 0.0, 31, 0.0, 0, 0, 0, 0, 1), (48, 0.3, 60, 0.0, 41, 0.1, 0, 0, 0, 0, 1), (10, 0.0, 1, 1.0, 45, 0.0, 0, 0, 1, 0, 1),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (9, 0.8, 4, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (40, 0.8, 12, 0.9, 30, 0.7, 0, 0, 0, 0, 0), (4, 0.0, 3, 0.5, 2, 0.0, 0, 0, 0, 0, 0), (11, 0.9, 60, 0.0, 14, 1.0, 0, 0, 0, 0, 0),
-    (8, 0.0, 5, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (60, 0.0, 50, 0.0, 40, 0.0, 0, 1, 0, 0, 0),
-    (5, 1.0, 44, 0.0, 50, 0.0, 0, 1, 0, 0, 0), (13, 0.0, 48, 0.0, 39, 0.0, 0, 1, 0, 0, 0), (2, 0.0, 35, 0.0, 47, 0.0, 0, 1, 1, 0, 0),
-    (2, 1.0, 0, 0.0, 40, 0.0, 0, 0, 0, 0, 0), (5, 1.0, 0, 0.0, 70, 0.0, 0, 0, 0, 0, 0), (6, 1.0, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 0),
-    (40, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 1), (55, 0.0, 1, 0.0, 20, 0.0, 0, 0, 0, 0, 1), (33, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 1), (28, 0.1, 8, 0.9, 45, 0.0, 0, 0, 0, 0, 1),
-    (19, 0.0, 4, 1.0, 40, 0.0, 0, 0, 0, 0, 1), (24, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (50, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (30, 0.0, 6, 0.0, 9, 0.3, 0, 0, 0, 0, 1),
-    (6, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 0), (25, 0.75, 20, 0.0, 18, 0.6, 0, 0, 0, 0, 0), (7, 0.4, 1, 1.0, 6, 0.5, 0, 0, 0, 0, 0),
+    (70, 0.0, 40, 0.0, 55, 0.0, 1, 0, 0, 1), (35, 0.1, 60, 0.0, 4, 1.0, 1, 0, 0, 1), (18, 0.0, 50, 0.0, 44, 0.0, 1, 0, 0, 1),
+    (120, 0.02, 1, 1.0, 2, 1.0, 1, 0, 0, 1), (6, 0.0, 40, 0.0, 52, 0.0, 1, 0, 0, 1), (7, 0.0, 3, 1.0, 66, 0.0, 1, 0, 1, 1),
+    (4, 0.0, 80, 0.0, 36, 0.0, 1, 0, 1, 1), (22, 0.15, 19, 0.0, 30, 0.0, 1, 0, 0, 1), (16, 0.0, 33, 0.0, 5, 0.4, 1, 0, 0, 1),
+    (3, 0.0, 28, 0.0, 31, 0.0, 1, 0, 0, 1), (48, 0.3, 60, 0.0, 41, 0.1, 1, 0, 0, 1), (10, 0.0, 1, 1.0, 45, 0.0, 1, 0, 1, 1),
+    (2, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0), (9, 0.8, 4, 1.0, 2, 1.0, 1, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0),
+    (40, 0.8, 12, 0.9, 30, 0.7, 1, 0, 0, 0), (4, 0.0, 3, 0.5, 2, 0.0, 1, 0, 0, 0), (11, 0.9, 60, 0.0, 14, 1.0, 1, 0, 0, 0),
+    (8, 0.0, 5, 1.0, 0, 0.0, 1, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 1, 0, 0, 0), (60, 0.0, 50, 0.0, 40, 0.0, 1, 1, 0, 0),
+    (5, 1.0, 44, 0.0, 50, 0.0, 1, 1, 0, 0), (13, 0.0, 48, 0.0, 39, 0.0, 1, 1, 0, 0), (2, 0.0, 35, 0.0, 47, 0.0, 1, 1, 1, 0),
+    (2, 1.0, 0, 0.0, 40, 0.0, 1, 0, 0, 0), (5, 1.0, 0, 0.0, 70, 0.0, 1, 0, 0, 0), (6, 1.0, 50, 0.0, 60, 0.0, 1, 0, 0, 0),
+    (40, 0.0, 2, 1.0, 30, 0.0, 1, 0, 0, 1), (55, 0.0, 1, 0.0, 20, 0.0, 1, 0, 0, 1), (33, 0.0, 3, 1.0, 0, 0.0, 1, 0, 0, 1), (28, 0.1, 8, 0.9, 45, 0.0, 1, 0, 0, 1),
+    (19, 0.0, 4, 1.0, 40, 0.0, 1, 0, 0, 1), (24, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (50, 0.0, 0, 0.0, 3, 1.0, 1, 0, 0, 1), (30, 0.0, 6, 0.0, 9, 0.3, 1, 0, 0, 1),
+    (6, 0.0, 2, 0.0, 3, 0.0, 1, 0, 0, 0), (25, 0.75, 20, 0.0, 18, 0.6, 1, 0, 0, 0), (7, 0.4, 1, 1.0, 6, 0.5, 1, 0, 0, 0),
 ]
 
 
@@ -193,7 +195,7 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple]]:
     rows = []
     for i, (_, n, linked_words, article, furniture, head) in enumerate(blocks):
         before, after = (blocks[j] if 0 <= j < len(blocks) else ("", 0, 0) for j in (i - 1, i + 1))
-        rows.append((n, linked_words / n, before[1], before[2] / max(before[1], 1), after[1], after[2] / max(after[1], 1), int(article), int(furniture), int(head), int(has)))
+        rows.append((n, linked_words / n, before[1], before[2] / max(before[1], 1), after[1], after[2] / max(after[1], 1), 2 if article else int(not has), int(furniture), int(head)))
     return [b[0] for b in blocks], rows
 
 
