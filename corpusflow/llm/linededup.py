@@ -37,7 +37,7 @@ OWN = ("n_lines", "n_dropped")
 
 @dataclass(frozen=True)
 class Lines:
-    depth: int = 3
+    depth: int = 2
     min_docs: int = 10
     min_contexts: float = 0.3
     min_tokens: int = 4

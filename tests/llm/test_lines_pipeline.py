@@ -80,6 +80,18 @@ def test_copies_keep_their_lines(spark):
     assert linededup.drop_recurring_lines(documents(spark, [])).collect() == []
 
 
+def test_copies_edited_at_the_third_token_keep_their_lines(spark):
+    """An edit after the two leading tokens leaves the surroundings of the lines beside it as they are."""
+    body = [f"line {chr(97 + i)} with words of its own {chr(98 + i)}{chr(99 + i)}" for i in range(8)]
+    rows = [(i, "\n".join(body[:4] + [f"edited here {chr(97 + i % 26)}{chr(97 + i // 26)} only"] + body[4:]), "en", "a", 0) for i in range(60)]
+    assert linededup.drop_recurring_lines(documents(spark, rows)).agg(F.sum("n_dropped")).first()[0] <= 60
+
+
+def test_lines_whose_third_token_varies_go(spark):
+    rows = [(i, f"own start {chr(97 + i)} x\nPosted by {chr(97 + i)}lice in the forum today\nown end of {chr(97 + i)} y z" + " z" * i, "en", "a", 0) for i in range(20)]
+    assert linededup.drop_recurring_lines(documents(spark, rows)).where("text like '%Posted by%'").isEmpty()
+
+
 def test_lines_are_native(spark):
     plan = linededup.drop_recurring_lines(documents(spark))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
