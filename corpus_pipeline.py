@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import materialize, read_table
@@ -30,11 +30,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _like(drop_recurring_lines(docs), docs)
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """docs with __id, one value for each document, and __odd, true for rows of ids that several rows or none have.
+
+    Rows with the same id and text are one document. Of the texts that share an id the first by digest keeps it; the
+    others, and rows without an id, get ids beyond the largest (an overflow of long raises).
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("__of"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__digest"))
+    again = rows.groupBy("__of").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __of is null").select(F.col("__of").alias("__again"))
+    again = materialize(again, "repeated-ids")
+    texts = materialize(rows.join(again, F.col("__of").eqNullSafe(F.col("__again")), "left_semi").distinct(), "repeated-texts")
+    own = texts.where("__of is not null").groupBy("__of").agg(F.min("__digest").alias("__digest")).withColumn("__id", F.col("__of"))
+    other = texts.join(own, ["__of", "__digest"], "left_anti").withColumn("part", F.pmod(F.xxhash64("__of", "__digest"), F.lit(1024)))
+    last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    number = F.row_number().over(Window.partitionBy("part").orderBy("__of", "__digest")).cast("long")
+    other = other.select("__of", "__digest", (F.lit(max(last, 0)).cast("long") + number * 1024 + F.col("part")).alias("__id"))
+    found = materialize(own.unionByName(other), "documents").select(F.col("__of").alias("__a"), F.col("__digest").alias("__b"), F.col("__id").alias("__new"))
+    marked = docs.select("*", F.col("doc_id").cast("long").alias("__of"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__digest"))
+    marked = marked.join(found, F.col("__of").eqNullSafe(F.col("__a")) & (F.col("__digest") == F.col("__b")), "left")
+    return marked.select(*(f"`{c}`" for c in docs.columns), F.coalesce("__new", "__of").alias("__id"), F.col("__new").isNotNull().alias("__odd"))
+
+
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; rows without an id are in no group."""
+    """One row of each group of near copies, whether their ids differ, repeat or are null."""
     ship_package(spark)
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
+    columns = [f"`{c}`" for c in docs.columns]
+    marked = _documents(docs)
+    kept = near_duplicates(marked.select(F.col("__id").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    left = marked.join(kept, "__id", "left_semi")
+    once = left.where("__odd").groupBy("__id").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    return left.where("not __odd").select(*columns).unionByName(once)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,3 +117,15 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     documents(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_rows_that_repeat_an_id_or_have_none_leave_one_row(spark):
+    """Rows loaded twice, copies without ids and near copies of either; unlike texts of one id both stay."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("a")), (2, text("b")), (None, text("c")), (None, text("c")), (None, text("c") + " end"), (None, text("b")), (3, text("d")), (3, text("e")), (4, text("f")), (4, text("f") + " end"), (5, None), (5, None)]
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in rows])
+    out = corpus_pipeline.materialize(corpus_pipeline.minhash_dedup(spark, docs, SF), "test")
+    got = [(r["doc_id"], r["text"] and r["text"][0]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (3, "e"), (4, "f"), (5, None)], key=str)
+    left = corpus_pipeline.substring_dedup(spark, out, SF).where("text is not null")
+    assert left.where("text = ''").isEmpty() and left.count() == 6
