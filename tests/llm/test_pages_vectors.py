@@ -22,6 +22,17 @@ def test_generated_pages(spark):
         assert got[r["page_id"]]["text"] == text and got[r["page_id"]]["n_chars"] == len(text) and got[r["page_id"]]["url"] == r["url"]
 
 
+def test_story_beside_small_article_elements():
+    """Teasers, comments and cards marked up as articles do not make the story beside them furniture."""
+    tree, story = htmltext.train_tree(htmltext.LABELLED), " ".join(["word"] * 200)
+    text = f"<div><p>{story}</p><p>{story}</p></div>"
+    cards = ("<aside><article><a>more</a> teaser one</article></aside>", "<article class='comment-body'><p>nice one indeed</p></article>", "<article><h3>More</h3><p>short card</p></article>")
+    for card in cards:
+        assert f"{story}\n{story}" in htmltext.main_text(f"<body>{text}{card}</body>", tree)
+    assert htmltext.main_text(f"<body><article><h1>T</h1>{text}</article><div>{story}</div><footer>{story}</footer></body>", tree) == f"T\n{story}\n{story}\n{story}"
+    assert htmltext.main_text(f"<body><article><h1>T</h1>{text}</article><div>eight words that stand beside it all here</div></body>", tree) == f"T\n{story}\n{story}"
+
+
 PAGE = """<html><head><title>T</title></head><body class="page has-sidebar"><header><h1>Site</h1></header>
 <nav><a href=/>Home</a></nav><div id="cookie-notice">We use cookies</div>
 <main><article><header><h1>Head &amp; line</h1></header><p>First   paragraph<br>goes&nbsp;on <a href="x>y">here</a>.</p><script>if (a<b) "</p>"</script>
