@@ -8,12 +8,15 @@ Sets are the distinct 5-word shingles of a document (as 64-bit hashes). Document
    `miss`. Survivors that still join different components are verified exactly on the full sets, smallest partners
    first, and merge components; this repeats until no unverified survivor joins two components.
 3. Buckets that hold more than one component after that compare all their members across components, in blocks of
-   bounded size, under the same Bayesian test. Each document of the lighter component puts up its best survivors, which
-   are verified as before; what then is still apart puts up all of its survivors.
+   bounded size, under the same Bayesian test. The sets of members with survivors travel to the block, which verifies the
+   survivors exactly, best first, and gives only links that join two components there: fewer than it has members.
 
 A pair within one component changes nothing, so a large group of copies costs a link or a few for each member, and no
 list of all its pairs is ever made. What two documents can be missed for is sharing no band, or the pruning at `miss`.
 
+Very long texts are hashed in chunks of a bounded size; their sets travel whole. Other columns of the input are ignored,
+whatever their names.
+
 Defined results: a null or wordless text has the empty set, is linked with nothing and is its own component. Documents
 with fewer than five words have their whole sequence as one shingle. Rows that share a doc_id are one document. Rows
 with a null doc_id are never linked and are kept. Ties cannot arise: order is by doc_id. An empty table gives no rows.
@@ -43,6 +46,7 @@ class NearDup:
     miss: float = 0.001
     batch: int = 32
     block: int = 2048
+    block_bytes: int = 32 << 20
 
     @property
     def hashes(self) -> int:
@@ -132,19 +136,25 @@ def bayes_filter(pairs: DataFrame, signatures: DataFrame, p: NearDup) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity, exactly."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def run(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                ok.append(100 * both >= p.percent * (len(x) + len(y) - both))
+            for x, y in zip(batch.column(2), batch.column(3)):
+                ok.append(_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p.percent))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
     side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
@@ -180,101 +190,129 @@ class Linker:
         self.sets, self.p = sets, p
         self.edges = spark.createDataFrame([], "a long, b long")
         self.labels = spark.createDataFrame([], "id long, component long")
-        self.tested = spark.createDataFrame([], "a long, b long")
 
     def labelled(self, df: DataFrame, column: str, name: str) -> DataFrame:
         own = self.labels.select(F.col("id").alias(column), F.col("component").alias(name))
         return df.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
     def apart(self, pairs: DataFrame) -> DataFrame:
-        """The untested pairs that join two components."""
-        split = self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-        return split.join(self.tested, ["a", "b"], "left_anti")
+        """The pairs that join two components."""
+        return self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+
+    def link(self, found: DataFrame) -> None:
+        """Take in verified links."""
+        if not found.isEmpty():
+            self.edges = self.edges.unionByName(found)
+            self.labels = components(self.edges)
 
     def absorb(self, survivors: DataFrame) -> None:
-        """Verify survivors, few for each document first, until those left join no two components."""
+        """Verify survivors: four partners of each document, then those of the others that still join two components."""
         order = Window.partitionBy("a").orderBy("b")
-        for most in (4, None):
-            picked = self.apart(survivors)
-            if most:
-                picked = picked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
-            picked = materialize(picked, "picked")
-            if picked.isEmpty():
-                return
-            found = materialize(verify(picked, self.sets, self.p), "links")
-            self.tested = self.tested.unionByName(picked)
-            if not found.isEmpty():
-                self.edges = self.edges.unionByName(found)
-                self.labels = components(self.edges)
-
-
-def mixed_pairs(members: DataFrame, signatures: DataFrame, p: NearDup, most: int) -> DataFrame:
-    """Pairs across components of one bucket that pass the Bayesian test; members: key, id, component, weight (number of
-    documents in the component), size (of the bucket). For each document of the lighter component the `most` best in each
-    unit of work; more says that it had others.
-
-    Buckets of more than `block` members are cut into blocks by hash, and each pair of blocks is a unit of work.
-    """
-    n = F.ceil(F.col("size") / F.lit(p.block)).cast("int")
-    rows = members.withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") < F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("both"), "id", "component", "weight")
-    rows = rows.join(signatures, "id").withColumn("unit", F.xxhash64("key", "x", "y"))
-    rows = rows.select("unit", "first", "both", "id", "component", "weight", "sig").repartition("unit").sortWithinPartitions("unit")
-    steps = least_matches(p)
+        ranked = survivors.withColumn("r", F.row_number().over(order))
+        for some in (ranked.where("r <= 4"), ranked.where("r > 4")):
+            picked = materialize(self.apart(some.select("a", "b")), "picked")
+            if not picked.isEmpty():
+                self.link(materialize(verify(picked, self.sets, self.p), "links"))
 
-    def compare(ids, comp, weight, sig, first, both):
-        """a lighter than b (ties by component), and a's best partners by matches, then id."""
-        left, right = np.flatnonzero(both | first), np.flatnonzero(both | ~first)
-        light, heavy, score = [], [], []
-        for lo in range(0, len(left), 64):
-            some = left[lo : lo + 64]
-            i, j = np.nonzero((comp[some][:, None] != comp[right][None, :]) & ~(both[some][:, None] & (ids[some][:, None] <= ids[right][None, :])))
-            i, j, matches, done = some[i], right[j], np.zeros(len(i), np.int64), 0
-            for n, least in steps:
-                matches += (sig[i, done:n] == sig[j, done:n]).sum(axis=1)
-                ok = matches >= least
-                i, j, matches, done = i[ok], j[ok], matches[ok], n
-            swap = (weight[i] > weight[j]) | ((weight[i] == weight[j]) & (comp[i] > comp[j]))
-            light.append(np.where(swap, j, i))
-            heavy.append(np.where(swap, i, j))
-            score.append(matches)
-        light, heavy, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (light, heavy, score))
-        order = np.lexsort((ids[heavy], -score, light))
-        light, heavy = light[order], heavy[order]
-        begin = np.flatnonzero(np.concatenate([[True], light[1:] != light[:-1]])) if len(light) else np.zeros(0, np.int64)
-        number = np.diff(np.append(begin, len(light)))
-        keep = np.arange(len(light)) - np.repeat(begin, number) < most
-        more = np.repeat(number > most, number)[keep]
-        x, y = ids[light[keep]], ids[heavy[keep]]
-        return np.maximum(x, y), np.minimum(x, y), more
+
+def _streamed(table_of, empty):
+    """A mapInArrow function: table_of(table) for each run of rows of one unit; rows come sorted by unit."""
 
     def run(batches):
         kept: pa.Table | None = None
-
-        def units(table: pa.Table, last: bool):
-            unit = table.column("unit").to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-            ends = np.append(cut[1:], len(unit))
-            ids, comp, weight = (table.column(c).to_numpy() for c in ("id", "component", "weight"))
-            first, both = (table.column(c).to_numpy() for c in ("first", "both"))
-            sig = _matrix(table.column("sig"), p.hashes)
-            for a, z in zip(cut, ends) if last else zip(cut[:-1], ends[:-1]):
-                yield compare(ids[a:z], comp[a:z], weight[a:z], sig[a:z], first[a:z], both[a:z])
-
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([kept, table]) if kept is not None else table
             if not table.num_rows:
                 continue
-            for found in units(table, False):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "more"])
             unit = table.column("unit").to_numpy()
-            kept = table.slice(int(np.searchsorted(unit, unit[-1])))
+            cut = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+            for a, z in zip(cut[:-1], cut[1:]):
+                yield from table_of(table.slice(a, z - a)).to_batches()
+            kept = table.slice(int(cut[-1]))
         if kept is not None:
-            for found in units(kept, True):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "more"])
+            yield from table_of(kept).to_batches()
+        else:
+            yield from empty.to_batches()
 
-    return rows.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return run
+
+
+def _surviving(table: pa.Table, p: NearDup, steps: list[tuple[int, int]]):
+    """Pairs (i, j, matches) of rows of one unit, of different components, that pass the Bayesian test.
+
+    A pair belongs to the first band that its signatures share, so that it is tested in one bucket alone.
+    """
+    comp, band = table.column("component").to_numpy(), table.column("band")[0].as_py()
+    ids, first, both = (table.column(c).to_numpy() for c in ("id", "first", "both"))
+    sig = _matrix(table.column("sig"), p.hashes)
+    left, right = np.flatnonzero(both | first), np.flatnonzero(both | ~first)
+    for lo in range(0, len(left), 64):
+        some = left[lo : lo + 64]
+        i, j = np.nonzero((comp[some][:, None] != comp[right][None, :]) & ~(both[some][:, None] & (ids[some][:, None] <= ids[right][None, :])))
+        i, j, matches, done = some[i], right[j], np.zeros(len(i), np.int64), 0
+        for n, least in steps:
+            matches += (sig[i, done:n] == sig[j, done:n]).sum(axis=1)
+            ok = matches >= least
+            i, j, matches, done = i[ok], j[ok], matches[ok], n
+        if band and len(i):
+            same = (sig[i, : band * p.rows] == sig[j, : band * p.rows]).reshape(len(i), band, p.rows).all(axis=2).any(axis=1)
+            i, j, matches = i[~same], j[~same], matches[~same]
+        if len(i):
+            yield i, j, matches
+
+
+def bucket_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """Verified links (a, b) across components of one bucket; members: key, band, id, component, size and bytes (of the bucket).
+
+    Buckets beyond `block` members or `block_bytes` bytes of sets are cut into blocks by hash, and each pair of blocks is a
+    unit of work. A first pass over signatures alone finds the members of each unit that have a surviving partner; only
+    their sets travel to the unit, where survivors are verified, best matches first, unless links found there join them
+    already. So a unit gives fewer rows than it has members, whatever the number of its pairs.
+    """
+    n = F.greatest(F.ceil(F.col("size") / F.lit(p.block)), F.ceil(F.col("bytes") / F.lit(p.block_bytes))).cast("int")
+    rows = members.withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = rows.select("key", "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") < F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("both"), "id", "component")
+    rows = rows.withColumn("unit", F.xxhash64("key", "x", "y")).drop("key", "x", "y")
+    steps = least_matches(p)
+    flagged = "unit long, band int, id long, component long, first boolean, both boolean"
+    names = [f.split()[0] for f in flagged.split(", ")]
+
+    def candidates(table: pa.Table) -> pa.Table:
+        hit = np.zeros(table.num_rows, bool)
+        for i, j, _ in _surviving(table, p, steps):
+            hit[i] = hit[j] = True
+        return table.select(names).filter(pa.array(hit))
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comp, column = table.column("id").to_numpy(), table.column("component").to_numpy(), table.column("shingles")
+        parent = {c: c for c in comp.tolist()}
+
+        def top(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        found = [np.concatenate(x) for x in zip(*_surviving(table, p, steps))]
+        a, b = [], []
+        if found:
+            i, j, matches = found
+            for at in np.lexsort((ids[j], ids[i], -matches)).tolist():
+                u, v = int(i[at]), int(j[at])
+                cu, cv = top(comp[u].item()), top(comp[v].item())
+                if cu != cv and _similar(np.frombuffer(column[u].as_buffer(), np.uint64), np.frombuffer(column[v].as_buffer(), np.uint64), p.percent):
+                    parent[max(cu, cv)] = min(cu, cv)
+                    a.append(max(ids[u], ids[v]))
+                    b.append(min(ids[u], ids[v]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    by_unit = lambda df: df.repartition("unit").sortWithinPartitions("unit")
+    none = pa.table({c: pa.array([], {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for c, t in (f.split() for f in flagged.split(", "))})
+    hits = by_unit(rows.join(signatures, "id").select("unit", "band", "id", "component", "first", "both", "sig")).mapInArrow(_streamed(candidates, none), flagged)
+    hits = materialize(hits, "candidates")
+    whole = by_unit(hits.join(signatures, "id").join(sets, "id").select("unit", "band", "id", "component", "first", "both", "sig", "shingles"))
+    return whole.mapInArrow(_streamed(links, pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -283,13 +321,13 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     features = materialize(document_features(docs, p), "minhash")
     nodes = features.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(nodes.groupBy("set_hash").agg(F.min("doc_id").alias("id")), "representatives")
-    nodes = nodes.select("set_hash", F.col("doc_id").alias("id"), "sig").join(reps, ["set_hash", "id"], "left_semi").dropDuplicates(["set_hash", "id"])
+    nodes = nodes.select("set_hash", F.col("doc_id").alias("id"), "n_shingles", "sig").join(reps, ["set_hash", "id"], "left_semi").dropDuplicates(["set_hash", "id"])
     nodes = materialize(nodes, "nodes")
     wide = 4 * p.rows
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 1 + wide * b, wide)) for b in range(p.bands)))
-    bands = nodes.select("id", F.explode(keys).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("size")).where("leader < _last").drop("_last")
-    members = materialize(bands.join(buckets, "key"), "members")
+    bands = nodes.select("id", "n_shingles", F.posexplode(keys).alias("band", "key"))
+    buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("size"), (8 * F.sum("n_shingles")).alias("bytes")).where("leader < _last").drop("_last")
+    members = materialize(bands.drop("n_shingles").join(buckets, "key"), "members")
     active = members.select("id").distinct()
     signatures = materialize(nodes.join(active, "id", "left_semi").select("id", "set_hash", "sig"), "signatures")
 
@@ -310,16 +348,9 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     linker = Linker(spark, sets, p)
     stars = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     linker.absorb(materialize(bayes_filter(stars, signatures, p), "stars"))
-    linker.tested = linker.tested.unionByName(stars)  # pruned ones included
-    for most in (2, 2 * p.block):  # the best partners, then whatever a unit of work holds
-        labelled = linker.labelled(members.where("size > 2").select("key", "id", "size"), "id", "component")
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        weights = linker.labels.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-        rest = labelled.join(mixed, "key", "left_semi").join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-        found = materialize(mixed_pairs(rest, signatures, p, most), "mixed")
-        linker.absorb(found.select("a", "b"))
-        if found.where("more").isEmpty():
-            break
+    labelled = linker.labelled(members.where("size > 2").select("key", "band", "id", "size", "bytes"), "id", "component")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    linker.link(materialize(bucket_links(labelled.join(mixed, "key", "left_semi"), signatures, sets, p), "links"))
 
     found = reps.join(linker.labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     rows = features.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))

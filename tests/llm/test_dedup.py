@@ -66,6 +66,33 @@ def test_near_duplicate_chains_and_hot_buckets(spark):
     assert len(wrong) <= 2, len(wrong)  # pairs near the threshold may be pruned at the chosen miss probability
 
 
+def test_families_just_under_the_threshold(spark):
+    """Thirty families of one text, about 70 % alike to each other, share buckets; members of one family are links."""
+    rng = random.Random(9)
+    base = prose(rng, 300, 9000).split()
+    rows = []
+    for family in range(30):
+        own = list(base)
+        for at in rng.sample(range(0, 300, 6), 11):
+            own[at] = f"f{family}x{at}"
+        for member in range(12):
+            words = list(own)
+            words[rng.randrange(300)] = f"m{family}y{member}"
+            rows.append((100 * member + family, " ".join(words), "en", "a", 0))
+    expected = brute_components([r[:2] for r in rows])
+    assert len({c for _, c in expected.values()}) > 10
+    for block in (64, 2048):
+        got = neardup.near_duplicates(documents(spark, rows), neardup.NearDup(block=block)).collect()
+        assert not [r for r in got if r["component_id"] != expected[r["doc_id"]][1]]
+
+
+def test_near_duplicates_ignore_other_columns(spark):
+    clashing = {c: F.lit("x") for c in ("id", "band", "key", "size", "component", "set_hash", "sig", "unit")}
+    docs = documents(spark)
+    a, b = (neardup.near_duplicates(d) for d in (docs, docs.withColumns(clashing)))
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(documents(spark, [])).collect() == []
     got = neardup.near_duplicates(documents(spark, [(None, "a b c d e f", "en", "a", 1), (1, "a b c d e f", "en", "a", 1)])).collect()
