@@ -7,8 +7,9 @@ those, not computed anew. A group's thresholds are Tukey fences on its sketch: t
 Groups with fewer than `min_group` documents take the fences of their language, and languages with fewer those of
 the whole corpus. Documents join their group's fences, and are kept if no feature lies outside.
 
-Nulls: a null text has no words and fails the base rule; null lang or source form a group of their own. Equal rows
-get equal verdicts. An empty table gives no rows. Extra columns are left alone.
+Nulls: a null text has no words and fails the base rule; null lang or source form a group of their own. A very long text
+is one row like any other: its words are an array in one task. Equal rows and ties get equal verdicts: a value that equals
+a fence is inside. An empty table gives no rows. Extra columns are carried in the struct `row`, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ class Rules:
     reach: float = 3.0
     min_group: int = 200
     sketch_k: int = 400
+    broadcast_groups: int = 100_000
+    salts: int = 64
 
 
 #: Feature, sides that are fenced, floor of the fence's distance from the quartile.
@@ -56,23 +59,20 @@ def words_of(text: Column) -> Column:
 def repeated_window_words(words: Column, width: int = 3) -> Column:
     """Words that lie in a window of `width` words found at least twice in the array.
 
-    Each window's 64-bit hash gives way in its low bits to the window's position; once sorted, equal hashes are
-    neighbours. The hash keeps 64 - log2(number of words) bits.
+    Windows are their 64-bit hashes, each beside its place; once sorted, equal hashes are neighbours.
     """
-    left = lambda x, n: F.call_function("shiftleft", x, n)
-    right = lambda x, n: F.call_function("shiftright", x, n)
 
     def marked(w: Column) -> Column:
         n = F.size(w)
-        bits = F.ceil(F.log2(n + F.lit(1.0))).cast("int")
-        keys = F.transform(F.sequence(F.lit(0), n - width), lambda i: left(right(F.xxhash64(*(F.get(w, i + k) for k in range(width))), bits), bits).bitwiseOR(i.cast("long")))
+        keys = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(width))).alias("h"), i.alias("p")))
 
         def covered(s: Column) -> Column:
-            # the array holds each element beside its neighbours: of equal hash means equal above the low bits
-            same = lambda a, b: right(a, bits) == right(b, bits)
-            at = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
-            places = F.array_sort(F.transform(at, lambda x: x - left(right(x, bits), bits)))
-            return _let(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(width).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(width).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x))
+            # beyond the ends the neighbour is null, and so is the comparison
+            same = lambda x, i: F.coalesce(x["h"] == F.get(s, i)["h"], F.lit(False))
+            at = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
+            places = F.array_sort(F.transform(at, lambda x: x["p"]))
+            own = lambda p: F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width))))
+            return _let(places, lambda p: F.aggregate(own(p), F.lit(0).cast("long"), lambda a, x: a + x))
 
         return _let(F.sort_array(keys), covered)
 
@@ -150,6 +150,21 @@ def group_fences(features: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
+def _beside(features: DataFrame, fences: DataFrame, rules: Rules) -> DataFrame:
+    """features with their group's fence, without moving the documents of a group together.
+
+    The fences, one row per language and source, are written and counted: up to `broadcast_groups` of them are broadcast;
+    more are joined by hash, every group dealt to `salts` keys so that a hot group is many tasks.
+    """
+    fences = materialize(fences, "quality-fences")
+    same = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
+    if fences.count() <= rules.broadcast_groups:
+        return features.join(F.broadcast(fences), same, "left")
+    dealt = features.withColumn("_salt", F.pmod(F.xxhash64(*(c for c, t in features.dtypes if t in ("bigint", "double"))), F.lit(rules.salts)))
+    every = fences.withColumn("f_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rules.salts - 1).cast("long"))))
+    return dealt.join(every, same & (F.col("_salt") == F.col("f_salt")), "left")
+
+
 def judge_quality(docs: DataFrame, rules: Rules = Rules(), carry: list[str] | None = None) -> DataFrame:
     """One row per row of docs: row (its columns, or those of carry, whatever their names, as a struct), the features,
     base_failed and kept. Documents that fail a fence or the base rule are not kept."""
@@ -162,8 +177,7 @@ def judge_quality(docs: DataFrame, rules: Rules = Rules(), carry: list[str] | No
     inside = F.lit(True)
     for f in FEATURES:
         inside = inside & F.coalesce(F.col(f) >= F.col(f"fence.lo_{f}"), F.lit(True)) & F.coalesce(F.col(f) <= F.col(f"fence.hi_{f}"), F.lit(True))
-    # the fences number languages times sources; the optimiser sees their size and chooses the join
-    joined = features.join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    joined = _beside(features, fences, rules)
     return joined.select("row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), *FEATURES)
 
 

@@ -1,6 +1,7 @@
 """Near-duplicates, repeated passages and quality rules against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -156,6 +157,59 @@ def test_quality_counts(spark, source):
         assert r["kept"] is not None and not (r["base_failed"] and r["kept"])
 
 
+def quality_band(rows, group, rules, error):
+    """For each document its verdicts under fences from exact quantiles of ranks off by `error` either way: (strict, lenient)."""
+
+    def fence(values, sides, floor, off):
+        v = sorted(values)
+        at = lambda q: v[min(len(v) - 1, max(0, math.ceil(q * len(v)) - 1))]
+        lo, hi = at(0.25 - off), at(0.75 + off)
+        narrow = at(0.75 + off) - at(0.25 - off)
+        slack = max(rules.reach * narrow, floor)
+        return (lo - slack if sides == "both" else -math.inf), hi + slack
+
+    base = [r for r in rows if not r["base_failed"]]
+    out = {}
+    for r in rows:
+        pools = [[x for x in base if group(x) == group(r)], [x for x in base if x["lang"] == r["lang"]], base]
+        pool = next((x for x in pools[:2] if len(x) >= rules.min_group), base)
+        verdicts = []
+        for off in (-error, error):
+            ok = not r["base_failed"]
+            for f, (sides, floor) in quality.FEATURES.items():
+                if ok:
+                    lo, hi = fence([x[f] for x in pool], sides, floor, off)
+                    ok = lo <= r[f] <= hi
+            verdicts.append(ok)
+        out[r["key"]] = tuple(verdicts)
+    return out
+
+
+@pytest.mark.parametrize("source", [SF, SF01])
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_quality_verdicts_against_exact_quantiles(spark, source, broadcast):
+    """Fences are those of exact quantiles within the rank error of the sketches, by broadcast and by salted join."""
+    rules = quality.Rules(min_group=40, broadcast_groups=broadcast)
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    rows = []
+    for r in docs.collect():
+        n, chars, symbols, dup, repeat, failed = brute_quality(r["text"])
+        lines = sum(bool(WORD.search(x)) for x in (r["text"] or "").split("\n"))
+        shares = {"mean_word_chars": chars / max(n, 1), "symbol_share": symbols / max(chars, 1), "dup_line_share": dup / max(lines, 1), "repeat_share": repeat / max(n, 1)}
+        rows.append({"key": r["doc_id"], "lang": r["lang"], "source": r["source"], "base_failed": failed} | shares)
+    expected = quality_band(rows, lambda x: (x["lang"], x["source"]), rules, 0.01)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs, rules).select("row.doc_id", "kept").collect()}
+    assert got.keys() == expected.keys()
+    assert not [k for k, v in got.items() if (expected[k][0] and not v) or (v and not expected[k][1])]
+    assert any(not v for v in got.values()) and any(got.values())
+
+
+def test_a_long_text_has_no_false_repeats(spark):
+    text = " ".join(f"w{i}" for i in range(300_000))
+    got = quality.judge_quality(documents(spark, [(1, text, "en", "a", 1), (2, text, "en", "a", 1), (3, text + " w1 w2 w3", None, None, None)])).collect()
+    assert [r["n_repeat_words"] for r in sorted(got, key=lambda r: r["n_words"])] == [0, 0, 6]
+
+
 def test_quality_verdicts_follow_the_labels(spark):
     got = quality.op9_adaptive_quality(spark, SF01).join(spark.read.parquet(f"{SF01}/labels.parquet"), "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r["quality"], r["kept"]): r["count"] for r in got}
