@@ -12,10 +12,12 @@ A document is read by its block (first_doc_id and last_doc_id are Parquet statis
 its two offsets; no other frame is touched. Shards hold ascending ranges of doc_id, so the store is in doc_id order.
 
 The dictionary is trained on a bounded sample (`sample_docs` documents, about those with the smallest hash of
-doc_id, the first `sample_bytes` of each), a parameter of compression alone; every document is encoded whole.
+doc_id; of each a span of `sample_ids` ids at a hashed place), a parameter of compression alone; every document is encoded
+whole. An id too large for `width` raises.
 
-Nulls: a null text is the empty text (just the end id); a null doc_id sorts first. Equal doc_ids are ordered by text.
-An empty table gives an empty store. Other columns are ignored.
+Nulls: a null text is the empty text (just the end id); a null doc_id sorts first. Equal doc_ids are ordered by text, and
+repeated rows are stored as often as they occur. A very long text is one frame in a block of its own size. An empty table
+gives an empty store. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,16 +44,36 @@ _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary"
 
 
 def _serialized(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
+    """Ids in 2 or 4 bytes each; an id that does not fit raises."""
+    if width == 4:
+        return ids
+    own = np.frombuffer(ids, "<u4")
+    if len(own) and own.max() > 0xFFFF:
+        raise ValueError(f"id {own.max()} needs width 4")
+    return own.astype("<u2").tobytes()
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample_docs: int, sample_bytes: int, dict_bytes: int) -> bytes:
-    """A zstandard dictionary from the serialized ids of the sample; empty where the sample is too small for one."""
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample_docs: int, sample_ids: int, dict_bytes: int) -> bytes:
+    """A zstandard dictionary from the serialized ids of the sample; empty where the sample is too small for one.
+
+    Sampled documents are encoded whole in tasks; of each a span of at most `sample_ids` ids, at a place that follows from
+    its hash, comes to the driver. So at most twice sample_docs * sample_ids ids do, whatever the texts.
+    """
     import zstandard
 
-    picked = bounded_sample(docs.select("doc_id", F.substring("text", 1, sample_bytes).alias("text")), sample_docs, "doc_id")
-    codec, end = library_codec(tokenizer), np.array([end_id], "<u4").tobytes()
-    samples = [_serialized(codec.encode(r["text"] or "") + end, width) for r in picked.collect()]  # at most twice sample_docs rows
+    def spans(batches):
+        codec, end = library_codec(tokenizer), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            out = []
+            for text in text_of(batch.column(0)):
+                ids = codec.encode(text) + end
+                room = len(ids) // 4 - sample_ids
+                at = 4 * (zlib.crc32(ids) % (room + 1)) if room > 0 else 0
+                out.append(_serialized(ids[at : at + 4 * sample_ids], width))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
+
+    picked = bounded_sample(docs.select("doc_id", "text"), sample_docs, "doc_id")
+    samples = [bytes(r["ids"]) for r in picked.select("text").mapInArrow(spans, "ids binary").collect()]  # at most twice sample_docs rows
     try:
         return zstandard.train_dictionary(min(dict_bytes, sum(map(len, samples)) // 8), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -68,13 +90,13 @@ def write_store(
     level: int = 3,
     block_bytes: int = 4 << 20,
     sample_docs: int = 1000,
-    sample_bytes: int = 8000,
+    sample_ids: int = 2000,
     dict_bytes: int = 64 << 10,
 ) -> None:
     """Encode, compress and write every document, in ascending doc_id order. width 2 needs ids below 65,536."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    trained = train_dictionary(docs, tokenizer, end_id, width, sample_docs, sample_bytes, dict_bytes)
+    trained = train_dictionary(docs, tokenizer, end_id, width, sample_docs, sample_ids, dict_bytes)
     digest = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(trained, digest)], "dictionary binary, dict_sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
     shards = shards or max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()) * 2

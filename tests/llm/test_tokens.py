@@ -96,6 +96,35 @@ def test_token_files_round_trip(spark):
     assert tokenfiles.read_document(spark, path, 99999) is None
 
 
+def test_token_files_of_awkward_tables(spark, tmp_path):
+    """The query over nulls in every column, repeated rows and clashing names; wide ids are refused, not cut."""
+    docs = documents(spark).unionByName(documents(spark, [(None, "no id", None, None, None), (None, None, None, None, None)]))
+    docs.withColumns({c: F.lit("x") for c in ("shard", "block", "ends", "payload", "start", "n_tokens")}).write.parquet(f"{tmp_path}/documents.parquet")
+    got = tokenfiles.op6_token_id_files(spark, str(tmp_path)).orderBy("start").collect()
+    rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in rows]
+    assert [r["n_tokens"] for r in got] == [len(_ids("word_bpe_49k.json", r["text"], 1)) for r in rows]
+    documents(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert tokenfiles.op6_token_id_files(spark, f"{tmp_path}/none").collect() == []
+    assert tokenfiles._serialized(_u4([65535]), 2) == b"\xff\xff"
+    with pytest.raises(ValueError):
+        tokenfiles._serialized(_u4([3, 65536]), 2)
+
+
+def test_steps_need_a_shared_folder_and_can_be_discarded(spark):
+    from types import SimpleNamespace
+
+    from corpusflow.llm import common
+
+    bare = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=dict), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError):
+        common.shared_dir(bare)
+    step = common.materialize(spark.range(3), "step")
+    assert step.count() == 3
+    common.discard_steps(spark)
+    assert not __import__("os").path.exists(common._steps(spark).removeprefix("file://"))
+
+
 def test_token_files_query(spark):
     got = {r["doc_id"]: r for r in tokenfiles.op6_token_id_files(spark, SF).collect()}
     library, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
