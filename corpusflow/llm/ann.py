@@ -10,12 +10,15 @@ the search verifies points in order of projected distance until that test holds
 Cells. A kd-tree over a bounded sample of projections (`sample` vectors, those with the smallest hash; it shapes the
 cells only, every vector is indexed) cuts the space into cells; a cell of more than `cell_rows` vectors is dealt into
 parts. Each part gets a kd-tree of its own in the task that searches it. Every query first searches its own cell, which
-bounds its k-th distance, and then the other cells for which the test does not hold, judged by their bounding boxes.
-Queries of a cell are dealt into blocks too, so a task holds a part and a block of bounded size whatever the skew.
+bounds its k-th distance, then the `near_cells` nearest others for which the test does not hold, judged by their bounding
+boxes, which tightens the bound, and then the rest of them. Queries of a cell are dealt into blocks too, so a task holds a
+part and a block of bounded size whatever the skew.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part, as
-queries or candidates. With fewer than k candidates all are returned. Rows that share an id count as one candidate each,
-none of them for the query of that id. Ties go to the smaller id. An empty table gives no rows.
+queries or candidates; neither do rows without an id. With fewer than k candidates all are returned. Rows are told apart by
+a number that they get when the index is written: rows that share an id are a candidate each, with its own score, and a
+query each, with a list of its own; only the query's own row is left out of it. Ties go to the smaller id. An empty table
+gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import bounded_sample, materialize, read_table
@@ -34,12 +37,13 @@ from corpusflow.llm.common import bounded_sample, materialize, read_table
 @dataclass(frozen=True)
 class Projection:
     dims: int = 8
-    confidence: float = 0.95
+    confidence: float = 0.7
     seed: int = 11
     sample: int = 20_000
     cell_rows: int = 8192
     most_cells: int = 1024
-    query_rows: int = 512
+    query_rows: int = 8192
+    near_cells: int = 3
     leaf: int = 64
 
 
@@ -55,11 +59,11 @@ def chi_square_quantile(p: float, dims: int) -> float:
     return hi
 
 
-def valid_vectors(vectors: DataFrame, vec_id: str, column: str) -> DataFrame:
-    """id and vec (array<double>) of the vectors that take part."""
+def valid_vectors(vectors: DataFrame, vec_id: str, column: str, asked: str) -> DataFrame:
+    """id, vec (array<double>) and asked of the vectors that take part."""
     v = F.col("vec")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("vec"), F.col(asked).alias("asked")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
     size = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()  # the length that most have
     return rows.where(F.size("vec") == (size["n"] if size else 0))
 
@@ -121,21 +125,27 @@ def _box_distance(low: np.ndarray, high: np.ndarray, points: np.ndarray) -> np.n
     return out
 
 
-def search_part(ids, vecs, points, q_ids, q_vecs, q_points, bound, scale, k, quantile, leaf):
-    """The k best candidates of a part for each query, best first: rows of (query, id, similarity), similarity the scaled
-    inner product rounded so that equal vectors tie. bound: similarity that a result must reach.
+def search_part(ids, rows, vecs, points, q_rows, q_vecs, q_points, bound, scale, k, quantile, leaf):
+    """The k best candidates of a part for each query, best first: their scaled inner products, rounded so that equal vectors
+    tie, their places in the part (-1: none), and how many candidates each query was compared with. bound: the least
+    similarity that a result must reach.
 
     Leaves are visited in order of projected distance, more at a time as the search goes on, until the test holds.
     """
     order, edges = _leaves(points, leaf)
-    ids, vecs, points = ids[order], vecs[order], points[order]
-    low = np.array([points[a:b].min(axis=0) for a, b in zip(edges, edges[1:])])
-    high = np.array([points[a:b].max(axis=0) for a, b in zip(edges, edges[1:])])
+    low = np.array([points[order[a:b]].min(axis=0) for a, b in zip(edges, edges[1:])])
+    high = np.array([points[order[a:b]].max(axis=0) for a, b in zip(edges, edges[1:])])
     away = _box_distance(low, high, q_points)
     rank = np.argsort(away, axis=1, kind="stable")
     unit = scale * np.linalg.norm(q_vecs, axis=1)
-    best = np.full((len(q_ids), k), -np.inf)
-    who = np.full((len(q_ids), k), np.iinfo(np.int64).max)
+    # ties go by id, then row: a candidate's number is its place in that order
+    by_id = np.lexsort((rows, ids))
+    number = np.empty(len(ids), np.int64)
+    number[by_id] = np.arange(len(ids))
+    number, own_rows, own_vecs = number[order], rows[order], vecs[order]
+    best = np.full((len(q_rows), k), -np.inf)
+    who = np.full((len(q_rows), k), len(ids))
+    scored = np.zeros(len(q_rows), np.int64)
     done, step = 0, 1
     while done < len(low):
         kth = np.maximum(best[:, -1], bound)
@@ -150,21 +160,29 @@ def search_part(ids, vecs, points, q_ids, q_vecs, q_points, bound, scale, k, qua
         cuts = np.flatnonzero(np.concatenate([[True], leaf_of[1:] != leaf_of[:-1]]))
         for a, b in zip(cuts, np.append(cuts[1:], len(q))):
             own, part = q[a:b], slice(edges[leaf_of[a]], edges[leaf_of[a] + 1])
-            score = np.round(q_vecs[own] @ vecs[part].T / unit[own][:, None], 12)
-            score[(ids[part][None, :] == q_ids[own][:, None]) | (score < bound[own][:, None])] = -np.inf
+            score = np.round(q_vecs[own] @ own_vecs[part].T / unit[own][:, None], 12)
+            scored[own] += score.shape[1]
+            score[(own_rows[part][None, :] == q_rows[own][:, None]) | (score < bound[own][:, None])] = -np.inf
+            hit = np.flatnonzero((score >= best[own, -1][:, None]).any(axis=1) & (score > -np.inf).any(axis=1))
+            own, score = own[hit], score[hit]
             all_ = np.concatenate([best[own], score], axis=1)
-            names = np.concatenate([who[own], np.broadcast_to(ids[part], score.shape)], axis=1)
-            names[all_ == -np.inf] = np.iinfo(np.int64).max
+            names = np.concatenate([who[own], np.broadcast_to(number[part], score.shape)], axis=1)
+            names[all_ == -np.inf] = len(ids)
             top = np.lexsort((names, -all_), axis=1)[:, :k]
             best[own], who[own] = np.take_along_axis(all_, top, axis=1), np.take_along_axis(names, top, axis=1)
         done, step = done + step, step * 2
-    return best, who
+    return best, np.append(by_id, -1)[who], scored
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, p: Projection = Projection(), vec_id: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score for each valid row of queries (same columns as vectors): its k nearest found."""
+def nearest(vectors: DataFrame, asked: Column | DataFrame, k: int = 20, p: Projection = Projection(), vec_id: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query.
+
+    asked: a condition, which names the rows of vectors that are queries too, or a table of queries with the same columns.
+    """
     spark = vectors.sparkSession
-    rows = valid_vectors(vectors, vec_id, column)
+    within = isinstance(asked, Column)
+    marked = vectors.withColumn("__asked", F.coalesce(asked, F.lit(False)) if within else F.lit(False))
+    rows = materialize(valid_vectors(marked, vec_id, column, "__asked").withColumn("row", F.monotonically_increasing_id()), "ann-vectors")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm"), F.max(F.size("vec")).alias("d")).first()
     n, scale, width = facts["n"], facts["norm"] or 1.0, facts["d"] or 1
@@ -186,16 +204,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, p: Projection =
     def place(query: bool):
         def run(batches):
             for batch in batches:
-                v = _rows(batch.column(1), width)
+                v = _rows(batch.column(2), width)
                 x = projected(v, query)
                 points = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), m).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), points, pa.array(cells.of(x).astype(np.int32))], ["id", "vec", "point", "cell"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), points, pa.array(cells.of(x).astype(np.int32))], ["id", "row", "vec", "point", "cell"])
 
         return run
 
-    placed = "id long, vec array<double>, point array<double>, cell int"
-    index = materialize(rows.mapInArrow(place(False), placed), "ann-index")
-    asked = materialize(valid_vectors(queries, vec_id, column).where(F.size("vec") == width).mapInArrow(place(True), placed), "ann-queries")
+    placed = "id long, row long, vec array<double>, point array<double>, cell int"
+    index = materialize(rows.select("id", "row", "vec").mapInArrow(place(False), placed), "ann-index")
+    if within:
+        queries = rows.where("asked").select("id", "row", "vec")
+    else:
+        outside = valid_vectors(asked.withColumn("__asked", F.lit(True)), vec_id, column, "__asked").where(F.size("vec") == width)
+        queries = materialize(outside.select("id", (-1 - F.monotonically_increasing_id()).alias("row"), "vec"), "ann-outside")
+    asked = materialize(queries.mapInArrow(place(True), placed), "ann-queries")
     edges = [f(F.col("point")[i]).alias(f"{name}{i}") for i in range(m) for name, f in (("lo", F.min), ("hi", F.max))]
     boxes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *edges).collect()  # one row per cell, at most p.most_cells
     low = np.array([[r[f"lo{i}"] for i in range(m)] for r in boxes], float).reshape(-1, m)
@@ -203,54 +226,65 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, p: Projection =
     names = np.array([r["cell"] for r in boxes], np.int32)
     parts = spark.createDataFrame([(r["cell"], max(1, -(-r["n"] // p.cell_rows))) for r in boxes], "cell int, parts int")
     parts = F.broadcast(parts)  # at most p.most_cells rows
+    result = "query_id long, query_row long, vec_id long, row long, score double"
 
     def searched(routed: DataFrame) -> DataFrame:
-        """routed: id, vec, point, bound, cell. The results of every (query, cell), already cut to k for each part."""
+        """routed: id, row, vec, point, bound, cell. The results of every (query, cell), already cut to k for each part."""
         blocks = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.query_rows)).cast("int").alias("blocks"))
         blocks = F.broadcast(spark.createDataFrame([tuple(r) for r in blocks.collect()], "cell int, blocks int"))  # one row per cell
         data = index.join(parts, "cell").join(blocks, "cell")
-        data = data.select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "vec", "point")
+        data = data.select("cell", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "row", "vec", "point")
         some = routed.join(parts, "cell").join(blocks, "cell")
-        some = some.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "vec", "point", "bound")
+        some = some.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "id", "row", "vec", "point", "bound")
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            q, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            out = [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
             if left.num_rows and right.num_rows:
                 vecs, q_vecs = _rows(left.column("vec"), width), _rows(right.column("vec"), width)
-                ids, q_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-                best, who = search_part(ids, vecs, _rows(left.column("point"), m), q_ids, q_vecs, _rows(right.column("point"), m), right.column("bound").to_numpy(), scale, k, quantile, p.leaf)
-                a, b = np.nonzero(best > -np.inf)
-                place_of = np.argsort(ids, kind="stable")
-                at = place_of[np.searchsorted(ids[place_of], who[a, b])]
-                q, i = q_ids[a], who[a, b]
-                s = (vecs[at] * q_vecs[a]).sum(axis=1)  # one order of addition, so that equal vectors score the same
-            return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+                ids, rows, q_ids, q_rows = (t.column(c).to_numpy() for t in (left, right) for c in ("id", "row"))
+                _, who, _ = search_part(ids, rows, vecs, _rows(left.column("point"), m), q_rows, q_vecs, _rows(right.column("point"), m), right.column("bound").to_numpy(), scale, k, quantile, p.leaf)
+                a, b = np.nonzero(who >= 0)
+                at = who[a, b]
+                # one order of addition, so that equal vectors score the same
+                out = [q_ids[a], q_rows[a], ids[at], rows[at], (vecs[at] * q_vecs[a]).sum(axis=1)]
+            return pa.table({f.split()[0]: pa.array(x, pa.float64() if f.endswith("double") else pa.int64()) for f, x in zip(result.split(", "), out)})
 
         keys = ["cell", "part", "block"]
-        return data.groupBy(*keys).cogroup(some.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+        return data.groupBy(*keys).cogroup(some.groupBy(*keys)).applyInArrow(run, result)
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    first = materialize(top(searched(asked.withColumn("bound", F.lit(float("-inf"))).select("id", "vec", "point", "bound", "cell"))), "ann-own")
-    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-
-    def route(batches):
-        for batch in batches:
-            v, x, own = _rows(batch.column(1), width), _rows(batch.column(2), m), batch.column(3).to_numpy()
-            kth_score = batch.column(4).to_numpy(zero_copy_only=False)
-            bound = np.where(np.isnan(kth_score), -np.inf, kth_score / (scale * np.linalg.norm(v, axis=1)) - 1e-11)
-            near = _box_distance(low, high, x) < (quantile * np.maximum(0, 2 - 2 * bound) + 1e-9)[:, None]
-            near &= names[None, :] != own[:, None]
-            q, c = np.nonzero(near)
-            take = pa.array(q)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(bound[q]), pa.array(names[c])], ["id", "vec", "point", "bound", "cell"])
-
-    more = asked.join(kth, "id", "left").select("id", "vec", "point", "cell", F.col("kth").cast("double"))
-    more = materialize(more.mapInArrow(route, "id long, vec array<double>, point array<double>, bound double, cell int"), "ann-routes")
-    found = first.select("query_id", "vec_id", "score").unionByName(searched(more))
-    return top(found).select("query_id", "rank", "vec_id", "score")
+    routes = "id long, row long, vec array<double>, point array<double>, bound double, cell int"
+
+    def route(from_: int, to: int | None):
+        """Cells of each query, nearest first, from the from_-th to the to-th, for which the test does not hold; its own is left out."""
+
+        def run(batches):
+            for batch in batches:
+                v, x, own = _rows(batch.column(2), width), _rows(batch.column(3), m), batch.column(4).to_numpy()
+                kth = batch.column(5).to_numpy(zero_copy_only=False)
+                bound = np.where(np.isnan(kth), -np.inf, kth / (scale * np.linalg.norm(v, axis=1)) - 1e-11)
+                away = _box_distance(low, high, x)
+                away[names[None, :] == own[:, None]] = np.inf
+                some = np.argsort(away, axis=1, kind="stable")[:, from_:to]
+                near = np.take_along_axis(away, some, axis=1) < (quantile * np.maximum(0, 2 - 2 * bound) + 1e-9)[:, None]
+                q, j = np.nonzero(near)
+                take = pa.array(q)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), pa.array(bound[q]), pa.array(names[some[q, j]])], ["id", "row", "vec", "point", "bound", "cell"])
+
+        return run
+
+    found = materialize(top(searched(asked.withColumn("bound", F.lit(float("-inf"))).select("id", "row", "vec", "point", "bound", "cell"))), "ann-own")
+    for from_, to in ((0, p.near_cells), (p.near_cells, None)):
+        if len(boxes) - 1 <= from_:
+            break
+        kth = found.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("kth"))
+        more = asked.join(kth, "row", "left").select("id", "row", "vec", "point", "cell", F.col("kth").cast("double"))
+        more = materialize(more.mapInArrow(route(from_, to), routes), "ann-routes")
+        found = materialize(top(found.drop("rank").unionByName(searched(more))), "ann-found")
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = read_table(spark, sf_dir, "embeddings")
-    return nearest(table, table.where(F.col("vec_id") % 20 == 0))
+    """The rows whose vec_id is divisible by 20 search all rows but their own."""
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -76,7 +76,7 @@ def test_neighbours(spark, small):
     expected = brute_neighbours(ids, vecs, 20)
     p = ann.Projection(cell_rows=100, query_rows=7, sample=300, leaf=16) if small else ann.Projection()
     got = {}
-    for r in ann.nearest(table, table.where("vec_id % 20 = 0"), 20, p).collect():
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 20, p).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert got.keys() == expected.keys()
     hits = 0
@@ -99,12 +99,32 @@ def test_awkward_vectors(spark):
     ids = np.array([r[0] for r in rows[:110]])
     expected = brute_neighbours(ids, np.array([r[1] for r in rows[:110]]), 20)
     got = {}
-    for r in ann.nearest(table, table.where("vec_id % 20 = 0"), 20, ann.Projection(cell_rows=16, leaf=4, query_rows=2, confidence=0.999999)).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 20, ann.Projection(cell_rows=16, leaf=4, query_rows=2, confidence=0.999999)).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {q: [i for i, _ in e] for q, e in expected.items()}
-    few = ann.nearest(table.limit(3), table.limit(3).where("vec_id = 0"), 20)
+    few = ann.nearest(table.limit(3), F.col("vec_id") == 0, 20)
     assert [r["rank"] for r in few.orderBy("rank").collect()] == [1, 2]
-    assert ann.nearest(table.limit(0), table.limit(0)).collect() == []
+    assert ann.nearest(table.limit(0), F.lit(True)).collect() == []
+
+
+def test_rows_that_share_an_id(spark):
+    """Each row is a candidate with its own score and, if asked, a query with its own list without itself."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [-0.9, 0.1]), (20, [0.5, 0.5]), (20, [0.5, 0.5]), (20, [0.0, 1.0]), (2, [0.3, 0.2])]
+    rows += [(int(i), [float(x) for x in rng.normal(size=2)]) for i in rng.integers(3, 15, 30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "row", "asked", "rank")})
+    vecs, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    lists = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = (vecs * vecs[at]).sum(axis=1)
+        rest = np.array([j for j in range(len(rows)) if j != at])
+        rest = rest[np.lexsort((ids[rest], -score[rest].round(12)))][:5]
+        lists += [(int(ids[at]), r + 1, int(ids[j]), round(float(score[j]), 9)) for r, j in enumerate(rest)]
+    for p in (ann.Projection(confidence=0.999999), ann.Projection(confidence=0.999999, cell_rows=8, leaf=2, query_rows=2)):
+        got = ann.nearest(table, F.col("vec_id") % 20 == 0, 5, p).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(lists)
+    outside = ann.nearest(table, table.where("vec_id = 0"), 1).collect()
+    assert [(r["query_id"], round(r["score"], 9)) for r in outside] == [(0, round(float((vecs @ vecs[0]).max()), 9))]  # itself is a candidate here
 
 
 def test_chi_square():
