@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm.common import materialize, read_table
 from corpusflow.llm.linededup import drop_recurring_lines
 from corpusflow.llm.neardup import near_duplicates
-from corpusflow.llm.packing import pack_documents
+from corpusflow.llm.packing import Capacities, pack_documents
 from corpusflow.llm.quality import judge_quality
 from corpusflow.llm.substrings import drop_repeats
 from corpusflow.shipping import ship_package
@@ -21,12 +21,18 @@ def _like(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, with all their columns as they are.
+
+    Null and empty texts fail the base rule; null lang or source is a group of its own; very long texts are judged whole;
+    repeated rows get one verdict each, the same; values on a fence are kept; no rows give none."""
     return judge_quality(docs).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without its recurring lines."""
+    """Every document, without its recurring lines; n_chars follows, other columns stay whatever their names.
+
+    Null texts stay null; texts that lose all lines become empty; very long texts are lines like others; repeated rows lose
+    the same lines; no rows give none."""
     return _like(drop_recurring_lines(docs), docs)
 
 
@@ -52,7 +58,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, whether their ids differ, repeat or are null."""
+    """One row of each group of near copies, whether their ids differ, repeat or are null, with its columns as they are.
+
+    Null and empty texts are linked with nothing and stay, repeated rows among them once; of a group the smallest id stays,
+    of its rows any; very long texts are compared whole; no rows give none."""
     ship_package(spark)
     columns = [f"`{c}`" for c in docs.columns]
     marked = _documents(docs)
@@ -63,15 +72,25 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without passages that occur elsewhere."""
+    """Every document, without passages that occur elsewhere; n_chars follows, other columns stay whatever their names.
+
+    Null texts stay null; texts below a window stay as they are; very long texts are searched whole; repeated rows would
+    lose all to each other, but the stage before leaves one; no rows give none."""
     ship_package(spark)
     return _like(drop_repeats(docs), docs)
 
 
+#: Sequences of the pipeline: at most 4 documents, and at most three quarters of the attention cost of one full piece unless
+#: a longer piece stands alone.
+SEQUENCES = Capacities(tokens=1024, pieces=4, attention=3 * 1024 * 1024 // 4)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents placed in sequences."""
+    """Pieces of documents placed in sequences, under token, document and attention capacities. A null text is the empty one;
+    very long texts are cut into pieces; repeated rows are packed as often as they occur; no rows give none; columns other
+    than doc_id and text end here."""
     ship_package(spark)
-    return pack_documents(docs)
+    return pack_documents(docs, caps=SEQUENCES)
 
 
 STAGES = [
