@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents into fixed-length sequences, under several capacities.
 
 Every document becomes pieces of at most `seq_len` tokens. A sequence is a bin with three capacities:
-tokens, pieces and attention cost (the sum of squared piece lengths). Pieces go in by descending length;
+tokens, pieces and attention cost (the sum of squared piece lengths). A piece whose own cost is beyond the attention
+capacity uses all of it, so it stands alone in its sequence. Pieces go in by descending length;
 each takes, among the open bins that can hold it under every constraint, the one that scores best, by the
 weighted norm of what stays free ("norm") or by the weighted dot-product of need and free room ("dot").
 
@@ -10,8 +11,10 @@ lengths (at most seq_len numbers, whatever the corpus), moving whole groups of e
 yields a table of ranges: the pieces of one length with ranks from a to b go to these bins at this offset.
 Ranks come from counts per partition and length, so neither a global sort nor a single task is needed.
 
-Nulls: a null text is the empty text (one piece: the end id). Equal documents and repeated rows are packed
-as often as they occur. An empty table gives no rows. Other columns are ignored.
+Nulls: a null text is the empty text (one piece: the end id); a null doc_id stays null. Very long texts are cut into as
+many pieces as they need. Equal documents and repeated rows are packed as often as they occur; pieces of equal length are
+numbered by partition and place in it, bins that score equally by their free room. An empty table gives no rows. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from corpusflow.llm.wordcodec import library_codec
 
 @dataclass(frozen=True)
 class Capacities:
-    """tokens and pieces of a sequence, and the attention cost that it may have; None: what tokens imply."""
+    """tokens and pieces of a sequence, and the attention cost that it may have; None: what tokens imply, which never binds
+    before they do."""
 
     tokens: int = 1024
     pieces: int | None = None
@@ -53,9 +57,9 @@ def plan_bins(histogram: dict[int, int], caps: Capacities) -> dict[str, np.ndarr
     states: dict[tuple[int, int, int], list[list[int]]] = {}  # free capacities: runs of [first bin, number]
     out, bins = [], 0
     for length in sorted(histogram, reverse=True):
-        left, rank, need = histogram[length], 0, np.array([length, 1, length * length])
-        if (need > top).any():
-            raise ValueError(f"a piece of {length} tokens fits no sequence under {caps}")
+        if length > caps.tokens:
+            raise ValueError(f"a piece of {length} tokens fits no sequence of {caps.tokens}")
+        left, rank, need = histogram[length], 0, np.minimum([length, 1, length * length], top).astype(np.int64)
         free = [s for s in states if s[0] >= need[0] and s[1] >= 1 and s[2] >= need[2]]
         if free:
             room = np.array(free, dtype=float)

@@ -50,12 +50,9 @@ def test_packing_whole_and_gapless(spark):
         assert at <= 1024
 
 
-@pytest.mark.parametrize("rule", ["norm", "dot"])
-def test_plan_respects_every_capacity(rule):
-    rng = np.random.default_rng(3)
-    lengths = np.minimum(64, rng.geometric(0.05, 3000))
+def planned(lengths, caps):
+    """Bins of plan_bins as lists of (offset, length), every piece placed by its length and rank."""
     histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
-    caps = packing.Capacities(tokens=64, pieces=5, attention=3000 + 64 * 64 - 3000, rule=rule)
     plan = packing.plan_bins(histogram, caps)
     bins = defaultdict(list)
     for length, n in histogram.items():
@@ -64,16 +61,68 @@ def test_plan_respects_every_capacity(rule):
         for rank in range(n):
             k = own[np.searchsorted(plan["rank"][own], rank, side="right") - 1]
             nth = rank - plan["rank"][k]
-            bins[plan["bin"][k] + nth // plan["each"][k]].append((plan["offset"][k] + nth % plan["each"][k] * length, length))
+            bins[int(plan["bin"][k] + nth // plan["each"][k])].append((int(plan["offset"][k] + nth % plan["each"][k] * length), length))
+    return {k: sorted(v) for k, v in bins.items()}
+
+
+def plain_best_fit(lengths, caps):
+    """Numbers of bins by the rule, piece by piece: best fit under every capacity, pieces by descending length."""
+    top, bins = caps.full(), []
+    weight = np.array(caps.weights) / top
+    for length in sorted(lengths, reverse=True):
+        need = np.minimum([length, 1, length * length], top)
+        best = None
+        for i, room in enumerate(bins):
+            if (room >= need).all():
+                score = (((room - need) * weight) ** 2).sum() if caps.rule == "norm" else -(room / top * (need / top) * caps.weights).sum()
+                if best is None or (score, room[0], room[1]) < best[0]:
+                    best = (score, room[0], room[1]), i
+        if best is None:
+            bins.append(np.array(top) - need)
+        else:
+            bins[best[1]] = bins[best[1]] - need
+    return len(bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("pieces, attention", [(5, None), (None, 1500), (5, 1500), (None, None)])
+def test_plan_respects_every_capacity(rule, pieces, attention):
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(64, rng.geometric(0.05, 1500))
+    caps = packing.Capacities(tokens=64, pieces=pieces, attention=attention, rule=rule)
+    bins = planned(lengths, caps)
     assert sum(map(len, bins.values())) == len(lengths)
-    for pieces in bins.values():
-        pieces.sort()
-        assert pieces[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(pieces, pieces[1:]))
-        assert sum(n for _, n in pieces) <= 64 and len(pieces) <= 5 and sum(n * n for _, n in pieces) <= 4096
+    fits = lambda own: len(own) <= (pieces or 64) and (len(own) == 1 or sum(n * n for _, n in own) <= (attention or 4096))
+    for own in bins.values():
+        assert own[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 64
+        assert fits(own)
+    # the capacities bind: without them sequences break them, and fewer are made
+    free = planned(lengths, packing.Capacities(tokens=64, rule=rule))
+    assert (pieces is None and attention is None) or (not all(map(fits, free.values())) and len(free) < len(bins))
+    # as many bins as the rule makes one piece at a time, which does not take equal bins in groups
+    assert len(bins) <= plain_best_fit(lengths, caps) * 1.02 + 1
     with pytest.raises(ValueError):
         packing.plan_bins({65: 1}, caps)
 
 
+def test_pipeline_capacities_bind(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = corpus_pipeline.best_fit_packing(spark, docs, SF).groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("length") ** 2).alias("cost"), F.sum("length").alias("tokens")).collect()
+    top = corpus_pipeline.SEQUENCES
+    assert all(r["tokens"] <= top.tokens and r["n"] <= top.pieces and (r["n"] == 1 or r["cost"] <= top.attention) for r in rows)
+    free = packing.op7_best_fit_packing(spark, SF).groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("length") ** 2).alias("cost")).collect()
+    assert any(r["n"] > top.pieces for r in free) and any(r["n"] > 1 and r["cost"] > top.attention for r in free)
+
+
+def test_packing_of_nothing(spark, tmp_path):
+    documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert packing.op7_best_fit_packing(spark, str(tmp_path)).collect() == []
+    clashing = documents(spark, [(None, None, None, None, None), (1, "a b", "x", "y", 1)]).withColumns({c: F.lit("x") for c in ("part", "length", "rank", "offset", "n", "before")})
+    assert sorted((r["doc_id"], r["length"]) for r in packing.pack_documents(clashing).collect() if r["doc_id"]) == [(1, 3)]
+
+
 def test_packing_is_tight(spark):
     got = packing.op7_best_fit_packing(spark, SF).agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("t"), F.sum(F.when(F.col("length") == 1024, 0).otherwise(F.col("length"))).alias("r")).first()
     assert got["n"] <= -(-got["t"] // 1024) * 1.02 + 1
