@@ -8,8 +8,9 @@ came from. Pieces cover the normalised text in a row, so each projects to a span
 The ids are the library's. Where the character map is empty and words stand apart plainly, a worker keeps the
 ids of the words it has met (see wordcodec); every other text is encoded by the library whole.
 
-Nulls: a null text is the empty text (begin and end id only). Repeated rows give repeated results; an empty
-table none. Other columns are ignored.
+Nulls: a null text is the empty text (begin and end id only); a null doc_id stays null. Very long texts are normalised and
+encoded whole, in memory proportional to the text. Repeated rows give repeated results; an empty table none. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,6 +62,14 @@ class CharacterMap:
         n = int.from_bytes(compiled[:4], "little") if compiled else 0
         self.units = np.frombuffer(compiled[4 : 4 + n], "<u4").tolist()
         self.replacements = compiled[4 + n :]
+        #: Bytes with which some key begins.
+        self.leads = np.array([self._begins(byte) for byte in range(256)])
+
+    def _begins(self, byte: int) -> bool:
+        if not self.units:
+            return False
+        base = (self.units[0] >> 10) << ((self.units[0] & 512) >> 6)
+        return self.units[base ^ byte] & 0x800000FF == byte
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest key that starts here, and its replacement."""
@@ -69,7 +78,7 @@ class CharacterMap:
         found, node = None, 0
         unit = self.units[0]
         base = (unit >> 10) << ((unit & 512) >> 6)
-        for length, byte in enumerate(data[at:], 1):
+        for length, byte in enumerate(data[at : at + 256], 1):  # longer than any key
             node = base ^ byte
             unit = self.units[node]
             if unit & 0x800000FF != byte:
@@ -85,49 +94,59 @@ class CharacterMap:
 
 
 class Normalizer:
-    """Text to normalised bytes with, for each of them and the end, the original byte offset."""
+    """Text to normalised bytes with, for each of them and the end, the original byte offset.
+
+    The longest key of the character map is looked for at every character with which one can begin; everything else is
+    copied, and spaces are trimmed, escaped and aligned, in whole arrays.
+    """
 
     def __init__(self, spec: bytes):
         fields = dict(proto_fields(spec))
         self.map = CharacterMap(fields.get(2, b""))
         self.dummy_prefix, self.trim, self.escape = (bool(fields.get(k, 1)) for k in (3, 4, 5))
 
-    def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
-        data = text.encode()
-        chunks, at = [], 0
-        while at < len(data):
-            if got := self.map.longest(data, at):
+    def _mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes after the character map, and the original offset of the character or key that each comes from."""
+        raw = np.frombuffer(data, np.uint8)
+        head = (raw & 0xC0) != 0x80
+        heads = np.flatnonzero(head)
+        origin = heads[np.cumsum(head) - 1] if len(raw) else np.zeros(0, np.int64)
+        out, came, done = [], [], 0
+        for at in np.flatnonzero(head & self.map.leads[raw]).tolist():
+            if at >= done and (got := self.map.longest(data, at)):
                 size, new = got
-            else:
-                lead = data[at]
-                size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
-                new = data[at : at + size]
-            chunks.append((new, at))
-            at += size
-        if self.trim:
-            while chunks and not chunks[0][0].strip(b" "):
-                chunks.pop(0)
-        mark = SPACE.encode() if self.escape else b" "
-        out, origin, spaced = [], [], self.trim
-        if self.dummy_prefix and chunks:
-            out.append(mark)
-            origin += [chunks[0][1]] * len(mark)
-        for new, came in chunks:
-            if self.trim and spaced:
-                new = new.lstrip(b" ")
-            for byte in (new[i : i + 1] for i in range(len(new))):
-                if self.trim and byte == b" " and out and out[-1] == mark and spaced:
-                    continue
-                spaced = byte == b" "
-                out.append(mark if spaced else byte)
-                origin += [came] * (len(mark) if spaced else 1)
+                out += [raw[done:at], np.frombuffer(new, np.uint8)]
+                came += [origin[done:at], np.full(len(new), at)]
+                done = at + size
+        if not out:
+            return raw, origin
+        return np.concatenate([*out, raw[done:]]), np.concatenate([*came, origin[done:]])
+
+    def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
+        data = text.encode("utf-8", "surrogatepass")
+        own, origin = self._mapped(data)
         end = len(data)
-        if self.trim:
-            while out and out[-1] == mark:
-                out.pop()
-                end = origin[-len(mark)]
-                del origin[-len(mark) :]
-        return b"".join(out), np.array([*origin, end], dtype=np.int64)
+        space = own == 32
+        if self.trim:  # the first of a run of spaces stays, none at the ends
+            kept = ~space
+            kept[1:] |= space[1:] & ~space[:-1]
+            solid = np.flatnonzero(~space)
+            kept[: solid[0] if len(solid) else len(own)] = False
+            if len(solid) and solid[-1] + 1 < len(own):
+                end = int(origin[solid[-1] + 1])
+                kept[solid[-1] + 1 :] = False
+            own, origin, space = own[kept], origin[kept], space[kept]
+        if self.dummy_prefix and len(own):
+            own, origin, space = (np.concatenate([[first], x]) for first, x in ((32, own), (origin[0], origin), (True, space)))
+        if self.escape and space.any():
+            mark = np.frombuffer(SPACE.encode(), np.uint8)
+            size = np.where(space, len(mark), 1)
+            at = np.cumsum(size) - size
+            wide = np.repeat(own, size).astype(np.uint8)
+            for k, byte in enumerate(mark):
+                wide[at[space] + k] = byte
+            own, origin = wide, np.repeat(origin, size)
+        return own.astype(np.uint8).tobytes(), np.append(origin, end).astype(np.int64)
 
 
 class PieceCodec(WordCodec):
@@ -149,7 +168,6 @@ class PieceCodec(WordCodec):
             and all(SPACE not in p.lstrip(SPACE) and "\n" not in p for p in pieces) and not any(sp.is_unused(i) for i in range(len(pieces)))
         )
         self.normal_len = np.array([1 if sp.is_byte(i) else 0 if sp.is_control(i) else len(p.encode()) for i, p in enumerate(pieces)])
-        self.source_len = np.array([1 if sp.is_byte(i) else 0 if sp.is_control(i) else len(p.replace(SPACE, " ").encode()) for i, p in enumerate(pieces)])
 
     def whole(self, text: str) -> bytes:
         return _packed(self.library.encode(text)) if text else b""
@@ -169,18 +187,19 @@ class PieceCodec(WordCodec):
         return _packed(self.library.encode(word))
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end, in bytes of the original text, of each id (without begin and end id)."""
+        """Start and end, in bytes of the original text, of each id (without begin and end id): the text is normalised with
+        alignment, pieces cover the normalised bytes in a row, and the alignment carries their edges back."""
         if not len(ids):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not self.normalizer.map.units and not self.normalizer.trim and SPACE not in text and self.normalizer.dummy_prefix:
-            edge = np.maximum(np.concatenate([[0], np.cumsum(self.source_len[ids])]) - 1, 0)  # less the added space
-            return edge[:-1], edge[1:]
         normal, origin = self.normalizer(text)
         size = self.normal_len[ids]
         if (unk := ids == self.library.unk_id()).any():  # an unknown piece covers what its neighbours leave
             surface = [p.surface.encode() for p in self.library.encode_as_proto(text).pieces] if hasattr(self.library, "encode_as_proto") else []
             size = np.where(unk, [len(s.replace(b" ", SPACE.encode())) for s in surface] if len(surface) == len(ids) else 1, size)
-        edge = np.minimum(np.concatenate([[0], np.cumsum(size)]), len(normal))
+        edge = np.concatenate([[0], np.cumsum(size)])
+        if not unk.any() and edge[-1] != len(normal):
+            raise ValueError(f"pieces of {edge[-1]} bytes do not cover a normalised text of {len(normal)}")
+        edge = np.minimum(edge, len(normal))
         return origin[edge[:-1]], origin[edge[1:]]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -203,11 +203,32 @@ def test_pieces_against_the_library(spark):
         assert back.exceptAll(got.select("doc_id", "decoded")).isEmpty()
 
 
+def test_every_text_of_the_query_is_normalised(spark, tmp_path):
+    """Spans come from the alignment of the whole normalised text; odd rows and clashing names included."""
+    codec, seen = sentpiece.piece_codec("piece_bpe_32k.model"), []
+    whole = codec.normalizer
+    codec.normalizer = lambda text: seen.append(text) or whole(text)
+    texts = ["a b", "", "▁x  y", "é\n\n ü", "word " * 100_000]
+    for text in texts:
+        ids = np.frombuffer(codec.encode(text), "<u4")
+        lo, hi = codec.spans(text, ids)
+        assert int((hi - lo).sum()) == len(text.encode())
+    codec.normalizer = whole
+    assert seen == [t for t in texts if t]
+    docs = documents(spark).unionByName(documents(spark, [(None, None, None, None, None)])).withColumns({c: F.lit("x") for c in ("ids", "starts", "n_tokens")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sentpiece.op2_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted(str((r["doc_id"], r["spanned_bytes"])) for r in got) == sorted(str((r["doc_id"], len((r["text"] or "").encode()))) for r in docs.collect())
+
+
 def test_compiled_character_map():
     normalizer = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
     spec = dict(sentpiece.proto_fields(normalizer.serialized_model_proto()))[3]
     own = sentpiece.Normalizer(spec)
-    for text in ["ＫＡＤＯＫＡＷＡ   ABC ", "ﬁne ①②  ½ ｶﾞｷﾞ", "", "   ", "plain", "a b​c\td", "Å é ñ"]:
+    rng = np.random.default_rng(8)
+    letters = list("aB é ﬁ①ｶﾞ½  Ａ\u0301\t\n\u3000x")
+    made_up = ["".join(rng.choice(letters, 30)) for _ in range(200)]
+    for text in [*made_up, "ＫＡＤＯＫＡＷＡ   ABC ", "ﬁne ①②  ½ ｶﾞｷﾞ", "", "   ", "plain", "a b​c\td", "Å é ñ"]:
         made, origin = own(text)
         assert made.decode() == normalizer.normalize(text), text
         assert len(origin) == len(made) + 1 and (np.diff(origin) >= 0).all() and origin[-1] <= len(text.encode())
