@@ -1,28 +1,34 @@
 """Removal of recurring lines by a template tree of fixed depth, on DataFrame functions alone.
 
 A line is its tokens, those with a digit replaced by a wildcard. The tree has a level for the number of tokens and one
-for each of the first `depth` tokens; its leaves hold the templates. A template recurs if at least `min_docs` documents
-have it, and in different surroundings: the leaves of the lines before and after it (where a document has it first) must
-differ in at least `min_contexts` of those documents. So a line that many documents share goes, while the lines of a text that was copied
-many times, which keep their neighbours, are left to document-level deduplication.
+for each of the first `depth` tokens; its leaves hold the templates. Blank lines are none, and documents with the same text
+count as one. A template recurs if at least `min_docs` documents have it, and in different surroundings: the leaves of the
+nearest lines before and after it (where a document has it first) must differ in at least `min_contexts` of those documents.
+So a line that many documents share goes, while the lines of a text that was copied and edited, which keep their neighbours,
+are left to document-level deduplication.
 
 1. Lines with the same tokens are one template.
 2. Within a leaf that recurs, tokens that at least half of its documents have at a place are constants and the
    others become wildcards; lines of at least `min_tokens` tokens that agree with the generalised template in `similarity` of their places belong
    to it, and go if their documents, taken together, reach `min_docs`.
+3. A notice of several lines is a run of lines that `min_docs` documents share, and its inner lines always have the same
+   neighbours. So a run is judged by its ends and by what surrounds it: in a run whose first and last lines go by the rules
+   above (one of them may be the end of its document instead), the lines between go too, if the run's surroundings differ
+   as above and at least half of the documents that have a line have it in such runs.
 
 Every count is a grouped sum with map-side combination; a hot template is one row per task. Lines join the templates
-that go by hash, documents join their list of dropped places.
+that go by hash, documents join their list of dropped places by their id and text.
 
-Nulls: a null text stays null. Blank lines are kept and are no templates. Equal rows lose equal lines and count as one
-document. Texts that lose all lines become empty. An empty table gives no rows. All other columns pass through.
+Nulls: a null text stays null. Blank lines are kept. Rows with equal texts lose equal lines. A very long text is its lines,
+each of them judged; ties cannot arise but for equal hashes. Texts that lose all lines become empty. An empty table gives no
+rows. All other columns pass through, whatever their names, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import materialize, read_table
@@ -49,22 +55,27 @@ def _tokens(line: Column) -> Column:
     return F.filter(F.split(masked, SPACES), lambda t: t != "")
 
 
-def _key() -> Column:
-    """Rows with the same id and text are one document."""
-    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _row() -> Column:
+    """Of rows with the same id and text."""
+    return F.xxhash64(F.col("doc_id"), _text())
 
 
 def _parsed(p: Lines) -> Column:
-    """Array of (pos, template, leaf, n, context) of the lines of text; n is 0 for a blank line."""
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
+    """Array of (pos, seq, template, leaf, n, context) of the lines of text that are not blank; seq numbers them."""
+    lines = F.split(_text(), "\n")
     of = lambda n, t, template: F.struct(F.xxhash64(template).alias("template"), F.xxhash64(n, *(F.get(t, F.lit(i)) for i in range(p.depth))).alias("leaf"), n.alias("n"))
     spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
     # plain lines, nearly all: tokens are counted by their spaces, and only the leading ones are cut off
     plain = lambda x: of(spaces(x) + 1, F.split(x, " ", p.depth + 1), x)
     any_ = lambda x: _let(_tokens(x), lambda t: of(F.size(t), t, F.array_join(t, " ")))
-    each = F.transform(lines, lambda x: F.when((x != "") & ~x.rlike(ODD), plain(x)).otherwise(any_(x)))
-    around = lambda a, i: F.xxhash64(F.get(a, i - 1)["leaf"], F.get(a, i + 1)["leaf"], F.lit(1))
-    return _let(each, lambda a: F.transform(a, lambda s, i: F.struct(i.alias("pos"), s["template"].alias("template"), s["leaf"].alias("leaf"), s["n"].alias("n"), around(a, i).alias("context"))))
+    each = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when((x != "") & ~x.rlike(ODD), plain(x)).otherwise(any_(x)).alias("of")))
+    solid = F.filter(each, lambda s: s["of"]["n"] > 0)
+    around = lambda a, i: F.xxhash64(F.get(a, i - 1)["of"]["leaf"], F.get(a, i + 1)["of"]["leaf"], F.lit(1))
+    return _let(solid, lambda a: F.transform(a, lambda s, i: F.struct(s["pos"].alias("pos"), i.alias("seq"), *(s["of"][c].alias(c) for c in ("template", "leaf", "n")), around(a, i).alias("context"))))
 
 
 def _recurring(lines: DataFrame, by: str, p: Lines) -> DataFrame:
@@ -76,37 +87,64 @@ def _recurring(lines: DataFrame, by: str, p: Lines) -> DataFrame:
 
 
 def generalised_templates(docs: DataFrame, lines: DataFrame, leaves: DataFrame, p: Lines) -> DataFrame:
-    """Templates of the given leaves that agree with their leaf's generalised template, where those recur together."""
-    places = lines.where(F.col("n") >= p.min_tokens).join(leaves.select("leaf"), "leaf", "left_semi").groupBy("key").agg(F.collect_set(F.struct("pos", "leaf", "template")).alias("places"))
-    text = docs.select(_key().alias("key"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines")).join(places, "key")
-    text = text.select("key", F.explode(F.transform("places", lambda x: F.struct(x["leaf"].alias("leaf"), x["template"].alias("template"), F.get("lines", x["pos"]).alias("line")))).alias("x"))
-    text = text.select("key", "x.leaf", "x.template", _tokens(F.col("x.line")).alias("t"))
-    each = text.groupBy("leaf", "template", "key").agg(F.first("t").alias("t")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.first("t").alias("t"))
-    each = materialize(each, "leaf-templates")
+    """Templates of the given leaves that agree with their leaf's generalised template, where those recur together.
+
+    The tokens of a template are read once, from one line that has it.
+    """
+    own = lines.where(F.col("n") >= p.min_tokens).join(leaves.select("leaf"), "leaf", "left_semi")
+    each = own.groupBy("leaf", "template", "key").agg(F.min(F.struct("row", "pos")).alias("at"))
+    each = materialize(each.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("at")), "leaf-templates")
+    places = each.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.pos", "leaf", "template", "docs")).alias("places"))
+    text = docs.select(_row().alias("row"), F.split(_text(), "\n").alias("lines")).join(places, "row")
+    text = text.select(F.explode(F.transform("places", lambda x: F.struct(x["leaf"].alias("leaf"), x["template"].alias("template"), x["docs"].alias("docs"), F.get("lines", x["pos"]).alias("line")))).alias("x"))
+    each = text.select("x.*").dropDuplicates(["leaf", "template"]).select("leaf", "template", "docs", _tokens(F.col("line")).alias("t"))
+    each = materialize(each, "leaf-tokens")
     total = each.groupBy("leaf").agg(F.sum("docs").alias("all_docs"))
-    places = each.select("leaf", "docs", F.posexplode("t").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
+    # the leading tokens are the leaf's own; only the others are counted
+    rest = each.select("leaf", "docs", F.posexplode(F.slice("t", p.depth + 1, F.size("t"))).alias("place", "token"))
+    counted = rest.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
     # more than half: at most one constant a place
-    constant = places.join(total, "leaf").where(F.col("docs") * 2 > F.col("all_docs")).groupBy("leaf").agg(F.collect_set(F.concat_ws(" ", "place", "token")).alias("constants"))
-    own = F.transform("t", lambda x, i: F.concat_ws(" ", i, x))
-    fitting = each.join(constant, "leaf").where(F.size(F.array_intersect(own, "constants")) >= F.size("t") * p.similarity)
+    constant = counted.join(total, "leaf").where(F.col("docs") * 2 > F.col("all_docs")).groupBy("leaf").agg(F.collect_set(F.concat_ws(" ", "place", "token")).alias("constants"))
+    own = F.transform(F.slice("t", p.depth + 1, F.size("t")), lambda x, i: F.concat_ws(" ", i, x))
+    fitting = each.join(constant, "leaf").where(F.size(F.array_intersect(own, "constants")) + p.depth >= F.size("t") * p.similarity)
     enough = fitting.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= p.min_docs)
     return fitting.join(enough, "leaf", "left_semi").select("template")
 
 
+def notice_templates(lines: DataFrame, gone: DataFrame, p: Lines) -> DataFrame:
+    """Templates within runs of shared lines whose ends go and whose surroundings differ."""
+    shared = lines.groupBy("template", "key").count().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= p.min_docs)
+    shared = materialize(shared.join(gone.withColumn("gone", F.lit(True)), "template", "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "shared-templates")
+    inner = shared.where("not gone")
+    some = lines.join(inner, "template", "left_semi").select("key").distinct()
+    own = lines.join(some, "key", "left_semi").groupBy("key", "seq").agg(F.first("template").alias("template"), F.first("leaf").alias("leaf"))  # once a text
+    order = Window.partitionBy("key").orderBy("seq")
+    own = own.join(shared.select("template", "gone"), "template", "left")
+    own = own.select("*", F.lag("leaf").over(order).alias("before"), F.lead("leaf").over(order).alias("after"), F.sum(F.col("gone").isNull().cast("int")).over(order).alias("run")).where("gone is not null")
+    own = materialize(own, "runs")
+    ends = own.groupBy("key", "run").agg(*(F.min_by(c, "seq").alias(f"first_{c}") for c in ("gone", "before")), *(F.max_by(c, "seq").alias(f"last_{c}") for c in ("gone", "after")))
+    fine = (F.col("first_gone") | F.col("first_before").isNull()) & (F.col("last_gone") | F.col("last_after").isNull()) & (F.col("first_gone") | F.col("last_gone"))
+    runs = ends.where(fine).select("key", "run", F.xxhash64("first_before", "last_after", F.lit(1)).alias("context"))
+    within = own.where("not gone").join(runs, ["key", "run"]).groupBy("template", "key").agg(F.min_by("context", "run").alias("context"))  # of its first run
+    within = within.groupBy("template", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
+    within = within.where((F.col("n") >= p.min_docs) & (F.col("contexts") >= F.col("n") * p.min_contexts))
+    return within.join(inner, "template").where(F.col("n") * 2 >= F.col("docs")).select("template")
+
+
 def drop_recurring_lines(docs: DataFrame, p: Lines = Lines()) -> DataFrame:
     """docs with the recurring lines gone from text, and n_lines (not blank) and n_dropped (long) added."""
     columns = [c for c in docs.columns if c not in OWN]
-    parsed = docs.select(_key().alias("key"), F.explode(_parsed(p)).alias("line")).select("key", "line.*").where("n > 0")
-    lines = materialize(parsed, "lines")
+    lines = materialize(docs.select(_row().alias("row"), F.xxhash64(_text()).alias("key"), F.explode(_parsed(p)).alias("line")).select("row", "key", "line.*"), "lines")
     exact = _recurring(lines, "template", p).select("template")
     several = lines.groupBy("leaf").agg(F.min("template").alias("lo"), F.max("template").alias("hi")).where("lo <> hi")
     leaves = _recurring(lines, "leaf", p).join(several, "leaf", "left_semi")  # one template alone is judged above
     gone = materialize(exact.unionByName(generalised_templates(docs, lines, leaves, p)).distinct(), "templates")
-    places = lines.join(gone, "template", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("__drop"))
+    gone = materialize(gone.unionByName(notice_templates(lines, gone, p)), "all-templates")
+    places = lines.join(gone, "template", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("__drop"))
     every = F.split(F.col("text").cast("string"), "\n")
     kept = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop")), lambda i: F.get(x, i))
     text = F.when(F.col("__drop").isNull(), F.col("text").cast("string")).otherwise(_let(every, lambda x: F.array_join(kept(x), "\n")))
-    rows = docs.select(*(f"`{c}`" for c in columns)).withColumn("__key", _key()).join(places.withColumnRenamed("key", "__key"), "__key", "left")
+    rows = docs.select(*(f"`{c}`" for c in columns)).withColumn("__key", _row()).join(places.withColumnRenamed("row", "__key"), "__key", "left")
     solid = F.size(F.filter(every, lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
     rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(solid).cast("long")).withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long"))
     return rows.withColumn("text", text).select(*(f"`{c}`" for c in columns), *OWN)
