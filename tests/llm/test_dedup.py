@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.llm import neardup, quality, substrings
+from corpusflow.llm.wordhash import words_of
 from tests.llm.fixtures import SF, SF01, SCHEMA, documents, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +125,39 @@ def test_repeated_passages(spark, source):
     assert sorted(map(tuple, rows), key=str) == brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_repeats_of_small_vocabularies(spark):
+    """Texts of few words repeat in every way: overlapping, periodic, nested, across buckets."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))), "en", "a", 0) for i in range(150)]
+    rows += [(200 + i, " ".join(["x", "y"][k % 2] for k in range(40 + i)), "en", "a", 0) for i in range(6)] + [(300, "z " * 500, "en", "a", 0)]
+    for window, phrase in ((6, 3), (9, 2), (5, 5)):
+        got = substrings.drop_repeats(documents(spark, rows), window, phrase, bucket_bytes=300).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=str) == brute_repeats([r[:2] for r in rows], window)
+
+
+def test_automata_locate_by_themselves(monkeypatch):
+    """Words under windows of given passages, in texts of which nothing else is known, with one automaton and with many."""
+    rng = random.Random(12)
+    passages = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (35, 36, 90)]
+    texts = []
+    for _ in range(40):
+        own = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 80))]
+        words = rng.choice(passages).split()
+        lo = rng.randint(0, len(words) - 20)
+        texts.append(" ".join(own + words[lo : lo + rng.randint(20, 70)] + own))
+    windows = {tuple(w[i : i + 35]) for w in (p.split() for p in passages) for i in range(len(w) - 34)}
+    expected = []
+    for text in texts:
+        w = text.split()
+        gone = {i + j for i in range(len(w) - 34) if tuple(w[i : i + 35]) in windows for j in range(35)}
+        expected += [i in gone for i in range(len(w))]
+    assert any(expected) and not all(expected)
+    for most in (40_000, 1):
+        monkeypatch.setattr(substrings, "SHARD_PHRASES", most)
+        assert substrings.locate_passages(words_of(texts), words_of(passages), 35, 12).tolist() == expected
+    assert not substrings.locate_passages(words_of(texts), words_of([]), 35, 12).any()
+
+
 def test_repeated_passages_of_nothing_and_clashing_names(spark):
     assert substrings.drop_repeats(documents(spark, [])).collect() == []
     docs = documents(spark).withColumn("bucket", F.lit("x")).withColumn("n_words", F.lit(None).cast("string")).withColumn("shard", F.lit(1))
