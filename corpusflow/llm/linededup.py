@@ -16,8 +16,9 @@ are left to document-level deduplication.
    above (one of them may be the end of its document instead), the lines between go too, if the run's surroundings differ
    as above and at least half of the documents that have a line have it in such runs.
 
-Every count is a grouped sum with map-side combination; a hot template is one row per task. Lines join the templates
-that go by hash, documents join their list of dropped places by their id and text.
+Every count is a grouped sum with map-side combination; a hot template is one row per task. Lines meet the leaves and
+templates that matter by broadcast where those are counted to be few, by hash otherwise; documents join their list of dropped
+places by their id and text, the one shuffle of texts.
 
 Nulls: a null text stays null. Blank lines are kept. Rows with equal texts lose equal lines. A very long text is its lines,
 each of them judged; ties cannot arise but for equal hashes. Texts that lose all lines become empty. An empty table gives no
@@ -48,6 +49,7 @@ class Lines:
     min_contexts: float = 0.3
     min_tokens: int = 4
     similarity: float = 0.75
+    broadcast_rows: int = 500_000
 
 
 def _tokens(line: Column) -> Column:
@@ -65,17 +67,18 @@ def _row() -> Column:
 
 
 def _parsed(p: Lines) -> Column:
-    """Array of (pos, seq, template, leaf, n, context) of the lines of text that are not blank; seq numbers them."""
+    """Array of (pos, seq, template, leaf, n, context, line) of the lines of text that are not blank; seq numbers them, line is
+    the text of those that may be generalised."""
     lines = F.split(_text(), "\n")
     of = lambda n, t, template: F.struct(F.xxhash64(template).alias("template"), F.xxhash64(n, *(F.get(t, F.lit(i)) for i in range(p.depth))).alias("leaf"), n.alias("n"))
     spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
     # plain lines, nearly all: tokens are counted by their spaces, and only the leading ones are cut off
     plain = lambda x: of(spaces(x) + 1, F.split(x, " ", p.depth + 1), x)
     any_ = lambda x: _let(_tokens(x), lambda t: of(F.size(t), t, F.array_join(t, " ")))
-    each = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.when((x != "") & ~x.rlike(ODD), plain(x)).otherwise(any_(x)).alias("of")))
+    each = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("line"), F.when((x != "") & ~x.rlike(ODD), plain(x)).otherwise(any_(x)).alias("of")))
     solid = F.filter(each, lambda s: s["of"]["n"] > 0)
     around = lambda a, i: F.xxhash64(F.get(a, i - 1)["of"]["leaf"], F.get(a, i + 1)["of"]["leaf"], F.lit(1))
-    return _let(solid, lambda a: F.transform(a, lambda s, i: F.struct(s["pos"].alias("pos"), i.alias("seq"), *(s["of"][c].alias(c) for c in ("template", "leaf", "n")), around(a, i).alias("context"))))
+    return _let(solid, lambda a: F.transform(a, lambda s, i: F.struct(s["pos"].alias("pos"), i.alias("seq"), *(s["of"][c].alias(c) for c in ("template", "leaf", "n")), around(a, i).alias("context"), F.when(s["of"]["n"] >= p.min_tokens, s["line"]).alias("line"))))
 
 
 def _recurring(lines: DataFrame, by: str, p: Lines) -> DataFrame:
@@ -86,19 +89,22 @@ def _recurring(lines: DataFrame, by: str, p: Lines) -> DataFrame:
     return total.where((F.col("docs") >= p.min_docs) & (F.col("contexts") >= F.col("docs") * p.min_contexts)).select(by, "docs")
 
 
-def generalised_templates(docs: DataFrame, lines: DataFrame, leaves: DataFrame, p: Lines) -> DataFrame:
+def _few(df: DataFrame, label: str, p: Lines) -> DataFrame:
+    """df (rows of one or two numbers) written and counted; up to broadcast_rows it is broadcast, beyond that joined by hash,
+    where AQE splits the partition of a hot key."""
+    df = materialize(df, label)
+    return F.broadcast(df) if df.count() <= p.broadcast_rows else df
+
+
+def generalised_templates(lines: DataFrame, leaves: DataFrame, p: Lines) -> DataFrame:
     """Templates of the given leaves that agree with their leaf's generalised template, where those recur together.
 
     The tokens of a template are read once, from one line that has it.
     """
-    own = lines.where(F.col("n") >= p.min_tokens).join(leaves.select("leaf"), "leaf", "left_semi")
-    each = own.groupBy("leaf", "template", "key").agg(F.min(F.struct("row", "pos")).alias("at"))
-    each = materialize(each.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("at")), "leaf-templates")
-    places = each.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("at.pos", "leaf", "template", "docs")).alias("places"))
-    text = docs.select(_row().alias("row"), F.split(_text(), "\n").alias("lines")).join(places, "row")
-    text = text.select(F.explode(F.transform("places", lambda x: F.struct(x["leaf"].alias("leaf"), x["template"].alias("template"), x["docs"].alias("docs"), F.get("lines", x["pos"]).alias("line")))).alias("x"))
-    each = text.select("x.*").dropDuplicates(["leaf", "template"]).select("leaf", "template", "docs", _tokens(F.col("line")).alias("t"))
-    each = materialize(each, "leaf-tokens")
+    own = lines.where(F.col("n") >= p.min_tokens).join(_few(leaves.select("leaf"), "leaves", p), "leaf", "left_semi")
+    counts = own.groupBy("leaf", "template", "key").count().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"))
+    each = own.groupBy("leaf", "template").agg(F.first("line").alias("line")).join(counts, ["leaf", "template"])
+    each = materialize(each.select("leaf", "template", "docs", _tokens(F.col("line")).alias("t")), "leaf-tokens")
     total = each.groupBy("leaf").agg(F.sum("docs").alias("all_docs"))
     # the leading tokens are the leaf's own; only the others are counted
     rest = each.select("leaf", "docs", F.posexplode(F.slice("t", p.depth + 1, F.size("t"))).alias("place", "token"))
@@ -116,7 +122,7 @@ def notice_templates(lines: DataFrame, gone: DataFrame, p: Lines) -> DataFrame:
     shared = lines.groupBy("template", "key").count().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= p.min_docs)
     shared = materialize(shared.join(gone.withColumn("gone", F.lit(True)), "template", "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "shared-templates")
     inner = shared.where("not gone")
-    some = lines.join(inner, "template", "left_semi").select("key").distinct()
+    some = lines.join(_few(inner.select("template"), "inner-templates", p), "template", "left_semi").select("key").distinct()
     own = lines.join(some, "key", "left_semi").groupBy("key", "seq").agg(F.first("template").alias("template"), F.first("leaf").alias("leaf"))  # once a text
     order = Window.partitionBy("key").orderBy("seq")
     own = own.join(shared.select("template", "gone"), "template", "left")
@@ -138,9 +144,9 @@ def drop_recurring_lines(docs: DataFrame, p: Lines = Lines()) -> DataFrame:
     exact = _recurring(lines, "template", p).select("template")
     several = lines.groupBy("leaf").agg(F.min("template").alias("lo"), F.max("template").alias("hi")).where("lo <> hi")
     leaves = _recurring(lines, "leaf", p).join(several, "leaf", "left_semi")  # one template alone is judged above
-    gone = materialize(exact.unionByName(generalised_templates(docs, lines, leaves, p)).distinct(), "templates")
-    gone = materialize(gone.unionByName(notice_templates(lines, gone, p)), "all-templates")
-    places = lines.join(gone, "template", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("__drop"))
+    gone = materialize(exact.unionByName(generalised_templates(lines, leaves, p)).distinct(), "templates")
+    gone = gone.unionByName(notice_templates(lines, gone, p))
+    places = lines.join(_few(gone, "all-templates", p), "template", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("__drop"))
     every = F.split(F.col("text").cast("string"), "\n")
     kept = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop")), lambda i: F.get(x, i))
     text = F.when(F.col("__drop").isNull(), F.col("text").cast("string")).otherwise(_let(every, lambda x: F.array_join(kept(x), "\n")))
