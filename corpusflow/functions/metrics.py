@@ -94,7 +94,14 @@ def p95_by_index(values: Column) -> Column:
     return let(F.array_sort(values), pick)
 
 
+# Metrics of which more is better, and those of which less is.
+MORE_IS_BETTER = {
+    "llm_accuracy", "avg_correctness", "avg_relevance", "avg_groundedness", "avg_completeness", "avg_semantic_similarity", "avg_token_f1",
+    "avg_recall_at_k",
+}
+LESS_IS_BETTER = {"hallucination_rate", "avg_latency_s", "avg_total_tokens"}
+
+
 def winner_direction(metric: str) -> int:
     """1 if more is better, -1 if less is, 0 if unknown."""
-    more = "llm_accuracy avg_correctness avg_relevance avg_groundedness avg_completeness avg_semantic_similarity avg_token_f1 avg_recall_at_k".split()
-    return 1 if metric in more else -1 if metric in "hallucination_rate avg_latency_s avg_total_tokens".split() else 0
+    return 1 if metric in MORE_IS_BETTER else -1 if metric in LESS_IS_BETTER else 0

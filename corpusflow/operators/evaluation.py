@@ -57,14 +57,31 @@ def model_summary(facts: DataFrame, model: str = "model", latency: str = "latenc
     return out.join(p95_by_group(facts, [model], latency, "p95_latency"), model, "left").fillna(0.0, ["p95_latency"])
 
 
-def category_summary(facts: DataFrame, categories: DataFrame, models: DataFrame, category: str = "category", model: str = "model", correctness: str = "correctness", latency: str = "latency") -> DataFrame:
-    """Every category and model, zeros where no fact is: questions, llm_accuracy (share of correctness >= 3), avg_correctness
-    (over 5), avg_latency, p95_latency. Facts of other categories are left out. Both lists are a handful of names."""
+def token_means(columns: tuple[str, ...]) -> list[Column]:
+    """avg_<column>: means over all rows of a group, a missing count being 0, rounded half to even to whole numbers."""
+    return [F.bround(F.sum(F.coalesce(F.col(c), F.lit(0))) / F.count(F.lit(1)), 0).cast("long").alias(f"avg_{c}") for c in columns]
+
+
+def token_sums(facts: DataFrame, groups: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """groups, sum_<column> and avg_<column> of counts of tokens."""
+    sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(f"sum_{c}") for c in columns]
+    return facts.groupBy(*groups).agg(*sums, *token_means(columns))
+
+
+def category_summary(
+    facts: DataFrame, categories: DataFrame, models: DataFrame, category: str = "category", model: str = "model", scores: tuple[str, ...] = SCORES, latency: str = "latency", flag: str | None = None,
+    means: tuple[str, ...] = (), tokens: tuple[str, ...] = (),
+) -> DataFrame:
+    """Every category and model, zeros where no fact is: questions, llm_accuracy (share of the first score >= 3), avg_<score> (over
+    5) of each score, [hallucination_rate (share of flag),] avg_<mean>..., avg_<token>... (rounded half to even to a whole
+    number), avg_latency, p95_latency. Facts of other categories are left out. Both lists are a handful of names."""
     grid = categories.select(category).distinct().join(models.select(model).distinct(), how="cross")
     grouped = facts.groupBy(category, model).agg(
-        F.count(F.lit(1)).alias("questions"), _mean((F.col(correctness) >= 3).cast("int")).alias("llm_accuracy"), _mean(F.col(correctness) / 5).alias("avg_correctness"), _mean(F.col(latency), 3).alias("avg_latency")
+        F.count(F.lit(1)).alias("questions"), _mean((F.col(scores[0]) >= 3).cast("int")).alias("llm_accuracy"), *(_mean(F.col(s) / 5).alias(f"avg_{s}") for s in scores),
+        *([_mean(F.coalesce(F.col(flag), F.lit(False)).cast("int")).alias("hallucination_rate")] if flag else []), *(_mean(F.col(c)).alias(f"avg_{c}") for c in means), *token_means(tokens),
+        _mean(F.col(latency), 3).alias("avg_latency"),
     ).join(p95_by_group(facts, [category, model], latency, "p95_latency"), [category, model], "left")
-    values = ("questions", "llm_accuracy", "avg_correctness", "avg_latency", "p95_latency")
+    values = [c for c in grouped.columns if c not in (category, model)]
     return grid.join(grouped, [category, model], "left").select(category, model, *(F.coalesce(F.col(c), F.lit(0)).cast(dict(grouped.dtypes)[c]).alias(c) for c in values))
 
 
@@ -146,6 +163,17 @@ def render_report(ranking: DataFrame, winners: DataFrame, title: str = "Model ev
     return "\n".join(lines) + "\n"
 
 
+def write_report(ranking: DataFrame, winners: DataFrame, path: str, title: str = "Model evaluation") -> None:
+    """The rendered report as one text file in the folder `path`, on any file system."""
+    spark = ranking.sparkSession
+    spark.createDataFrame([(render_report(ranking, winners, title).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def file_stamp(at: Column | None = None) -> Column:
+    """Date and time as in file names, of a moment or of now."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss")
+
+
 def questions_by_model(questions: DataFrame, models: DataFrame, model: str = "model", safe: str | None = "oom_safe") -> DataFrame:
     """Every question for every model (those marked safe, where models has such a column): a handful of models by a list of
     questions, dealt by model so that an adapter loads each once per task."""

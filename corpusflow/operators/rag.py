@@ -24,6 +24,10 @@ CONTEXT:
 """
 
 
+#: What the generator is told where nothing is retrieved.
+PLAIN_PROMPT = "Answer the question directly and briefly."
+
+
 def source_block(source_id: Column, document: Column, page: Column, section: Column, heading: Column, content_type: Column, table_id: Column, text: Column) -> Column:
     """The text of one source; lines without a value are left out, except the document, page and content type."""
     line = lambda name, value: F.when(F.coalesce(value.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{name}: "), value.cast("string")))
@@ -38,12 +42,18 @@ def source_block(source_id: Column, document: Column, page: Column, section: Col
 
 def context_sources(hits: DataFrame, query: str = "query_id", rank: str = "rank", config: Config = DEFAULT) -> DataFrame:
     """hits (query, rank, document_name, page_start, section, heading, content_type, table_id, text) with source_id, block and
-    used_chars added: the blocks of each query that fit the budget, the first that does not ending it. Blank texts take no number."""
+    used_chars added: the blocks of each query that fit the budget, the first that does not ending it. Blank texts take no
+    number. Ranks are unique within a query.
+
+    Ranks and lengths alone are ordered and summed; texts meet only the places that fit.
+    """
     order = Window.partitionBy(query).orderBy(rank)
-    rows = hits.where(~is_blank(F.coalesce("text", F.lit("")))).withColumn("source_id", F.row_number().over(order))
-    rows = rows.withColumn("block", source_block(*(F.col(c) for c in ("source_id", "document_name", "page_start", "section", "heading", "content_type", "table_id", "text"))))
-    total = F.sum(F.length("block")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used_chars", total).where(F.col("used_chars") <= config.context_chars)
+    block = lambda n: source_block(n, *(F.col(c) for c in ("document_name", "page_start", "section", "heading", "content_type", "table_id", "text")))
+    solid = hits.where(~is_blank(F.coalesce("text", F.lit(""))))
+    sizes = solid.select(query, rank, F.length(block(F.lit(""))).alias("_n")).withColumn("source_id", F.row_number().over(order))
+    total = F.sum(F.col("_n") + F.length(F.col("source_id").cast("string"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fits = sizes.withColumn("used_chars", total).where(F.col("used_chars") <= config.context_chars).drop("_n")
+    return solid.join(fits, [query, rank]).withColumn("block", block(F.col("source_id")))
 
 
 def build_context(sources: DataFrame, query: str = "query_id") -> DataFrame:
@@ -83,18 +93,32 @@ class ExtractiveGenerator:
         return df.withColumn(out, F.when(best.isNull() | (best["score"] == 0), F.lit(NO_ANSWER)).otherwise(F.concat(best["text"], F.lit(" [SOURCE 1]"))))
 
 
-def answer(questions: DataFrame, hits: DataFrame, generator: Generator, query: str = "query_id", question: str = "question", guarded: bool = True, config: Config = DEFAULT, **guard_options) -> DataFrame:
-    """questions with context, n_sources, answer and guard results: input guards, context, generation, output guards.
+def answer(
+    questions: DataFrame, hits: DataFrame | None, generator: Generator, query: str = "query_id", question: str = "question", topics: list[str] | None = None, config: Config = DEFAULT, **guard_options
+) -> DataFrame:
+    """questions with context, n_sources, answer and guard results: input guards (given topics), context, generation, output
+    guards.
 
-    Blocked questions get the reason for an answer and no context; questions without context get the canonical refusal.
+    Blocked questions get the reason for an answer and no context; questions without context get the canonical refusal. With
+    hits None nothing is retrieved: every question that passes goes to the generator with a plain system prompt, and none is
+    refused for want of context. A generator that adds `<out>_error` gives an answer of "Error: " and that text where it is
+    not null. Answers are stripped.
     """
-    checked = questions.withColumn("input_check", guards.check_input(F.col(question), config=config, **guard_options)) if guarded else questions.withColumn("input_check", F.struct(F.lit(True).alias("passed"), F.lit(None).cast("string").alias("blocked_by"), F.lit("").alias("reason"), F.lit("info").alias("severity")))
-    context = build_context(context_sources(hits, query, config=config), query)
-    rows = checked.join(context, query, "left").withColumn("context", F.when(F.col("input_check.passed"), F.coalesce("context", F.lit(""))).otherwise(""))
-    rows = rows.withColumn("_system", system_prompt(F.col("context"))).withColumn("_user", user_prompt(F.col(question)))
+    passed = F.struct(F.lit(True).alias("passed"), F.lit(None).cast("string").alias("blocked_by"), F.lit("").alias("reason"), F.lit("info").alias("severity"))
+    rows = questions.withColumn("input_check", passed if topics is None else guards.check_input(F.col(question), topics, config=config, **guard_options))
+    if hits is None:
+        rows = rows.withColumns({"context": F.lit(""), "n_sources": F.lit(0).cast("long")})
+    else:
+        context = build_context(context_sources(hits, query, config=config), query)
+        rows = rows.join(context, query, "left").withColumn("context", F.when(F.col("input_check.passed"), F.coalesce("context", F.lit(""))).otherwise(""))
+    rows = rows.withColumn("_system", F.lit(PLAIN_PROMPT) if hits is None else system_prompt(F.col("context"))).withColumn("_user", user_prompt(F.col(question)))
     rows = generator.generate(rows, "_system", "_user", "answer").drop("_system", "_user")
-    given = F.when(~F.col("input_check.passed"), F.col("input_check.reason")).when(F.col("context") == "", F.lit(NO_ANSWER)).otherwise(F.col("answer"))
-    rows = rows.withColumn("answer", given).withColumn("n_sources", F.when(F.col("input_check.passed"), F.coalesce("n_sources", F.lit(0))).otherwise(0))
+    said = strip(F.col("answer"))
+    if "answer_error" in rows.columns:
+        said = F.when(F.col("answer_error").isNotNull(), F.concat(F.lit("Error: "), F.col("answer_error"))).otherwise(said)
+    given = F.when(~F.col("input_check.passed"), F.col("input_check.reason"))
+    given = (given if hits is None else given.when(F.col("context") == "", F.lit(NO_ANSWER))).otherwise(said)
+    rows = rows.withColumn("answer", given).drop("answer_error").withColumn("n_sources", F.when(F.col("input_check.passed"), F.coalesce("n_sources", F.lit(0))).otherwise(0))
     return rows.withColumn("output_check", guards.check_output(F.col("answer"), F.col("context") != "", config=config))
 
 

@@ -32,6 +32,7 @@ CASES = [
     ("PII04", "Call 9876543210 about the exam", False), ("PII05", "123-45-6789 exam", False), ("VAL01", "What attendance is required for exams?", True), ("VAL02", "When is the fee due?", True), ("VAL03", "hi there", True), ("VAL04", "Is there a hackathon on campus?", False), ("VAL05", "Where can I buy coffee in town today?", True),
 ]
 #: Words of the test tables that stand in for topics and blocked words.
+HELP_TOPICS = ["exam", "fee", "attendance", "hostel", "campus"]
 DATA_TOPICS, DATA_BLOCKED = ["the", "de", "der", "que"], ["lichkeit", "blewh", "eauxvi"]
 
 
@@ -86,11 +87,11 @@ def guard_output(spark, sf_dir):
     return rows.select("conv_id", "turn", "r.severity", F.array_join(F.transform("r.warnings", lambda w: w["guard_name"]), ",").alias("warnings"))
 
 
-@query(f"""WITH c AS (SELECT id, q, e = 1 AS expected FROM (VALUES {_values([(a, b, int(c)) for a, b, c in CASES])}) v(id, q, e)), r AS (SELECT id, (({_input_sql("q", guards.TOPICS, guards.BLOCKED)}) IS NULL) = expected AS ok FROM c)
+@query(f"""WITH c AS (SELECT id, q, e = 1 AS expected FROM (VALUES {_values([(a, b, int(c)) for a, b, c in CASES])}) v(id, q, e)), r AS (SELECT id, (({_input_sql("q", HELP_TOPICS, guards.BLOCKED)}) IS NULL) = expected AS ok FROM c)
 SELECT left(id, 3) AS suite, count(*) AS total, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed FROM r GROUP BY 1""")
 def guard_suite_rollup(spark, sf_dir):
     cases = spark.createDataFrame(CASES, "id string, q string, expected boolean")
-    return evaluation.suite_rollup(cases.withColumn("ok", guards.check_input(F.col("q"))["passed"] == F.col("expected")), "id", "ok")
+    return evaluation.suite_rollup(cases.withColumn("ok", guards.check_input(F.col("q"), HELP_TOPICS)["passed"] == F.col("expected")), "id", "ok")
 
 
 def _f1_sql(pairs: str, left: str, right: str) -> str:
@@ -179,13 +180,15 @@ def score_label(spark, sf_dir):
 
 
 #: Events as evaluation facts: the user's remainder is the model, the type the category, the value the latency.
-_FACT = "facts AS (SELECT 'm' || (user_id % 3) AS model, event_type AS category, value AS latency, (event_id % 6)::INT AS correctness, event_id % 4 = 0 AS correct, event_id % 9 = 0 AS flag, (event_id % 10) / 10 AS recall FROM events)"
+_FACT = "facts AS (SELECT 'm' || (user_id % 3) AS model, event_type AS category, value AS latency, (event_id % 6)::INT AS correctness, (event_id % 5)::INT AS relevance, (event_id % 4)::INT AS groundedness, (event_id % 3)::INT AS completeness, CASE WHEN event_id % 8 > 0 THEN event_id % 501 END AS prompt_tokens, event_id % 77 AS total_tokens, event_id % 4 = 0 AS correct, event_id % 9 = 0 AS flag, (event_id % 10) / 10 AS recall FROM events)"
 _P95 = "round(list_sort(list(latency))[CASE WHEN floor(count(latency) * 0.95) = 0 THEN -1 ELSE floor(count(latency) * 0.95) END::INT], 3)"
 
 
 def _facts(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), F.col("event_type").alias("category"), F.col("value").alias("latency"), (F.col("event_id") % 6).cast("int").alias("correctness"),
+        (F.col("event_id") % 5).cast("int").alias("relevance"), (F.col("event_id") % 4).cast("int").alias("groundedness"), (F.col("event_id") % 3).cast("int").alias("completeness"),
+        F.when(F.col("event_id") % 8 > 0, F.col("event_id") % 501).alias("prompt_tokens"), (F.col("event_id") % 77).alias("total_tokens"),
         (F.col("event_id") % 4 == 0).alias("correct"), (F.col("event_id") % 9 == 0).alias("flag"), ((F.col("event_id") % 10) / 10).alias("recall"),
     )
 
@@ -196,15 +199,17 @@ def model_summary(spark, sf_dir):
     return evaluation.model_summary(_facts(spark, sf_dir), means=("recall", "correctness"), flag="flag")
 
 
+_TOKENS = ("prompt_tokens", "total_tokens")
 _SUMMARY = f"""{_FACT}, names AS (SELECT DISTINCT category FROM facts UNION ALL SELECT 'never'), grid AS (SELECT category, model FROM names, (SELECT DISTINCT model FROM facts)),
-  g AS (SELECT category, model, count(*) AS questions, round_even(avg((correctness >= 3)::INT), 4) AS llm_accuracy, round_even(avg(correctness / 5), 4) AS avg_correctness, round_even(avg(latency), 3) AS avg_latency, {_P95} AS p95_latency FROM facts GROUP BY ALL),
-  summary AS (SELECT category, model, coalesce(questions, 0) AS questions, coalesce(llm_accuracy, 0) AS llm_accuracy, coalesce(avg_correctness, 0) AS avg_correctness, coalesce(avg_latency, 0) AS avg_latency, coalesce(p95_latency, 0) AS p95_latency FROM grid LEFT JOIN g USING (category, model))"""
+  g AS (SELECT category, model, count(*) AS questions, round_even(avg((correctness >= 3)::INT), 4) AS llm_accuracy, {", ".join(f"round_even(avg({c} / 5), 4) AS avg_{c}" for c in metrics.SCORES)}, round_even(avg(flag::INT), 4) AS hallucination_rate, round_even(avg(recall), 4) AS avg_recall,
+    {", ".join(f"round_even(sum(coalesce({c}, 0)) / count(*), 0)::BIGINT AS avg_{c}" for c in _TOKENS)}, round_even(avg(latency), 3) AS avg_latency, {_P95} AS p95_latency FROM facts GROUP BY ALL),
+  summary AS (SELECT category, model, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("questions", "llm_accuracy", *(f"avg_{c}" for c in (*metrics.SCORES, "recall", *_TOKENS)), "hallucination_rate", "avg_latency", "p95_latency"))} FROM grid LEFT JOIN g USING (category, model))"""
 
 
 def _summary(spark, sf_dir):
     facts = _facts(spark, sf_dir)
     names = facts.select("category").distinct().unionByName(spark.createDataFrame([("never",)], "category string"))
-    return evaluation.category_summary(facts, names, facts.select("model"))
+    return evaluation.category_summary(facts, names, facts.select("model"), flag="flag", means=("recall",), tokens=_TOKENS)
 
 
 @query(f"WITH {_SUMMARY} SELECT * FROM summary")
@@ -212,6 +217,28 @@ def category_summary(spark, sf_dir):
     return _summary(spark, sf_dir)
 
 
+@query(f"WITH {_FACT} SELECT model, {', '.join(f'sum(coalesce({c}, 0))::BIGINT AS sum_{c}, round_even(sum(coalesce({c}, 0)) / count(*), 0)::BIGINT AS avg_{c}' for c in _TOKENS)} FROM facts GROUP BY model")
+def token_sums(spark, sf_dir):
+    return evaluation.token_sums(_facts(spark, sf_dir), ["model"], _TOKENS)
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")
+def file_stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", evaluation.file_stamp(F.col("ts")).alias("stamp"))
+
+
+@query(f"""WITH {_FACT}, m AS (SELECT DISTINCT model FROM facts WHERE model <> 'm1') SELECT conv_id, model FROM conversations, m WHERE turn = 0""")
+def questions_by_model(spark, sf_dir):
+    models = _facts(spark, sf_dir).select("model").distinct().withColumn("oom_safe", F.col("model") != "m1")
+    return evaluation.questions_by_model(table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id"), models).select("conv_id", "model")
+
+
+@query(f"""WITH {_FACT}, o AS (SELECT model, round_even(avg(correctness), 4) AS old, round_even(avg(relevance), 4) AS new FROM facts GROUP BY model) SELECT model, new, old, round(new - old, 4) AS delta FROM o""")
+def score_delta(spark, sf_dir):
+    means = evaluation.model_summary(_facts(spark, sf_dir), means=("correctness", "relevance")).withColumnsRenamed({"avg_correctness": "old", "avg_relevance": "new"})
+    return evaluation.score_delta(means, "model", "new", "old")
+
+
 @query(f"""WITH v AS (SELECT user_id AS g, value AS latency FROM events UNION ALL SELECT -n, x FROM (VALUES (1, 5.0), (2, 1.0), (2, 2.0), (5, 1.0), (5, 2.0), (5, 3.0), (5, 4.0), (5, 5.0)) t(n, x)) SELECT g, {_P95} AS p95 FROM v GROUP BY g""")
 def p95_floor_index(spark, sf_dir):
     own = spark.createDataFrame([(-1, 5.0), (-2, 1.0), (-2, 2.0), *((-5, float(i)) for i in range(1, 6))], "g long, latency double")

@@ -175,18 +175,33 @@ BLOCKS = [
 _BLOCK_VALUES = f"blocks AS (SELECT doc, page::BIGINT AS page, position::BIGINT AS position, level::INT AS level, text FROM (VALUES {_values(BLOCKS)}) v(doc, page, position, level, text))"
 
 
+#: Begin and end of headings and paragraphs, marked by two characters that no page holds. A paragraph ends at its closing tag or
+#: where the next one, or the article, ends or begins; tags inside it are stripped later.
+_MARKS = [("(?i)<h1(\\s[^>]*)?>", "\x01h"), ("(?i)<p(\\s[^>]*)?>", "\x01p"), ("(?i)</(h1|p|article)>", "\x02")]
+
+
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings (level 1) and paragraphs of the web pages in order, and the blocks above: doc, page, position, level, text."""
-    found = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h1|p)>[^<]*(?:<b>[^<]*)?"), F.lit(0))
+    html = F.col("html")
+    for pattern, mark in _MARKS:
+        html = F.regexp_replace(html, pattern, mark)
+    found = F.slice(F.split(html, "\x01"), 2, F.size(F.split(html, "\x01")))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc"), F.posexplode(found).alias("position", "b"))
-    own = pages.select("doc", (F.col("position") / 5).cast("long").alias("page"), F.col("position").cast("long").alias("position"), F.when(F.startswith("b", F.lit("<h1>")), 1).alias("level"), F.regexp_replace("b", "<[^>]*>", "").alias("text"))
+    body = F.regexp_replace(F.substring_index(F.substr("b", F.lit(2)), "\x02", 1), "<[^>]*>", "")
+    own = pages.select("doc", (F.col("position") / 5).cast("long").alias("page"), F.col("position").cast("long").alias("position"), F.when(F.startswith("b", F.lit("h")), 1).alias("level"), body.alias("text"))
     return own.unionByName(spark.createDataFrame(BLOCKS, "doc string, page long, position long, level int, text string"))
 
 
+def _marked_sql(x: str) -> str:
+    for pattern, mark in _MARKS:
+        x = f"regexp_replace({x}, '{pattern}', '{mark}', 'g')"
+    return x
+
+
 _PAGE_BLOCKS = f"""{_BLOCK_VALUES},
-  found AS (SELECT page_id::VARCHAR AS doc, regexp_extract_all(html, '(?s)<(?:h1|p)>[^<]*(?:<b>[^<]*)?') AS f FROM pages),
+  found AS (SELECT page_id::VARCHAR AS doc, string_split({_marked_sql("html")}, chr(1))[2:] AS f FROM pages),
   each AS (SELECT doc, unnest(range(len(f))) AS position, unnest(f) AS b FROM found),
-  every AS (SELECT doc, (position // 5)::BIGINT AS page, position::BIGINT AS position, CASE WHEN starts_with(b, '<h1>') THEN 1 END AS level, regexp_replace(b, '<[^>]*>', '', 'g') AS text FROM each
+  every AS (SELECT doc, (position // 5)::BIGINT AS page, position::BIGINT AS position, CASE WHEN starts_with(b, 'h') THEN 1 END AS level, regexp_replace(string_split(b[2:], chr(2))[1], '<[^>]*>', '', 'g') AS text FROM each
     UNION ALL SELECT * FROM blocks)"""
 _TRACKED = """
   n1 AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER w AS n1, last_value(CASE WHEN level = 1 THEN text END IGNORE NULLS) OVER w AS section FROM every WINDOW w AS (PARTITION BY doc ORDER BY page, position ROWS UNBOUNDED PRECEDING)),
@@ -214,16 +229,18 @@ def chunk_numbering(spark, sf_dir):
 TABLE_TEXTS = [("d1", 2, "t1", "TABLE (page 2):\n| a | b |\n|---|---|\n| 1 | 2 |"), ("d2", 1, "t2", "TABLE (page 1):\n| x |\n|---|")]
 
 
-@query(f"""WITH {_BLOCK_VALUES}, tabs AS (SELECT doc, page::BIGINT AS page, table_id, text FROM (VALUES {_values(TABLE_TEXTS)}) v(doc, page, table_id, text)),
-  every AS (SELECT doc, page, position, level, text, NULL AS table_id FROM blocks UNION ALL SELECT doc, page, -1, NULL, text, table_id FROM tabs), {_TRACKED},
+@query(f"""WITH {_PAGE_BLOCKS.replace("every AS", "own AS")}, tabs AS (SELECT doc, page::BIGINT AS page, table_id, text FROM (VALUES {_values(TABLE_TEXTS)}) v(doc, page, table_id, text)),
+  every AS (SELECT doc, page, position, level, text, NULL AS table_id FROM own UNION ALL SELECT doc, page, -1, NULL, text, table_id FROM tabs), {_TRACKED},
   runs AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY position, table_id ROWS UNBOUNDED PRECEDING) AS segment FROM tracked),
   parts AS (SELECT doc, page, position AS spot, CASE WHEN table_id IS NOT NULL THEN 'table' ELSE 'heading' END AS content_type, section, subsection, heading, table_id, text FROM runs WHERE level IS NOT NULL OR table_id IS NOT NULL
     UNION ALL SELECT doc, page, min(position), 'text', first(section), first(subsection), first(heading), NULL, string_agg(text, chr(10) || chr(10) ORDER BY position) FROM runs WHERE level IS NULL AND table_id IS NULL AND {strip("text")} <> '' GROUP BY doc, page, segment),
-  numbered AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, spot, table_id NULLS FIRST) - 1 AS k FROM parts)
+  keyed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc, page, spot, table_id NULLS FIRST) AS pk FROM parts WHERE {strip("text")} <> ''),
+  bodies AS (SELECT pk, text FROM keyed WHERE content_type = 'text'), {_chunk_sql("bodies", "pk")},
+  pieces AS (SELECT pk, unnest(range(len(c))) AS part, unnest(c) AS text FROM chunked UNION ALL SELECT pk, 0, text FROM keyed WHERE content_type <> 'text'),
+  numbered AS (SELECT doc, page, content_type, section, subsection, heading, table_id, pieces.text, row_number() OVER (PARTITION BY doc ORDER BY page, spot, table_id NULLS FIRST, part) - 1 AS k FROM pieces JOIN keyed USING (pk))
 SELECT doc, page, k::INT AS chunk_index, format('{{}}_p{{:04d}}_c{{:04d}}', left(doc, 8), page, k) AS chunk_id, content_type, section, subsection, heading, table_id, length(text)::INT AS char_count, text FROM numbered""")
 def chunk_document(spark, sf_dir):
-    blocks = spark.createDataFrame(BLOCKS, "doc string, page long, position long, level int, text string")
-    return chunking.chunk_document(blocks, "doc", "page", "position", spark.createDataFrame(TABLE_TEXTS, "doc string, page long, table_id string, text string"))
+    return chunking.chunk_document(page_blocks(spark, sf_dir), "doc", "page", "position", spark.createDataFrame(TABLE_TEXTS, "doc string, page long, table_id string, text string"))
 
 
 @query(f"""WITH rows AS (SELECT 'c' || (doc_id // 2) AS chunk_id, CASE WHEN doc_id % 50 = 0 THEN NULL ELSE source END AS document_id, text FROM documents),

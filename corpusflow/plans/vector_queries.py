@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.config import Config
 from corpusflow.operators import evaluation, rag, vectors
 from corpusflow.plans.text_queries import strip, table
+from corpusflow.steps import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,9 +108,11 @@ _BLOCKS = f"""{_HITS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY qu
 
 
 def _source_hits(spark, sf_dir):
-    order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return table(spark, sf_dir, "documents").select(
-        F.col("source").alias("query_id"), F.row_number().over(order).alias("rank"), F.col("lang").alias("document_name"), F.col("doc_id").alias("page_start"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("section"),
+    """Ranks are taken of ids and lengths alone; texts meet them by id."""
+    docs = table(spark, sf_dir, "documents")
+    ranked = docs.select("doc_id", "source", "n_chars").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
+    return docs.join(ranked.select("doc_id", "rank"), "doc_id").select(
+        F.col("source").alias("query_id"), "rank", F.col("lang").alias("document_name"), F.col("doc_id").alias("page_start"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("section"),
         F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("heading"), F.lit("text").alias("content_type"), F.lit(None).cast("string").alias("table_id"), "text",
     )
 
@@ -141,10 +144,11 @@ def hash_embed_retrieve(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", "text")
     cleaned = cleaning.clean_documents(docs, "source", "doc_id", "text")
     chunks = cleaned.select("source", "doc_id", F.posexplode(chunking.chunk_text(F.col("cleaned_text"))).alias("chunk_index", "text"))
-    chunks = chunks.withColumn("chunk_id", F.format_string("%d_c%04d", "doc_id", "chunk_index"))
     embedder = vectors.HashingEmbedder(1024)
+    chunks = embedder.embed(chunks.withColumn("chunk_id", F.format_string("%d_c%04d", "doc_id", "chunk_index")), "text", "vector")
+    chunks = materialize(chunks, "chunks")  # counted, searched and read again below
     asked = table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 100 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
-    hits = vectors.top_k_join(embedder.embed(chunks, "text", "vector"), embedder.embed(asked, "question", "vector"), 5, "chunk_id", "vector", dims=embedder.dims)
+    hits = vectors.top_k_join(chunks, embedder.embed(asked, "question", "vector"), 5, "chunk_id", "vector", dims=embedder.dims)
     hits = hits.withColumnRenamed("vec_id", "chunk_id").join(chunks, "chunk_id").select("query_id", "rank", F.col("source").alias("document_name"), F.col("doc_id").alias("page_start"), F.lit("").alias("section"), F.lit("").alias("heading"), F.lit("text").alias("content_type"), F.lit("").alias("table_id"), "text")
     out = rag.answer(asked, hits, rag.ExtractiveGenerator(), topics=[""])
     return out.select("query_id", "n_sources", F.length("context").alias("context_chars"), "answer", F.col("input_check.passed").alias("input_passed"), F.col("output_check.severity").alias("severity"))

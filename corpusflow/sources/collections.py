@@ -1,59 +1,99 @@
-"""Persistent collections of vectors: Parquet folders, replaced as a whole by an upsert."""
+"""Persistent collections of vectors: Parquet folders of a base and of later changes, merged when read and compacted now and then."""
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.operators.vectors import top_k, upsert
 
 
 class Collection:
-    """Rows by id under `root/name`, one folder for each version; the newest complete one is current.
+    """Rows by id under `root/name`. An upsert writes its own rows as one more folder, whatever the collection holds; a read
+    takes the last base and the changes after it, the latest row of each id, and filters on the id reach every scan. After
+    `compact_after` changes a new base is written; folders older than the base before it are deleted then, so that readers
+    of the last generation can finish.
 
-    An upsert writes a new version next to the old one, so readers never see half of it. Chunks that a new indexing run no
-    longer makes stay, unless whole documents are replaced (replace_by).
+    Folders count once complete, so readers never see half of one. Chunks that a new indexing run no longer makes stay, unless
+    whole documents are replaced (replace_by).
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str = "documents", key: str = "id", buckets: int | None = None):
-        self.spark, self.path, self.key, self.buckets = spark, f"{root.rstrip('/')}/{name}", key, buckets
+    def __init__(self, spark: SparkSession, root: str, name: str = "documents", key: str = "id", compact_after: int = 8):
+        self.spark, self.path, self.key, self.compact_after = spark, f"{root.rstrip('/')}/{name}", key, compact_after
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _exists(self, *below: str) -> bool:
+        fs, _ = self._fs()
+        return fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *below])))
+
     def versions(self) -> list[str]:
+        """Names of the complete folders, oldest first: number, base or delta, a tag."""
         fs, path = self._fs()
         if not fs.exists(path):
             return []
-        done = lambda p: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(s.getPath().getName() for s in fs.listStatus(path) if done(s.getPath()))
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(n for n in names if self._exists(n, "rows", "_SUCCESS"))
+
+    def current(self) -> list[str]:
+        """The last base and the changes after it."""
+        found = self.versions()
+        bases = [i for i, n in enumerate(found) if "-base-" in n]
+        return found[bases[-1] :] if bases else []
 
     def read(self) -> DataFrame | None:
+        names = self.current()
+        if not names:
+            return None
+        parts = [self.spark.read.parquet(f"{self.path}/{n}/rows") for n in names]
+        if len(parts) == 1:
+            return parts[0]
+        for at, name in enumerate(names):
+            if self._exists(name, "drop", "_SUCCESS"):
+                gone = self.spark.read.parquet(f"{self.path}/{name}/drop")
+                parts[:at] = [p.join(gone, gone.columns[0], "left_anti") for p in parts[:at]]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("_seq", F.lit(i)) for i, p in enumerate(parts)])
+        last = Window.partitionBy(self.key).orderBy(F.desc("_seq"))
+        return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_seq")
+
+    def _write(self, rows: DataFrame, kind: str, drop: DataFrame | None = None) -> None:
         found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/{found[-1]}") if found else None
+        number = int(found[-1].split("-")[0]) + 1 if found else 0
+        path = f"{self.path}/{number:08d}-{kind}-{uuid.uuid4().hex[:8]}"
+        if drop is not None:
+            drop.write.parquet(f"{path}/drop")
+        rows.write.parquet(f"{path}/rows")
 
     def add(self, rows: DataFrame, replace_by: str | None = None) -> None:
         """Insert rows, or replace those of the same id; of several new rows of one id the last version wins."""
         rows = rows if "version" in rows.columns else rows.withColumn("version", F.lit(0))
-        current = self.read()
-        if current is not None:
-            if replace_by:
-                current = current.join(rows.select(replace_by).distinct(), replace_by, "left_anti")
-            rows = upsert(current.withColumn("version", F.lit(-1).cast(dict(rows.dtypes)["version"])), rows, self.key, "version")
-        else:
-            rows = upsert(rows.limit(0), rows, self.key, "version")
-        number = int(self.versions()[-1].split("-")[0]) + 1 if self.versions() else 0
-        rows.write.parquet(f"{self.path}/{number:08d}-{uuid.uuid4().hex[:8]}")
+        first = not self.current()
+        self._write(upsert(rows.limit(0), rows, self.key, "version"), "base" if first else "delta", rows.select(replace_by).distinct() if replace_by and not first else None)
+        if len(self.current()) > self.compact_after:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write what the collection holds as a new base, and delete what stands before the base until now."""
+        before = self.current()
+        if len(before) < 2:
+            return
+        self._write(self.read(), "base")
+        fs, _ = self._fs()
+        for name in self.versions():
+            if name < before[0]:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
     def count(self) -> int:
         rows = self.read()
         return rows.count() if rows is not None else 0
 
     def get(self, key) -> DataFrame:
-        """The row of an id (none if unknown): the filter reaches the Parquet scan."""
+        """The row of an id (none if unknown): the filter reaches the Parquet scans."""
         return self.read().where(F.col(self.key) == F.lit(key))
 
     def document_chunks(self, name: str) -> DataFrame:

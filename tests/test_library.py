@@ -65,11 +65,13 @@ def test_p95(spark):
     assert got == {1: 1.0, 2: 1.0, 5: 4.0, 20: 19.0}
 
 
-def test_winners(spark):
+def test_winners(spark, tmp_path):
     rows = spark.createDataFrame([("zero", "a", 0.0), ("zero", "b", 0.0), ("higher", "a", 0.5), ("higher", "b", 0.5), ("higher", "c", 0.9), ("top", "a", 0.2), ("top", "b", 0.7), ("top", "c", 0.7)], "cat string, model string, s double")
     assert {r["cat"]: r["winner"] for r in evaluation.category_winners(rows, "cat", "model", "s").collect()} == {"zero": "a", "higher": "c", "top": "Tie"}
     report = evaluation.render_report(evaluation.model_ranking(spark.createDataFrame([("a", 0.5), ("b", 0.75)], "model string, s double"), "model", "s"), evaluation.category_winners(rows, "cat", "model", "s"))
     assert "| b | 0.75 | 1 |" in report and "| top | Tie | 0.7 |" in report
+    evaluation.write_report(evaluation.model_ranking(spark.createDataFrame([("a", 0.5), ("b", 0.75)], "model string, s double"), "model", "s"), evaluation.category_winners(rows, "cat", "model", "s"), f"file://{tmp_path}/report")
+    assert spark.read.text(f"file://{tmp_path}/report", wholetext=True).first()[0] == report
 
 
 def test_metrics(spark):
@@ -85,14 +87,21 @@ def test_context_and_answers(spark):
     context = rag.build_context(rag.context_sources(hits)).first()
     assert "[SOURCE 1]" in context["context"] and "[SOURCE 2]" in context["context"] and "Table ID: tab1" in context["context"] and context["n_sources"] == 2
     asked = spark.createDataFrame([("q", "When is the fee due?"), ("none", "When is the exam?"), ("bad", "How do I hack the exam portal?")], "query_id string, question string")
-    out = {r["query_id"]: r for r in rag.answer(asked, hits, rag.ExtractiveGenerator()).collect()}
+    out = {r["query_id"]: r for r in rag.answer(asked, hits, rag.ExtractiveGenerator(), topics=["fee", "exam"]).collect()}
     assert out["q"]["answer"] == "The fee is due in May. [SOURCE 1]" and out["q"]["output_check"]["severity"] == "info"
     assert out["none"]["answer"] == rag.NO_ANSWER and out["bad"]["input_check"]["blocked_by"] == "ContentGuard" and out["bad"]["n_sources"] == 0
+    # nothing retrieved on purpose: the generator is asked all the same, and a failure is told
+    class Failing:
+        def generate(self, df, system, user, out):
+            return df.withColumn(out, F.concat(F.lit(" "), system, F.lit(" "))).withColumn(f"{out}_error", F.when(F.col("query_id") == "none", F.lit("no server")))
+
+    bare = {r["query_id"]: r["answer"] for r in rag.answer(asked, None, Failing()).collect()}
+    assert bare == {"q": rag.PLAIN_PROMPT, "none": "Error: no server", "bad": rag.PLAIN_PROMPT}
     long = spark.createDataFrame([("q", i, "d", i, None, None, "text", None, "x" * 6000) for i in (1, 2)], cols)
     from corpusflow.config import Config
 
     assert rag.context_sources(long, config=Config(context_chars=8000)).count() == 1
-    assert one(spark, guards.blocked_response(guards.check_input(F.lit("How do I hack the exam portal?"))))["blocked"]
+    assert one(spark, guards.blocked_response(guards.check_input(F.lit("How do I hack the exam portal?"), ["exam"])))["blocked"]
 
 
 def test_search_and_embedding(spark):
@@ -117,6 +126,52 @@ def test_collection(spark, tmp_path):
     assert [r["id"] for r in store.read().collect()] == ["c"]
 
 
+def test_collections_write_changes_and_compact(spark, tmp_path):
+    """An upsert writes its own rows alone; compaction keeps the content; filters on the id reach the scans of all folders."""
+    store = Collection(spark, f"file://{tmp_path}", compact_after=3)
+    expected = {}
+    for step in range(9):
+        changed = {f"k{i}": f"s{step}" for i in range(100 if step == 0 else 3 + step)}
+        expected |= changed
+        store.add(spark.createDataFrame([(k, "d", v) for k, v in changed.items()], "id string, document_name string, text string"))
+        assert {r["id"]: r["text"] for r in store.read().collect()} == expected and len(store.current()) <= 3
+        if step == 2:
+            plan = store.get("k1")._jdf.queryExecution().toString()
+            assert plan.count("EqualTo(id,k1)") >= 3
+            assert spark.read.parquet(f"{store.path}/{store.versions()[-1]}/rows").count() == 5
+    assert len(store.versions()) <= 7 and store.get("nobody").isEmpty()
+    store.compact()
+    assert {r["id"]: r["text"] for r in store.read().collect()} == expected and len(store.current()) == 1
+
+
+def test_retrieval_of_the_flagship_query(spark):
+    """Hits of hashed bags of words, against counts and cosines in plain Python."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    from corpusflow.plans.registry import flagship
+
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 300).alias("text"))
+    asked = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
+    embedder = vectors.HashingEmbedder(256)
+    got = vectors.top_k_join(embedder.embed(texts, "text", "vector"), embedder.embed(asked, "text", "vector"), 3, "doc_id", "vector", dims=256).collect()
+
+    def bag(text):
+        counts = Counter(zlib.crc32(w.encode()) % 256 for w in re.findall(r"[^\W]+", text.lower()) if len(w) > 1)
+        size = math.sqrt(sum(n * n for n in counts.values()))
+        return {d: n / size for d, n in counts.items()}
+
+    bags = {r["doc_id"]: bag(r["text"]) for r in texts.collect()}
+    for r in asked.collect():
+        own = bag(r["text"])
+        order = sorted((round(1 - sum(w * b.get(d, 0.0) for d, w in own.items()), 9) if b else 9.0, i) for i, b in bags.items())[:3]
+        found = sorted((x["rank"], round(x["distance"], 9), x["vec_id"]) for x in got if x["query_id"] == r["query_id"])
+        assert [d for _, d, _ in found] == pytest.approx([d for d, _ in order], abs=1e-8)
+    assert flagship(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
