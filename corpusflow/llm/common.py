@@ -1,16 +1,16 @@
-"""Shared plumbing of the corpus operators: table access, materialised steps, Arrow helpers."""
+"""Shared plumbing of the corpus operators: table access, samples, Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.shipping import ship_package
+from corpusflow.steps import discard_steps, materialize, shared_dir
+
+__all__ = ["bounded_sample", "discard_steps", "materialize", "read_table", "shared_dir", "slices", "text_of"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,45 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named in spark.checkpoint.dir.
-
-    A folder of our own is made only for a local master whose session names none, as in tests, where driver and tasks are
-    one process; a cluster without the setting is an error.
-    """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='corpusflow-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a step as a table in the shared folder and read it back.
-
-    Cuts the lineage with committed files, so a lost executor costs no recomputation
-    of what came before, and gives later reads one fixed content. All steps of an application stand in one folder, which
-    `discard_steps` deletes; results that are still lazy read from it, so only the caller knows when.
-    """
-    spark = df.sparkSession
-    path = f"{_steps(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _steps(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/corpusflow-{spark.sparkContext.applicationId}"
-
-
-def discard_steps(spark: SparkSession) -> None:
-    """Delete what this application's steps wrote; for the end of a job, once its results are written elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_steps(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded_sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
     """About `size` rows, those whose hash of `keys` is smallest; never more than twice as many, whatever the table.
 

@@ -163,15 +163,15 @@ def test_token_files_of_awkward_tables(spark, tmp_path):
 def test_steps_need_a_shared_folder_and_can_be_discarded(spark):
     from types import SimpleNamespace
 
-    from corpusflow.llm import common
+    from corpusflow import steps
 
     bare = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=dict), conf=SimpleNamespace(get=lambda *_: None))
     with pytest.raises(ValueError):
-        common.shared_dir(bare)
-    step = common.materialize(spark.range(3), "step")
+        steps.shared_dir(bare)
+    step = steps.materialize(spark.range(3), "step")
     assert step.count() == 3
-    common.discard_steps(spark)
-    assert not __import__("os").path.exists(common._steps(spark).removeprefix("file://"))
+    steps.discard_steps(spark)
+    assert not __import__("os").path.exists(steps.steps_dir(spark).removeprefix("file://"))
 
 
 def test_token_files_query(spark):
