@@ -40,6 +40,14 @@ def source_block(source_id: Column, document: Column, page: Column, section: Col
     )
 
 
+def project_hits(hits: DataFrame, columns: tuple[str, ...] = ("document_name", "page_start", "section", "heading", "content_type", "table_id", "text")) -> DataFrame:
+    """query_id, rank, distance, score (1 - distance), has_table (false where unknown) and the given columns, null where hits has
+    none of the name."""
+    have = set(hits.columns)
+    flag = F.coalesce(F.col("has_table").cast("boolean"), F.lit(False)) if "has_table" in have else F.lit(False)
+    return hits.select("query_id", "rank", "distance", (1 - F.col("distance")).alias("score"), flag.alias("has_table"), *(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns))
+
+
 def context_sources(hits: DataFrame, query: str = "query_id", rank: str = "rank", config: Config = DEFAULT) -> DataFrame:
     """hits (query, rank, document_name, page_start, section, heading, content_type, table_id, text) with source_id, block and
     used_chars added: the blocks of each query that fit the budget, the first that does not ending it. Blank texts take no
