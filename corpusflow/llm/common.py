@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.shipping import ship_package
 from corpusflow.steps import discard_steps, materialize, shared_dir
 
-__all__ = ["bounded_sample", "discard_steps", "materialize", "read_table", "shared_dir", "slices", "text_of"]
+__all__ = ["bounded_sample", "discard_steps", "materialize", "read_table", "shared_dir", "slices", "text_of", "unused"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have: name, with underscores after it where it is taken."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def bounded_sample(df: DataFrame, size: int, *keys: str) -> DataFrame:
     """About `size` rows, those whose hash of `keys` is smallest; never more than twice as many, whatever the table.
 

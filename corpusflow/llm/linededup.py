@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import materialize, read_table
+from corpusflow.llm.common import materialize, read_table, unused
 from corpusflow.llm.quality import SPACES, _let
 
 #: A token with a digit; it starts where no token character precedes, so the scan is linear.
@@ -146,13 +146,14 @@ def drop_recurring_lines(docs: DataFrame, p: Lines = Lines()) -> DataFrame:
     leaves = _recurring(lines, "leaf", p).join(several, "leaf", "left_semi")  # one template alone is judged above
     gone = materialize(exact.unionByName(generalised_templates(lines, leaves, p)).distinct(), "templates")
     gone = gone.unionByName(notice_templates(lines, gone, p))
-    places = lines.join(_few(gone, "all-templates", p), "template", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("__drop"))
+    key, drop = unused(docs, "__key"), unused(docs, "__drop")
+    places = lines.join(_few(gone, "all-templates", p), "template", "left_semi").groupBy(F.col("row").alias(key)).agg(F.collect_set("pos").alias(drop))
     every = F.split(F.col("text").cast("string"), "\n")
-    kept = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop")), lambda i: F.get(x, i))
-    text = F.when(F.col("__drop").isNull(), F.col("text").cast("string")).otherwise(_let(every, lambda x: F.array_join(kept(x), "\n")))
-    rows = docs.select(*(f"`{c}`" for c in columns)).withColumn("__key", _row()).join(places.withColumnRenamed("row", "__key"), "__key", "left")
+    kept = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(drop)), lambda i: F.get(x, i))
+    text = F.when(F.col(drop).isNull(), F.col("text").cast("string")).otherwise(_let(every, lambda x: F.array_join(kept(x), "\n")))
+    rows = docs.select(*(f"`{c}`" for c in columns)).withColumn(key, _row()).join(places, key, "left")
     solid = F.size(F.filter(every, lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(solid).cast("long")).withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long"))
+    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(solid).cast("long")).withColumn("n_dropped", F.coalesce(F.size(drop), F.lit(0)).cast("long"))
     return rows.withColumn("text", text).select(*(f"`{c}`" for c in columns), *OWN)
 
 

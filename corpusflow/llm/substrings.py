@@ -35,12 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import materialize, read_table, slices
+from corpusflow.llm.common import materialize, read_table, slices, unused
 from corpusflow.llm.wordhash import Words, mix, ngram_hashes, ngram_places, words_of
 
 PACKED = "shard int, hashes binary, buckets binary, counts binary"
-#: Columns of our own; a prefix that keeps clear of the input's.
-BUCKET = "__repeats_bucket"
 
 
 def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -248,11 +246,11 @@ def locate_passages(words: Words, passages: Words, window: int, phrase: int) ->
 def drop_repeats(docs: DataFrame, window: int = 35, phrase: int = 12, bucket_bytes: int = 8 << 20, least_buckets: int = 64, shard_bytes: int = 256 << 20) -> DataFrame:
     """docs with text less its repeated words (the kept ones joined by one space; unchanged if none goes), and
     n_words, n_removed and kept_sha256 (of the kept words joined by one space) added."""
-    columns = docs.columns
+    columns, bucket_column = docs.columns, unused(docs, "__bucket")
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(least_buckets, -(-total // bucket_bytes))
     shards = max(16, total // shard_bytes)
-    dealt = docs.withColumn("text", F.col("text").cast("string")).withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns if c in ("doc_id", "text")]), F.lit(buckets)).cast("int"))
+    dealt = docs.withColumn("text", F.col("text").cast("string")).withColumn(bucket_column, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns if c in ("doc_id", "text")]), F.lit(buckets)).cast("int"))
 
     def anchors(batches):
         for batch in batches:
@@ -283,7 +281,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, phrase: int = 12, bucket_byt
             places = starts[at]
             cut, ends = _cuts(places - np.arange(len(places)))
             runs += [words.data[words.begin[places[i]] : words.end[places[j - 1] + window - 1]].tobytes() for i, j in zip(cut, ends)]
-        bucket = left.column(BUCKET)[0].as_py() if left.num_rows else 0
+        bucket = left.column(bucket_column)[0].as_py() if left.num_rows else 0
         h = np.concatenate(h) if h else np.zeros(0, np.uint64)
         packed = _pack(h, np.full(len(h), bucket, np.int32), shards)
         nothing = lambda kind, n: pa.nulls(n, kind)
@@ -341,9 +339,9 @@ def drop_repeats(docs: DataFrame, window: int = 35, phrase: int = 12, bucket_byt
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     own = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
-    result = StructType([*(f for f in dealt.drop(BUCKET).schema.fields if f.name not in {x.name for x in own}), *own])
-    phrases = _recurring(dealt.select(BUCKET, "text").mapInArrow(anchors, PACKED))
-    grouped = dealt.groupBy(BUCKET)
+    result = StructType([*(f for f in dealt.drop(bucket_column).schema.fields if f.name not in {x.name for x in own}), *own])
+    phrases = _recurring(dealt.select(bucket_column, "text").mapInArrow(anchors, PACKED))
+    grouped = dealt.groupBy(bucket_column)
     found = f"bucket int, runs array<binary>, {PACKED}"
     found = materialize(grouped.cogroup(phrases.groupBy("bucket")).applyInArrow(candidates, found), "repeat-candidates")
     owned = _owned(found.where("shard is not null").select("shard", "hashes", "buckets", "counts"))

@@ -178,3 +178,45 @@ def test_rows_that_repeat_an_id_or_have_none_leave_one_row(spark):
     assert sorted(got, key=str) == sorted([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (3, "e"), (4, "f"), (5, None)], key=str)
     left = corpus_pipeline.substring_dedup(spark, out, SF).where("text is not null")
     assert left.where("text = ''").isEmpty() and left.count() == 6
+
+
+def test_pipeline_end_to_end(spark):
+    """All stages over the small tables against plain implementations one after the other, up to the ids of every piece."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusflow.llm.quality import judge_quality
+    from tests.llm.test_dedup import WORD, brute_components
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = judge_quality(docs).where("kept").select("row.doc_id", "row.text").collect()  # verdicts are tested on their own
+    lines = brute_lines([tuple(r) for r in kept])
+    texts = {r["doc_id"]: lines[r["text"] or ""][1] for r in kept}
+    groups = brute_components(list(texts.items()))
+    texts = {d: t for d, t in texts.items() if groups[d][1] == d}
+    words, starts = {d: WORD.findall(t) for d, t in texts.items()}, Counter()
+    for w in words.values():
+        starts.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
+    library, expected = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), set()
+    for d, w in words.items():
+        gone = {i + j for i in range(len(w) - 34) if starts[tuple(w[i : i + 35])] > 1 for j in range(35)}
+        ids = [*library.encode(" ".join(x for i, x in enumerate(w) if i not in gone) if gone else texts[d], add_special_tokens=False).ids, 2]
+        first = (len(ids) - 1) % 1024 + 1
+        for k, lo in enumerate([0, *range(first, len(ids), 1024)]):
+            own = ids[lo : lo + 1024 if k else first]
+            expected.add((d, k, lo, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+    got = corpus_pipeline.run(spark, SF)
+    assert {tuple(r) for r in got.select("doc_id", "piece", "start", "length", "ids_crc32").collect()} == expected and got.count() == len(expected)
+
+
+def test_stages_carry_clashing_columns(spark):
+    """Columns named like the operators' own pass through every stage that keeps documents; nulls in them too."""
+    names = ("row", "key", "id", "unit", "shard", "bucket", "leaf", "template", "kept", "fence", "n_words", "__id", "__key", "__drop", "__bucket", "part", "component_id")
+    docs = documents(spark).withColumns({c: F.lit("x") if i % 2 else F.lit(None).cast("int") for i, c in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialize(stage(spark, docs, SF), "test")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes and out.count() > 0
+        assert corpus_pipeline.materialize(stage(spark, docs.limit(0), SF), "test").count() == 0
