@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import materialize, read_table
+from corpusflow.llm.common import materialize, read_table, unused
 from corpusflow.llm.linededup import drop_recurring_lines
 from corpusflow.llm.neardup import near_duplicates
 from corpusflow.llm.packing import Capacities, pack_documents
@@ -14,9 +14,12 @@ from corpusflow.llm.substrings import drop_repeats
 from corpusflow.shipping import ship_package
 
 
-def _like(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of docs, n_chars following the text."""
-    out = changed.select(*(f"`{c}`" for c in docs.columns))
+def _texts_by(operator, own: tuple[str, ...], docs: DataFrame) -> DataFrame:
+    """docs with the texts that operator gives them, n_chars following, and all other columns as they are. Those named like the
+    columns that it adds (own) go by other names meanwhile."""
+    aside = {c: unused(docs, f"__aside_{c}") for c in docs.columns if c in own}
+    changed = operator(docs.withColumnsRenamed(aside)).drop(*own)
+    out = changed.withColumnsRenamed({v: k for k, v in aside.items()}).select(*(f"`{c}`" for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
@@ -33,11 +36,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null; texts that lose all lines become empty; very long texts are lines like others; repeated rows lose
     the same lines; no rows give none."""
-    return _like(drop_recurring_lines(docs), docs)
+    return _texts_by(drop_recurring_lines, ("n_lines", "n_dropped"), docs)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """docs with __id, one value for each document, and __odd, true for rows of ids that several rows or none have.
+    """Rows of docs as structs, their text, __id, one value for each document, and __odd, true for rows of ids that several rows
+    or none have.
 
     Rows with the same id and text are one document. Of the texts that share an id the first by digest keeps it; the
     others, and rows without an id, get ids beyond the largest (an overflow of long raises).
@@ -52,9 +56,10 @@ def _documents(docs: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("part").orderBy("__of", "__digest")).cast("long")
     other = other.select("__of", "__digest", (F.lit(max(last, 0)).cast("long") + number * 1024 + F.col("part")).alias("__id"))
     found = materialize(own.unionByName(other), "documents").select(F.col("__of").alias("__a"), F.col("__digest").alias("__b"), F.col("__id").alias("__new"))
-    marked = docs.select("*", F.col("doc_id").cast("long").alias("__of"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__digest"))
+    row = F.struct(*(f"`{c}`" for c in docs.columns)).alias("row")  # whatever their names
+    marked = docs.select(row, F.col("doc_id").cast("long").alias("__of"), F.col("text").cast("string").alias("text"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__digest"))
     marked = marked.join(found, F.col("__of").eqNullSafe(F.col("__a")) & (F.col("__digest") == F.col("__b")), "left")
-    return marked.select(*(f"`{c}`" for c in docs.columns), F.coalesce("__new", "__of").alias("__id"), F.col("__new").isNotNull().alias("__odd"))
+    return marked.select("row", "text", F.coalesce("__new", "__of").alias("__id"), F.col("__new").isNotNull().alias("__odd"))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +68,11 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are linked with nothing and stay, repeated rows among them once; of a group the smallest id stays,
     of its rows any; very long texts are compared whole; no rows give none."""
     ship_package(spark)
-    columns = [f"`{c}`" for c in docs.columns]
     marked = _documents(docs)
     kept = near_duplicates(marked.select(F.col("__id").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     left = marked.join(kept, "__id", "left_semi")
-    once = left.where("__odd").groupBy("__id").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
-    return left.where("not __odd").select(*columns).unionByName(once)
+    once = left.where("__odd").groupBy("__id").agg(F.first("row").alias("row")).select("row.*")
+    return left.where("not __odd").select("row.*").unionByName(once)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +81,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null texts stay null; texts below a window stay as they are; very long texts are searched whole; repeated rows would
     lose all to each other, but the stage before leaves one; no rows give none."""
     ship_package(spark)
-    return _like(drop_repeats(docs), docs)
+    return _texts_by(drop_repeats, ("n_words", "n_removed", "kept_sha256"), docs)
 
 
 #: Sequences of the pipeline: at most 4 documents, and at most three quarters of the attention cost of one full piece unless
