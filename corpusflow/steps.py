@@ -38,10 +38,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{steps_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.step_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*steps: DataFrame) -> None:
+    """Delete steps on which nothing that is still lazy depends."""
+    for df in steps:
+        if path := getattr(df, "step_path", None):
+            _delete(df.sparkSession, path)
 
 
 def discard_steps(spark: SparkSession) -> None:
     """Delete what this application's steps wrote; for the end of a job, once its results are written elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(steps_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, steps_dir(spark))
