@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.shipping import ship_package
-from corpusflow.steps import discard_steps, materialize, shared_dir
+from corpusflow.steps import discard_steps, forget, materialize, shared_dir
 
-__all__ = ["bounded_sample", "discard_steps", "materialize", "read_table", "shared_dir", "slices", "text_of", "unused"]
+__all__ = ["bounded_sample", "discard_steps", "forget", "materialize", "read_table", "shared_dir", "slices", "text_of", "unused"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import materialize, read_table, unused
+from corpusflow.llm.common import forget, materialize, read_table, unused
 from corpusflow.llm.quality import SPACES, _let
 
 #: A token with a digit; it starts where no token character precedes, so the scan is linear.
@@ -147,7 +147,9 @@ def drop_recurring_lines(docs: DataFrame, p: Lines = Lines()) -> DataFrame:
     gone = materialize(exact.unionByName(generalised_templates(lines, leaves, p)).distinct(), "templates")
     gone = gone.unionByName(notice_templates(lines, gone, p))
     key, drop = unused(docs, "__key"), unused(docs, "__drop")
-    places = lines.join(_few(gone, "all-templates", p), "template", "left_semi").groupBy(F.col("row").alias(key)).agg(F.collect_set("pos").alias(drop))
+    every_gone = _few(gone, "all-templates", p)
+    places = materialize(lines.join(every_gone, "template", "left_semi").groupBy(F.col("row").alias(key)).agg(F.collect_set("pos").alias(drop)), "line-drops")
+    forget(lines)  # the drops are all that the result needs
     every = F.split(F.col("text").cast("string"), "\n")
     kept = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(drop)), lambda i: F.get(x, i))
     text = F.when(F.col(drop).isNull(), F.col("text").cast("string")).otherwise(_let(every, lambda x: F.array_join(kept(x), "\n")))

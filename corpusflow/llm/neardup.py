@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import materialize, read_table, slices
+from corpusflow.llm.common import forget, materialize, read_table, slices
 from corpusflow.llm.wordhash import ngram_hashes, text_column, words_of
 
 
@@ -174,7 +174,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        current = materialize(small, "cc")
+        before, current = current, materialize(small, "cc")
+        forget(before)
         # done once every node points at one node, and that node at none
         forked = current.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi")
         if forked.isEmpty() and current.join(current.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
@@ -329,7 +330,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("size"), (8 * F.sum("n_shingles")).alias("bytes")).where("leader < _last").drop("_last")
     members = materialize(bands.drop("n_shingles").join(buckets, "key"), "members")
     active = members.select("id").distinct()
-    signatures = materialize(nodes.join(active, "id", "left_semi").select("id", "set_hash", "sig"), "signatures")
+    signatures = signatures_step = materialize(nodes.join(active, "id", "left_semi").select("id", "set_hash", "sig"), "signatures")
 
     def sets_of(batches):
         for batch in batches:
@@ -352,6 +353,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     linker.link(materialize(bucket_links(labelled.join(mixed, "key", "left_semi"), signatures, sets, p), "links"))
 
+    forget(members, nodes, signatures_step, sets)  # the labels are written; the result needs them, reps and features
     found = reps.join(linker.labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     rows = features.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
     rows = rows.join(found, "set_hash", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import materialize, read_table, slices, unused
+from corpusflow.llm.common import forget, materialize, read_table, slices, unused
 from corpusflow.llm.wordhash import Words, mix, ngram_hashes, ngram_places, words_of
 
 PACKED = "shard int, hashes binary, buckets binary, counts binary"
@@ -347,7 +347,9 @@ def drop_repeats(docs: DataFrame, window: int = 35, phrase: int = 12, bucket_byt
     owned = _owned(found.where("shard is not null").select("shard", "hashes", "buckets", "counts"))
     runs = found.where("shard is null").select("bucket", "runs")
     sent = runs.groupBy("bucket").cogroup(owned.groupBy("bucket")).applyInArrow(passages, "bucket int, passage binary")
-    return grouped.cogroup(materialize(sent, "repeat-passages").groupBy("bucket")).applyInArrow(remove, result)
+    sent = materialize(sent, "repeat-passages")
+    forget(found)
+    return grouped.cogroup(sent.groupBy("bucket")).applyInArrow(remove, result)
 
 
 _TO_SPACE = {c: " " for c in range(9, 14)}
