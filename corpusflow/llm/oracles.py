@@ -57,4 +57,40 @@ WITH keyed AS (SELECT doc_id, md5(coalesce(text, '')) AS key, coalesce(text, '')
   counts AS (SELECT key, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (goes) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes) AS text FROM placed GROUP BY key)
 SELECT doc_id, n_lines, n_dropped, sha256(coalesce(counts.text, '')) AS text_sha256 FROM keyed JOIN counts USING (key)"""
 
-ORACLES = {"op3_minhash_neardup": NEAR_DUPLICATES, "op8_line_templates": RECURRING_LINES, "op10_substring_dedup": REPEATED_PASSAGES}
+EXACT_COPIES = f"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM d WINDOW w AS (PARTITION BY text_sha256)"""
+
+FILTER_AUDIT = f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+  failed AS (SELECT w.doc_id, part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+      || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS failed, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad FROM w LEFT JOIN labels ON labels.doc_id = w.doc_id),
+  f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+  o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+  s AS (SELECT filter_order, s AS step, filter_order[s] AS own, filter_order[1:s - 1] AS before FROM o, unnest([1, 2, 3, 4, 5]) t(s)),
+  c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM failed GROUP BY ALL),
+  x AS (SELECT part, filter_order, step, own, n, good, bad, failed, contains(failed, own) AS hit, failed <> '' AND translate(failed, before, '') <> failed AS earlier FROM c, s),
+  r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, CAST(coalesce(sum(n) FILTER (NOT hit AND NOT earlier), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (hit AND NOT earlier), 0) AS BIGINT) AS removed,
+      CAST(coalesce(sum(n) FILTER (hit AND earlier), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (failed = own), 0) AS BIGINT) AS unique_fails,
+      CAST(coalesce(sum(good) FILTER (hit AND NOT earlier), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(bad) FILTER (hit AND NOT earlier), 0) AS BIGINT) AS toxic_lost FROM x GROUP BY ALL)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+RESAMPLED = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+  d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'UPPER', 'LOWER'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+  b AS (SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'UPPER', 'LOWER'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS x FROM benchmark),
+  each AS (SELECT doc_id, unnest(w) AS x FROM d),
+  word AS (SELECT DISTINCT x FROM (SELECT x FROM each UNION ALL SELECT x FROM b)),
+  code AS (SELECT x, xor(4294967295, list_reduce([4294967295] || list_transform(range(1, len(hex(encode(x))) // 2 + 1), lambda i: ('0x' || hex(encode(x))[2 * i - 1:2 * i])::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) % 10000 AS k FROM word, crc),
+  s AS (SELECT k, count(*) AS s FROM each JOIN code USING (x) GROUP BY k), t AS (SELECT k, count(*) AS t FROM b JOIN code USING (x) GROUP BY k),
+  g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (k)),
+  weighed AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM each JOIN code USING (x) JOIN g USING (k) GROUP BY doc_id),
+  scores AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || sha256('2024:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN weighed USING (doc_id)),
+  drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores WHERE n_features >= 20 QUALIFY rank <= 10 * count(*) OVER () // 100)
+SELECT scores.*, rank FROM scores LEFT JOIN drawn USING (doc_id)""".replace("UPPER", _UPPER).replace("LOWER", _UPPER.lower())
+
+ORACLES = {
+    "op3_minhash_neardup": NEAR_DUPLICATES, "op8_line_templates": RECURRING_LINES, "op10_substring_dedup": REPEATED_PASSAGES,
+    "op11_bloom_exact_dedup": EXACT_COPIES, "op12_filter_audit": FILTER_AUDIT, "op13_importance_resampling": RESAMPLED,
+}
