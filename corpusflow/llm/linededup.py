@@ -1,35 +1,37 @@
-"""Removal of recurring lines by a template tree of fixed depth, on DataFrame functions alone.
-
-A line is its tokens, those with a digit replaced by a wildcard. The tree has a level for the number of tokens and one
-for each of the first `depth` tokens; its leaves hold the templates. Blank lines are none, and documents with the same text
-count as one. A template recurs if at least `min_docs` documents have it, and in different surroundings: the leaves of the
-nearest lines before and after it (where a document has it first) must differ in at least `min_contexts` of those documents.
-So a line that many documents share goes, while the lines of a text that was copied and edited, which keep their neighbours,
-are left to document-level deduplication.
-
-1. Lines with the same tokens are one template.
-2. Within a leaf that recurs, tokens that at least half of its documents have at a place are constants and the
-   others become wildcards; lines of at least `min_tokens` tokens that agree with the generalised template in `similarity` of their places belong
-   to it, and go if their documents, taken together, reach `min_docs`.
-3. A notice of several lines is a run of lines that `min_docs` documents share, and its inner lines always have the same
-   neighbours. So a run is judged by its ends and by what surrounds it: in a run whose first and last lines go by the rules
-   above (one of them may be the end of its document instead), the lines between go too, if the run's surroundings differ
-   as above and at least half of the documents that have a line have it in such runs.
-
-Every count is a grouped sum with map-side combination; a hot template is one row per task. Lines meet the leaves and
+"""Removal of recurring lines by a log-template tree of fixed depth, on DataFrame functions alone.
+
+A line is its tokens, those with a digit replaced by a wildcard. The tree has a level for the number of tokens, one for each of
+the first `depth` tokens, and below each such leaf one for a stretch of the places after them. Blank lines are none, and
+documents with the same text count as one.
+
+1. Lines with the same tokens are one template; it recurs if `min_docs` documents have it.
+2. Other templates have variable fields: of the m places after the leading tokens, at most (1 - similarity) * m may
+   vary. Cut into one stretch more than that, those places have a stretch without a variable field. So every line stands at a
+   node for each of its stretches, and lines of one template share a node, beside which other templates of the leaf have nodes of their own.
+   At a node that `min_docs` documents share, tokens that as many lines have at their place are constants and the others
+   become wildcards. Lines that come out alike, with constants at `similarity` of the places at least, are one template; it recurs
+   if `min_docs` documents have it.
+3. Lines of recurring templates go, unless they hold half of the document's words or more (`most`). Such a document is a
+   copy of others or little else than what they share; it keeps all of its lines, for deduplication of documents to judge. So no text is
+   emptied, and the lines of near copies stay, wherever those differ. The lines spared are counted.
+
+All thresholds are numbers of documents: copies of one text neither cause nor prevent the loss of a line in other texts, but that at
+least `min_docs` unlike texts have it.
+
+Every count is a grouped sum with map-side combination; a hot template is one row per task. Lines meet the leaves, nodes and
 templates that matter by broadcast where those are counted to be few, by hash otherwise; documents join their list of dropped
 places by their id and text, the one shuffle of texts.
 
 Nulls: a null text stays null. Blank lines are kept. Rows with equal texts lose equal lines. A very long text is its lines,
-each of them judged; ties cannot arise but for equal hashes. Texts that lose all lines become empty. An empty table gives no
-rows. All other columns pass through, whatever their names, but for n_lines and n_dropped, which are replaced.
+each of them judged; ties cannot arise but for equal hashes. An empty table gives no
+rows. All other columns pass through, whatever their names, but for n_lines, n_dropped and n_spared, which are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import forget, materialize, read_table, unused
@@ -39,18 +41,25 @@ from corpusflow.llm.quality import SPACES, _let
 NUMBERED = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
 #: Lines with a digit, or whose tokens do not stand apart by one space each.
 ODD = "[0-9\\x09-\\x0D]|  |^ | $"
-OWN = ("n_lines", "n_dropped")
+OWN = ("n_lines", "n_dropped", "n_spared")
 
 
 @dataclass(frozen=True)
 class Lines:
     depth: int = 2
     min_docs: int = 10
-    min_contexts: float = 0.3
-    min_tokens: int = 4
     similarity: float = 0.75
+    most: float = 0.5
     broadcast_rows: int = 500_000
 
+    @property
+    def min_tokens(self) -> int:
+        """Lines with fewer have no place that may vary."""
+        m = 1
+        while int(m * (1 - self.similarity)) < 1:
+            m += 1
+        return self.depth + m
+
 
 def _tokens(line: Column) -> Column:
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, NUMBERED, "<*>")).otherwise(line)
@@ -67,8 +76,8 @@ def _row() -> Column:
 
 
 def _parsed(p: Lines) -> Column:
-    """Array of (pos, seq, template, leaf, n, context, line) of the lines of text that are not blank; seq numbers them, line is
-    the text of those that may be generalised."""
+    """Array of (pos, template, leaf, n, total, line) of the lines of text that are not blank: total is the number of tokens of all of
+    them, line the text of those long enough to be generalised."""
     lines = F.split(_text(), "\n")
     of = lambda n, t, template: F.struct(F.xxhash64(template).alias("template"), F.xxhash64(n, *(F.get(t, F.lit(i)) for i in range(p.depth))).alias("leaf"), n.alias("n"))
     spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
@@ -77,16 +86,14 @@ def _parsed(p: Lines) -> Column:
     any_ = lambda x: _let(_tokens(x), lambda t: of(F.size(t), t, F.array_join(t, " ")))
     each = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("line"), F.when((x != "") & ~x.rlike(ODD), plain(x)).otherwise(any_(x)).alias("of")))
     solid = F.filter(each, lambda s: s["of"]["n"] > 0)
-    around = lambda a, i: F.xxhash64(F.get(a, i - 1)["of"]["leaf"], F.get(a, i + 1)["of"]["leaf"], F.lit(1))
-    return _let(solid, lambda a: F.transform(a, lambda s, i: F.struct(s["pos"].alias("pos"), i.alias("seq"), *(s["of"][c].alias(c) for c in ("template", "leaf", "n")), around(a, i).alias("context"), F.when(s["of"]["n"] >= p.min_tokens, s["line"]).alias("line"))))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, s: x + s["of"]["n"])
+    row = lambda s, n: F.struct(s["pos"].alias("pos"), *(s["of"][c].alias(c) for c in ("template", "leaf", "n")), n.alias("total"), F.when(s["of"]["n"] >= p.min_tokens, s["line"]).alias("line"))
+    return _let(solid, lambda a: _let(total(a), lambda n: F.transform(a, lambda s: row(s, n))))
 
 
-def _recurring(lines: DataFrame, by: str, p: Lines) -> DataFrame:
-    """Values of `by` that enough documents have in enough different surroundings, with the number of documents."""
-    once = lines.groupBy(by, "key").agg(F.min_by("context", "pos").alias("context"))  # of its first place
-    spread = once.groupBy(by, "context").agg(F.count(F.lit(1)).alias("docs"))
-    total = spread.groupBy(by).agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("contexts"))
-    return total.where((F.col("docs") >= p.min_docs) & (F.col("contexts") >= F.col("docs") * p.min_contexts)).select(by, "docs")
+def _shared(lines: DataFrame, by: str, p: Lines) -> DataFrame:
+    """Values of `by` that enough documents have."""
+    return lines.groupBy(by, "key").agg(F.lit(1).alias("x")).groupBy(by).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= p.min_docs).select(by)
 
 
 def _few(df: DataFrame, label: str, p: Lines) -> DataFrame:
@@ -96,69 +103,64 @@ def _few(df: DataFrame, label: str, p: Lines) -> DataFrame:
     return F.broadcast(df) if df.count() <= p.broadcast_rows else df
 
 
-def generalised_templates(lines: DataFrame, leaves: DataFrame, p: Lines) -> DataFrame:
-    """Templates of the given leaves that agree with their leaf's generalised template, where those recur together.
-
-    The tokens of a template are read once, from one line that has it.
-    """
-    own = lines.where(F.col("n") >= p.min_tokens).join(_few(leaves.select("leaf"), "leaves", p), "leaf", "left_semi")
-    counts = own.groupBy("leaf", "template", "key").count().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"))
-    each = own.groupBy("leaf", "template").agg(F.first("line").alias("line")).join(counts, ["leaf", "template"])
-    each = materialize(each.select("leaf", "template", "docs", _tokens(F.col("line")).alias("t")), "leaf-tokens")
-    total = each.groupBy("leaf").agg(F.sum("docs").alias("all_docs"))
-    # the leading tokens are the leaf's own; only the others are counted
-    rest = each.select("leaf", "docs", F.posexplode(F.slice("t", p.depth + 1, F.size("t"))).alias("place", "token"))
-    counted = rest.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
-    # more than half: at most one constant a place
-    constant = counted.join(total, "leaf").where(F.col("docs") * 2 > F.col("all_docs")).groupBy("leaf").agg(F.collect_set(F.concat_ws(" ", "place", "token")).alias("constants"))
-    own = F.transform(F.slice("t", p.depth + 1, F.size("t")), lambda x, i: F.concat_ws(" ", i, x))
-    fitting = each.join(constant, "leaf").where(F.size(F.array_intersect(own, "constants")) + p.depth >= F.size("t") * p.similarity)
-    enough = fitting.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= p.min_docs)
-    return fitting.join(enough, "leaf", "left_semi").select("template")
-
-
-def notice_templates(lines: DataFrame, gone: DataFrame, p: Lines) -> DataFrame:
-    """Templates within runs of shared lines whose ends go and whose surroundings differ."""
-    shared = lines.groupBy("template", "key").count().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= p.min_docs)
-    shared = materialize(shared.join(gone.withColumn("gone", F.lit(True)), "template", "left").withColumn("gone", F.coalesce("gone", F.lit(False))), "shared-templates")
-    inner = shared.where("not gone")
-    some = lines.join(_few(inner.select("template"), "inner-templates", p), "template", "left_semi").select("key").distinct()
-    own = lines.join(some, "key", "left_semi").groupBy("key", "seq").agg(F.first("template").alias("template"), F.first("leaf").alias("leaf"))  # once a text
-    order = Window.partitionBy("key").orderBy("seq")
-    own = own.join(shared.select("template", "gone"), "template", "left")
-    own = own.select("*", F.lag("leaf").over(order).alias("before"), F.lead("leaf").over(order).alias("after"), F.sum(F.col("gone").isNull().cast("int")).over(order).alias("run")).where("gone is not null")
-    own = materialize(own, "runs")
-    ends = own.groupBy("key", "run").agg(*(F.min_by(c, "seq").alias(f"first_{c}") for c in ("gone", "before")), *(F.max_by(c, "seq").alias(f"last_{c}") for c in ("gone", "after")))
-    fine = (F.col("first_gone") | F.col("first_before").isNull()) & (F.col("last_gone") | F.col("last_after").isNull()) & (F.col("first_gone") | F.col("last_gone"))
-    runs = ends.where(fine).select("key", "run", F.xxhash64("first_before", "last_after", F.lit(1)).alias("context"))
-    within = own.where("not gone").join(runs, ["key", "run"]).groupBy("template", "key").agg(F.min_by("context", "run").alias("context"))  # of its first run
-    within = within.groupBy("template", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
-    within = within.where((F.col("n") >= p.min_docs) & (F.col("contexts") >= F.col("n") * p.min_contexts))
-    return within.join(inner, "template").where(F.col("n") * 2 >= F.col("docs")).select("template")
+def _nodes(rest: Column, leaf: Column, p: Lines) -> Column:
+    """Array of the nodes of a line, one for each stretch of its tokens after the leading ones."""
+
+    def cut(r: Column) -> Column:
+        m = F.size(r)
+        n = F.floor(m * F.lit(1 - p.similarity)).cast("int") + 1
+        at = lambda s: F.floor(s * m / n).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.xxhash64(leaf, s, F.slice(r, at(s) + 1, at(s + 1) - at(s))))
+
+    return _let(rest, cut)
+
+
+def generalised_templates(lines: DataFrame, exact: DataFrame, p: Lines) -> DataFrame:
+    """Templates, other than exact ones, whose lines recur with variable fields."""
+    long_ = lines.where(F.col("line").isNotNull())
+    some = long_.join(_few(_shared(long_, "leaf", p), "leaves", p), "leaf", "left_semi").join(exact, "template", "left_anti")
+    rest = lambda: F.slice(_tokens(F.col("line")), p.depth + 1, F.size(_tokens(F.col("line"))))
+    at = some.groupBy("key", "template").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"))  # once a document
+    at = materialize(at, "leaf-lines")
+    placed = at.select("key", "template", F.explode(_nodes(rest(), F.col("leaf"), p)).alias("node"))
+    several = placed.groupBy("node").agg(F.min("template").alias("lo"), F.max("template").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") >= p.min_docs))
+    near = placed.join(_few(several.select("node"), "shared-nodes", p), "node", "left_semi")
+    members = materialize(near.join(_few(_shared(near, "node", p), "nodes", p), "node", "left_semi"), "node-lines")
+    texts = at.join(_few(members.select("template").distinct(), "node-templates", p), "template", "left_semi").groupBy("template").agg(F.first("line").alias("line"))
+    each = members.groupBy("node", "template").agg(F.count(F.lit(1)).alias("docs")).join(texts, "template")
+    tokens = materialize(each.select("node", "template", "docs", F.posexplode(rest()).alias("place", "token")), "node-tokens")
+    frequent = tokens.groupBy("node", "place", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= p.min_docs).select("node", "place", "token", F.lit(True).alias("constant"))
+    masked = tokens.join(frequent, ["node", "place", "token"], "left").groupBy("node", "template").agg(F.count("constant").alias("constants"), F.count(F.lit(1)).alias("places"), F.array_sort(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("token")).alias("token")))).alias("general"))
+    fits = masked.where(F.col("constants") >= F.col("places") * p.similarity).select("node", "template", F.xxhash64("node", F.to_json("general")).alias("general"))
+    fits = materialize(fits, "general-templates")
+    recurring = _shared(members.join(fits, ["node", "template"]).select("general", "key"), "general", p)
+    return fits.join(recurring, "general", "left_semi").select("template").distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, p: Lines = Lines()) -> DataFrame:
-    """docs with the recurring lines gone from text, and n_lines (not blank) and n_dropped (long) added."""
+    """docs with the recurring lines gone from text, and n_lines (not blank), n_dropped and n_spared (long) added."""
     columns = [c for c in docs.columns if c not in OWN]
     lines = materialize(docs.select(_row().alias("row"), F.xxhash64(_text()).alias("key"), F.explode(_parsed(p)).alias("line")).select("row", "key", "line.*"), "lines")
-    exact = _recurring(lines, "template", p).select("template")
-    several = lines.groupBy("leaf").agg(F.min("template").alias("lo"), F.max("template").alias("hi")).where("lo <> hi")
-    leaves = _recurring(lines, "leaf", p).join(several, "leaf", "left_semi")  # one template alone is judged above
-    gone = materialize(exact.unionByName(generalised_templates(lines, leaves, p)).distinct(), "templates")
-    gone = gone.unionByName(notice_templates(lines, gone, p))
+    exact = _few(_shared(lines, "template", p), "templates", p)
+    gone = _few(exact.unionByName(generalised_templates(lines, exact, p)), "all-templates", p)
     key, drop = unused(docs, "__key"), unused(docs, "__drop")
-    every_gone = _few(gone, "all-templates", p)
-    places = materialize(lines.join(every_gone, "template", "left_semi").groupBy(F.col("row").alias(key)).agg(F.collect_set("pos").alias(drop)), "line-drops")
+    found = lines.join(gone, "template", "left_semi").groupBy("row").agg(F.max("total").alias("total"), F.collect_set(F.struct("pos", "n")).alias("lost"))
+    words = F.aggregate("lost", F.lit(0).cast("long"), lambda x, s: x + s["n"])
+    places = found.select(F.col("row").alias(key), F.struct((words >= F.col("total") * p.most).alias("spared"), F.transform("lost", lambda s: s["pos"]).alias("at")).alias(drop))
+    places = materialize(places, "line-drops")
     forget(lines)  # the drops are all that the result needs
     every = F.split(F.col("text").cast("string"), "\n")
-    kept = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(drop)), lambda i: F.get(x, i))
-    text = F.when(F.col(drop).isNull(), F.col("text").cast("string")).otherwise(_let(every, lambda x: F.array_join(kept(x), "\n")))
+    kept = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(drop)["at"]), lambda i: F.get(x, i))
+    loses = F.coalesce(~F.col(drop)["spared"], F.lit(False))
+    text = F.when(loses, _let(every, lambda x: F.array_join(kept(x), "\n"))).otherwise(F.col("text").cast("string"))
     rows = docs.select(*(f"`{c}`" for c in columns)).withColumn(key, _row()).join(places, key, "left")
     solid = F.size(F.filter(every, lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(solid).cast("long")).withColumn("n_dropped", F.coalesce(F.size(drop), F.lit(0)).cast("long"))
+    found_here = F.coalesce(F.size(F.col(drop)["at"]), F.lit(0))
+    own = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(solid), "n_dropped": F.when(loses, found_here).otherwise(0), "n_spared": F.when(loses, 0).otherwise(found_here)}
+    rows = rows.withColumns({c: v.cast("long") for c, v in own.items()})
     return rows.withColumn("text", text).select(*(f"`{c}`" for c in columns), *OWN)
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", "n_spared", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

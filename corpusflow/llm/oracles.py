@@ -26,36 +26,30 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w
 SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
-def _recurring(by: str, name: str) -> str:
-    return f"""{name}_once AS (SELECT {by}, key, arg_min(context, pos) AS context FROM ctx GROUP BY ALL),
-  {name} AS (SELECT {by} FROM {name}_once GROUP BY {by} HAVING count(*) >= 10 AND count(DISTINCT context) >= 0.3 * count(*))"""
-
-
 RECURRING_LINES = rf"""
 WITH keyed AS (SELECT doc_id, md5(coalesce(text, '')) AS key, coalesce(text, '') AS text FROM documents),
   texts AS (SELECT DISTINCT key, text FROM keyed),
   raw AS (SELECT key, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM texts),
   tok AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS t FROM raw),
   solid AS (SELECT *, array_to_string(t, ' ') AS template, concat_ws(' ', len(t), t[1], t[2]) AS leaf FROM tok WHERE len(t) > 0),
-  near AS (SELECT *, lag(leaf) OVER w AS before, lead(leaf) OVER w AS after FROM solid WINDOW w AS (PARTITION BY key ORDER BY pos)),
-  ctx AS (SELECT *, concat_ws('|', coalesce(before, 'none'), coalesce(after, 'none')) AS context FROM near),
-  {_recurring("template", "exact")}, {_recurring("leaf", "leaves")},
-  each AS (SELECT leaf, template, any_value(t) AS t, count(DISTINCT key) AS docs FROM ctx WHERE len(t) >= 4 AND leaf IN (SELECT leaf FROM leaves) GROUP BY leaf, template),
-  total AS (SELECT leaf, sum(docs) AS n FROM each GROUP BY leaf),
-  place AS (SELECT leaf, i, x, sum(docs) AS n FROM (SELECT leaf, docs, unnest(t) AS x, unnest(range(len(t))) AS i FROM each) GROUP BY ALL),
-  constant AS (SELECT leaf, list(i || ' ' || x) AS c FROM place JOIN total USING (leaf) WHERE 2 * place.n > total.n GROUP BY leaf),
-  fits AS (SELECT leaf, template, docs FROM each JOIN constant USING (leaf) WHERE len(list_filter(list_transform(t, lambda x, i: (i - 1) || ' ' || x), lambda y: list_contains(c, y))) >= 0.75 * len(t)),
-  gone AS (SELECT template FROM exact UNION SELECT template FROM fits WHERE leaf IN (SELECT leaf FROM fits GROUP BY leaf HAVING sum(docs) >= 10)),
-  shared AS (SELECT template, count(DISTINCT key) AS docs, template IN (SELECT template FROM gone) AS goes FROM ctx GROUP BY template HAVING count(DISTINCT key) >= 10),
-  runs AS (SELECT ctx.*, goes, sum(CASE WHEN goes IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY pos) AS run FROM ctx LEFT JOIN shared USING (template)),
-  ends AS (SELECT key, run, arg_min(goes, pos) AS g1, arg_max(goes, pos) AS g2, first(before ORDER BY pos) AS b, last(after ORDER BY pos) AS a FROM runs WHERE goes IS NOT NULL GROUP BY key, run),
-  fine AS (SELECT key, run, concat_ws('|', coalesce(b, 'none'), coalesce(a, 'none')) AS context FROM ends WHERE (g1 OR b IS NULL) AND (g2 OR a IS NULL) AND (g1 OR g2)),
-  within_ AS (SELECT template, key, arg_min(fine.context, run) AS context FROM runs JOIN fine USING (key, run) WHERE NOT goes GROUP BY template, key),
-  notice AS (SELECT template FROM within_ JOIN shared USING (template) GROUP BY template, docs HAVING count(*) >= 10 AND count(DISTINCT context) >= 0.3 * count(*) AND 2 * count(*) >= docs),
-  every AS (SELECT template FROM gone UNION SELECT template FROM notice),
-  placed AS (SELECT tok.key, tok.pos, line, len(tok.t) AS n, array_to_string(tok.t, ' ') IN (SELECT template FROM every) AND len(tok.t) > 0 AS goes FROM tok),
-  counts AS (SELECT key, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (goes) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes) AS text FROM placed GROUP BY key)
-SELECT doc_id, n_lines, n_dropped, sha256(coalesce(counts.text, '')) AS text_sha256 FROM keyed JOIN counts USING (key)"""
+  exact AS (SELECT template FROM solid GROUP BY template HAVING count(DISTINCT key) >= 10),
+  leaves AS (SELECT leaf FROM solid WHERE len(t) >= 6 GROUP BY leaf HAVING count(DISTINCT key) >= 10),
+  tall AS (SELECT DISTINCT key, template, leaf, t[3:] AS r, len(t) - 2 AS m, (len(t) - 2) // 4 + 1 AS g FROM solid WHERE len(t) >= 6 AND leaf IN (SELECT leaf FROM leaves) AND template NOT IN (SELECT template FROM exact)),
+  cut AS (SELECT *, unnest(range(g)) AS s FROM tall),
+  placed AS (SELECT key, template, r, m, concat_ws('|', leaf, s, array_to_string(r[s * m // g + 1:(s + 1) * m // g], ' ')) AS node FROM cut),
+  nodes AS (SELECT node FROM placed GROUP BY node HAVING count(DISTINCT key) >= 10 AND count(DISTINCT template) > 1),
+  members AS (SELECT * FROM placed WHERE node IN (SELECT node FROM nodes)),
+  each AS (SELECT node, template, r, m, count(*) AS docs FROM members GROUP BY ALL),
+  token AS (SELECT node, template, m, docs, unnest(r) AS x, unnest(range(m)) AS i FROM each),
+  constant AS (SELECT node, i, x, true AS c FROM token GROUP BY node, i, x HAVING sum(docs) >= 10),
+  masked AS (SELECT node, template, m, count(c) AS constants, string_agg(CASE WHEN c THEN x ELSE chr(1) END, ' ' ORDER BY i) AS general FROM token LEFT JOIN constant USING (node, i, x) GROUP BY node, template, m),
+  fits AS (SELECT * FROM masked WHERE constants >= 0.75 * m),
+  general AS (SELECT node, general FROM members JOIN fits USING (node, template) GROUP BY node, general HAVING count(DISTINCT key) >= 10),
+  gone AS (SELECT template FROM exact UNION SELECT template FROM fits JOIN general USING (node, general)),
+  judged AS (SELECT key, pos, line, len(t) AS n, len(t) > 0 AND array_to_string(t, ' ') IN (SELECT template FROM gone) AS found FROM tok),
+  spared AS (SELECT *, 2 * sum(CASE WHEN found THEN n ELSE 0 END) OVER (PARTITION BY key) >= sum(n) OVER (PARTITION BY key) AS spared FROM judged),
+  counts AS (SELECT key, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (found AND NOT spared) AS n_dropped, count(*) FILTER (found AND spared) AS n_spared, string_agg(line, chr(10) ORDER BY pos) FILTER (spared OR NOT found) AS text FROM spared GROUP BY key)
+SELECT doc_id, n_lines, n_dropped, n_spared, sha256(coalesce(counts.text, '')) AS text_sha256 FROM keyed JOIN counts USING (key)"""
 
 EXACT_COPIES = f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')) AS text_sha256 FROM documents)
