@@ -2,9 +2,10 @@
 
 1. Shards. Each task cuts its documents into shards of about `shard_chars` characters (a longer document is one alone). A
    shard is a matrix in compressed sparse row form, one row a document: row starts, the words of each row by their number in the
-   shard's own word list, and how often each occurs.
-2. Dictionary. The word lists of all shards, each word once a shard, are made distinct and numbered from 0 without gaps: the
-   dictionary of the whole table. Every shard gets the numbers of its words and takes them for its own.
+   shard's own word list, and how often each occurs. The list is in order of hash parts, and each part of it goes to the part of
+   the dictionary that it belongs to.
+2. Dictionary. Every part numbers its distinct words; a word's code is made of its number and its part, so that codes of all parts
+   differ. The parts send each shard the codes of its words, as one array, and every shard takes them for its own numbers.
 3. The sums of a row are its words and its nonzero entries its distinct words; they decide filters A and B. The
    flags that need the characters (C, D) and a digest of the text are taken where the shard is made.
 4. E: the smallest doc_id of each text met more than once, by grouped minima. Labels join by doc_id. Then documents are counts by
@@ -25,15 +26,16 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import materialize, read_table, slices, text_of
+from corpusflow.llm.common import forget, materialize, read_table, slices, text_of
 from corpusflow.llm.wordhash import words_of
 
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, SYMBOLS = 50, 65, 5, "#$%&*|"
-SHARD = "shard long, doc_ids array<long>, parts array<string>, shown array<int>, digests array<binary>, starts binary, words binary, counts binary, vocabulary array<string>"
+SHARD = "shard long, doc_ids array<long>, parts array<string>, shown array<int>, digests array<binary>, starts binary, words binary, counts binary, lists array<binary>"
 #: More texts than that with copies are joined by hash.
 BROADCAST_TEXTS = 500_000
 
@@ -47,66 +49,112 @@ def _in(chars: str) -> np.ndarray:
 _CAPITAL, _SYMBOL = _in("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _in(SYMBOLS)
 
 
-def document_term_shards(docs: DataFrame, shard_chars: int = 4 << 20) -> DataFrame:
+def pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes ordered by place (the high ones are mostly zero) and compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def document_term_shards(docs: DataFrame, parts: int, shard_chars: int = 1 << 21) -> DataFrame:
     """Shards in compressed sparse row form over their own word lists, with the documents' ids, parts, flags C and D (bits 4 and 8)
-    and digests beside. starts, words and counts are arrays of 32-bit numbers."""
+    and digests beside. starts, words (each row's ascending numbers, as steps) and counts are packed; lists are the shard's words
+    by part of the dictionary, apart by spaces and compressed."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId() << 32
+        shard, zip_ = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = text_of(batch.column(2))
-            for lo, hi in slices(len(texts), np.array([len(t) + 1 for t in texts]), shard_chars):
-                encoded = [t.encode() for t in texts[lo:hi]]
-                edges = np.concatenate([[0], np.cumsum([len(e) for e in encoded])])
-                words = words_of(texts[lo:hi])
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(batch.num_rows, sizes + 1, shard_chars):
+                ids, sources, column = (batch.column(i).slice(lo, hi - lo) for i in range(3))
+                texts = text_of(column)
+                words = words_of(texts)
+                edges = np.concatenate([[0], np.cumsum(sizes[lo:hi])]).astype(np.int64)
                 each = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks)])[edges])
                 capitals = 100 * each(_CAPITAL[words.data]) > MAX_CAPITALS * each((words.data & 0xC0) != 0x80)
                 shown = 4 * capitals + 8 * (each(_SYMBOL[words.data]) > 0)
                 known, first, number = np.unique(words.hashes, return_index=True, return_inverse=True)
-                row = np.repeat(np.arange(hi - lo), np.diff(words.first))
-                cells, counts = np.unique(row * max(1, len(known)) + number, return_counts=True)
-                starts = np.searchsorted(cells, np.arange(hi - lo + 1) * max(1, len(known)))
-                vocabulary = [words.data[a:z].tobytes().decode() for a, z in zip(words.begin[first].tolist(), words.end[first].tolist())]
-                packed = lambda x: pa.array([x.astype("<u4").tobytes()], pa.binary())
+                part = ((known >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                place = np.empty(len(known), np.int64)
+                place[order] = np.arange(len(known))
+                width = max(1, len(known))
+                cells, counts = np.unique(np.repeat(np.arange(hi - lo), np.diff(words.first)) * width + place[number], return_counts=True)
+                starts = np.searchsorted(cells, np.arange(hi - lo + 1) * width)
+                steps = np.diff(cells % width, prepend=0)
+                at = starts[:-1][starts[:-1] < len(cells)]
+                steps[at] = cells[at] % width
+                begin, end = words.begin[first[order]].tolist(), words.end[first[order]].tolist()
+                spelled, cut = [words.data[a:z].tobytes() for a, z in zip(begin, end)], np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+                lists = [zip_.compress(b" ".join(spelled[a:z])) if z > a else None for a, z in zip(cut[:-1], cut[1:])]
+                digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
                 of = lambda x, kind: pa.array([x], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([shard], pa.int64()), of(batch.column(0)[lo:hi].to_pylist(), pa.int64()), of(batch.column(1)[lo:hi].to_pylist(), pa.string()), of(shown.tolist(), pa.int32()),
-                    of([hashlib.blake2b(e, digest_size=16).digest() for e in encoded], pa.binary()), packed(starts), packed(cells % max(1, len(known))), packed(counts), of(vocabulary, pa.string()),
+                    pa.array([shard], pa.int64()), of(ids.to_pylist(), pa.int64()), of(sources.to_pylist(), pa.string()), of(shown.tolist(), pa.int32()),
+                    of(digests, pa.binary()), *(pa.array([pack(x)], pa.binary()) for x in (starts, steps, counts)), of(lists, pa.binary()),
                 ], [c.split()[0] for c in SHARD.split(", ")])
                 shard += 1
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")), F.col("text").cast("string")).mapInArrow(run, SHARD)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """(word, code) of every word of all shards; codes run from 0 without gaps."""
-    numbered = shards.select(F.explode("vocabulary").alias("word")).distinct().withColumn("number", F.monotonically_increasing_id())
-    numbered = materialize(numbered, "dictionary")
-    part = F.shiftright("number", 33)
-    sizes = sorted(tuple(r) for r in numbered.groupBy(part.alias("part")).count().collect())  # one row a partition
-    ends = np.cumsum([n for _, n in sizes]).tolist()
-    offsets = numbered.sparkSession.createDataFrame([(p, e - n) for (p, n), e in zip(sizes, ends)], "part long, offset long")
-    return numbered.join(F.broadcast(offsets), part == F.col("part")).select("word", (F.col("offset") + F.col("number").bitwiseAND((1 << 33) - 1)).alias("code"))
+def _word_lists(shards: DataFrame) -> DataFrame:
+    return shards.select("shard", F.posexplode("lists").alias("part", "words")).where("words is not null")
 
 
-def globally_encoded(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """The shards with codes (array of 64-bit dictionary numbers of their entries) in place of vocabulary and words."""
-    listed = shards.select("shard", F.posexplode("vocabulary").alias("at", "word"))
-    codes = listed.join(words, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "code"))).alias("codes"))  # a shard's list is bounded
-    codes = codes.select("shard", F.transform("codes", lambda x: x["code"]).alias("codes"))
-    names = ["doc_ids", "parts", "shown", "digests", "starts", "counts"]
+def _words(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of compressed lists, and the number of each list."""
+    unzip = zstandard.ZstdDecompressor()
+    lists = [unzip.decompress(x).split(b" ") for x in blobs]
+    return [w for x in lists for w in x], np.array([len(x) for x in lists], np.int64)
 
-    def encode(batches):
-        for batch in batches:
-            local = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("words")]
-            lists = [np.array(x.values if x.is_valid else [], np.int64) for x in batch.column("codes")]
-            made = pa.array([c[w].astype("<i8").tobytes() if len(w) else b"" for w, c in zip(local, lists)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), *(batch.column(c) for c in names), made], ["shard", *names, "codes"])
+
+def dictionary_codes(shards: DataFrame, parts: int) -> DataFrame:
+    """(shard, part, codes): the dictionary's codes of each list, in its order, packed. A part is one group: it numbers its distinct words,
+    and the code of a word is number * parts + part."""
+
+    def number(table: pa.Table) -> pa.Table:
+        words, sizes = _words(table.column("words").to_pylist())
+        coded = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        return pa.table({"shard": table.column("shard"), "part": table.column("part"), "codes": pa.array([pack(coded[e - n : e]) for n, e in zip(sizes.tolist(), ends.tolist())], pa.binary())})
+
+    return _word_lists(shards).groupBy("part").applyInArrow(number, "shard long, part int, codes binary")
+
+
+def dictionary(shards: DataFrame, parts: int) -> DataFrame:
+    """(word, code) of every word of all shards."""
+
+    def spell(key: tuple, table: pa.Table) -> pa.Table:
+        words = pa.array(_words(table.column("words").to_pylist())[0], pa.binary()).dictionary_encode().dictionary
+        return pa.table({"word": words.cast(pa.string()), "code": pa.array(np.arange(len(words)) * parts + key[0].as_py(), pa.int64())})
+
+    return _word_lists(shards).groupBy("part").applyInArrow(spell, "word string, code long")
+
+
+def globally_encoded(shards: DataFrame, codes: DataFrame, parts: int) -> DataFrame:
+    """One row per shard: doc_ids, parts, shown, digests, and its matrix over the dictionary: starts and counts as before, codes
+    (array of 64-bit dictionary codes of its entries)."""
+    names = ["shard", "doc_ids", "parts", "shown", "digests", "starts", "counts"]
+
+    def encode(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("part")
+        of = [unpack(c).astype(np.int64) * parts + p for p, c in zip(right.column("part").to_pylist(), right.column("codes").to_pylist())]
+        code = np.concatenate([*of, np.zeros(0, np.int64)])
+        made = []
+        for starts, steps in zip(left.column("starts").to_pylist(), left.column("words").to_pylist()):  # one
+            starts, sums = unpack(starts).astype(np.int64), np.concatenate([[0], np.cumsum(unpack(steps).astype(np.int64))])
+            local = sums[1:] - np.repeat(sums[starts[:-1]], np.diff(starts))
+            made.append(code[local].astype("<i8").tobytes())
+        return pa.table({**{c: left.column(c) for c in names}, "codes": pa.array(made, pa.binary())})
 
     types = {c.split()[0]: c for c in SHARD.split(", ")}
-    return shards.drop("vocabulary").join(codes, "shard", "left").mapInArrow(encode, ", ".join(["shard long", *(types[c] for c in names), "codes binary"]))
+    schema = ", ".join([*(types[c] for c in names), "codes binary"])
+    return shards.drop("lists").groupBy("shard").cogroup(codes.groupBy("shard")).applyInArrow(encode, schema)
 
 
 def document_flags(matrix: DataFrame) -> DataFrame:
@@ -115,14 +163,13 @@ def document_flags(matrix: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                starts, counts, codes = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in (("starts", "<u4"), ("counts", "<u4"), ("codes", "<i8")))
-                assert len(codes) == len(counts) == starts[-1]
-                sums = np.diff(np.concatenate([[0], np.cumsum(counts.astype(np.int64))])[starts])
-                nonzero = np.diff(starts.astype(np.int64))
+                starts, counts = (unpack(batch.column(c)[k].as_py()).astype(np.int64) for c in ("starts", "counts"))
+                sums, nonzero = np.diff(np.concatenate([[0], np.cumsum(counts)])[starts]), np.diff(starts)
                 failed = (sums < MIN_WORDS) + 2 * (100 * nonzero < MIN_DISTINCT * sums) + np.array(batch.column("shown")[k].values)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, batch.column("parts")[k].values, batch.column("digests")[k].values, pa.array(failed, pa.int32())], ["doc_id", "part", "digest", "failed"])
 
-    return matrix.mapInArrow(run, "doc_id long, part string, digest binary, failed int")
+    names = ["doc_ids", "parts", "shown", "digests", "starts", "counts"]
+    return matrix.select(*names).mapInArrow(run, "doc_id long, part string, digest binary, failed int")
 
 
 def _steps() -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -156,10 +203,16 @@ def interactions(counts: DataFrame) -> DataFrame:
     return counts.mapInArrow(run, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in names))
 
 
-def filter_audit(docs: DataFrame, labels: DataFrame, shard_chars: int = 4 << 20) -> DataFrame:
-    """Counts of every part, order of the five filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
-    shards = materialize(document_term_shards(docs, shard_chars), "term-shards")
-    flags = materialize(document_flags(globally_encoded(shards, dictionary(shards))), "filter-flags")
+def filter_audit(docs: DataFrame, labels: DataFrame, shard_chars: int = 1 << 21, part_bytes: int = 64 << 20) -> DataFrame:
+    """Counts of every part, order of the five filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
+
+    The dictionary has a part for every part_bytes of text, whose words are held at once."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(8, -(-total // part_bytes))
+    shards = materialize(document_term_shards(docs, parts, shard_chars), "term-shards")
+    matrix = globally_encoded(shards, dictionary_codes(shards, parts), parts)
+    flags = materialize(document_flags(matrix), "filter-flags")
+    forget(shards)
     texts = flags.groupBy("digest").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     texts = materialize(texts, "texts-with-copies")
     flags = flags.join(F.broadcast(texts) if texts.count() <= BROADCAST_TEXTS else texts, "digest", "left")

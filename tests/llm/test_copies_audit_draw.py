@@ -104,7 +104,7 @@ def brute_audit(rows, labels):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"shard_chars": 300}])
+@pytest.mark.parametrize("settings", [{}, {"shard_chars": 300, "part_bytes": 500}])
 def test_filter_audit(spark, settings):
     rng = random.Random(4)
     rows = odd_rows() + [(2000 + i, " ".join(rng.choice(["Word", "plain", "x", "y#", f"z{i}", f"v{rng.randrange(99)}"]) for _ in range(rng.randint(30, 90))), "en", rng.choice("abc"), 0) for i in range(200)]
@@ -118,15 +118,15 @@ def test_filter_audit(spark, settings):
 
 
 def test_the_matrix(spark):
-    """Entries of the shards over the dictionary are the word counts of the documents; codes have no gaps."""
+    """Entries of the shards over the dictionary are the word counts of the documents; every word has one code."""
     rows = odd_rows()
-    shards = audit.materialize(audit.document_term_shards(documents(spark, rows), 1000), "test")
-    words = audit.materialize(audit.dictionary(shards), "test")
-    of = {r["code"]: r["word"] for r in words.collect()}
-    assert sorted(of) == list(range(len(of))) and set(of.values()) == {w for _, t, *_ in rows for w in WORD.findall(t or "")}
+    shards = audit.materialize(audit.document_term_shards(documents(spark, rows), 5, 1000), "test")
+    words = [tuple(r) for r in audit.dictionary(shards, 5).collect()]
+    of = {code: word for word, code in words}
+    assert len(of) == len(words) == len({w for w, _ in words}) and {w for w, _ in words} == {w for _, t, *_ in rows for w in WORD.findall(t or "")}
     got = Counter()
-    for r in audit.globally_encoded(shards, words).collect():
-        starts, counts, codes = (np.frombuffer(r[c], k) for c, k in (("starts", "<u4"), ("counts", "<u4"), ("codes", "<i8")))
+    for r in audit.globally_encoded(shards, audit.dictionary_codes(shards, 5), 5).collect():
+        starts, counts, codes = audit.unpack(r["starts"]).astype(int), audit.unpack(r["counts"]), np.frombuffer(r["codes"], "<i8")
         for doc_id, a, z in zip(r["doc_ids"], starts[:-1], starts[1:]):
             got[doc_id, tuple(sorted((of[c], int(n)) for c, n in zip(codes[a:z].tolist(), counts[a:z])))] += 1
     assert got == Counter((d, tuple(sorted(Counter(WORD.findall(t or "")).items()))) for d, t, *_ in rows)
