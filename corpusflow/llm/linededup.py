@@ -6,10 +6,10 @@ documents with the same text count as one.
 
 1. Lines with the same tokens are one template; it recurs if `min_docs` documents have it.
 2. Other templates have variable fields: of the m places after the leading tokens, at most (1 - similarity) * m may
-   vary. Cut into one stretch more than that, those places have a stretch without a variable field. So every line stands at a
-   node for each of its stretches, and lines of one template share a node, beside which other templates of the leaf have nodes of their own.
-   At a node that `min_docs` documents share, tokens that as many lines have at their place are constants and the others
-   become wildcards. Lines that come out alike, with constants at `similarity` of the places at least, are one template; it recurs
+   vary. Cut into one stretch more than that, those places have a stretch without a variable field. So every line has a
+   node for each of its stretches, and lines of one template share one, beside which other templates of the leaf have nodes of their own.
+   A line stands at the one of its nodes that most documents share, `min_docs` at least (of equal ones the first). There, tokens that as
+   many documents have at their place are constants and the others become wildcards. Lines that come out alike, with constants at `similarity` of the places at least, are one template; it recurs
    if `min_docs` documents have it.
 3. Lines of recurring templates go, unless they hold half of the document's words or more (`most`). Such a document is a
    copy of others or little else than what they share; it keeps all of its lines, for deduplication of documents to judge. So no text is
@@ -120,21 +120,25 @@ def generalised_templates(lines: DataFrame, exact: DataFrame, p: Lines) -> DataF
     long_ = lines.where(F.col("line").isNotNull())
     some = long_.join(_few(_shared(long_, "leaf", p), "leaves", p), "leaf", "left_semi").join(exact, "template", "left_anti")
     rest = lambda: F.slice(_tokens(F.col("line")), p.depth + 1, F.size(_tokens(F.col("line"))))
-    at = some.groupBy("key", "template").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"))  # once a document
-    at = materialize(at, "leaf-lines")
-    placed = at.select("key", "template", F.explode(_nodes(rest(), F.col("leaf"), p)).alias("node"))
+    placed = some.select("key", "template", F.posexplode(_nodes(rest(), F.col("leaf"), p)).alias("stretch", "node"))
     several = placed.groupBy("node").agg(F.min("template").alias("lo"), F.max("template").alias("hi"), F.count(F.lit(1)).alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") >= p.min_docs))
-    near = placed.join(_few(several.select("node"), "shared-nodes", p), "node", "left_semi")
-    members = materialize(near.join(_few(_shared(near, "node", p), "nodes", p), "node", "left_semi"), "node-lines")
-    texts = at.join(_few(members.select("template").distinct(), "node-templates", p), "template", "left_semi").groupBy("template").agg(F.first("line").alias("line"))
-    each = members.groupBy("node", "template").agg(F.count(F.lit(1)).alias("docs")).join(texts, "template")
+    near = materialize(placed.join(_few(several.select("node"), "shared-nodes", p), "node", "left_semi"), "node-lines")
+    docs = near.groupBy("node", "key").agg(F.lit(1).alias("x")).groupBy("node").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= p.min_docs)
+    # a template stands at the most shared of its nodes, the first of them
+    best = near.join(_few(docs, "nodes", p), "node").groupBy("template").agg(F.max_by("node", F.struct("docs", -F.col("stretch"))).alias("node"))
+    best = materialize(best, "template-nodes")
+    owners = materialize(near.join(_few(best.select("template"), "node-templates", p), "template", "left_semi").groupBy("template", "key").agg(F.lit(1).alias("x")).drop("x"), "template-documents")
+    texts = some.join(_few(best.select("template"), "node-templates", p), "template", "left_semi").groupBy("template").agg(F.first("line").alias("line"))
+    each = best.join(owners.groupBy("template").agg(F.count(F.lit(1)).alias("docs")), "template").join(texts, "template")
     tokens = materialize(each.select("node", "template", "docs", F.posexplode(rest()).alias("place", "token")), "node-tokens")
     frequent = tokens.groupBy("node", "place", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= p.min_docs).select("node", "place", "token", F.lit(True).alias("constant"))
     masked = tokens.join(frequent, ["node", "place", "token"], "left").groupBy("node", "template").agg(F.count("constant").alias("constants"), F.count(F.lit(1)).alias("places"), F.array_sort(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("token")).alias("token")))).alias("general"))
-    fits = masked.where(F.col("constants") >= F.col("places") * p.similarity).select("node", "template", F.xxhash64("node", F.to_json("general")).alias("general"))
+    fits = masked.where(F.col("constants") >= F.col("places") * p.similarity).select("template", F.xxhash64("node", F.to_json("general")).alias("general"))
     fits = materialize(fits, "general-templates")
-    recurring = _shared(members.join(fits, ["node", "template"]).select("general", "key"), "general", p)
-    return fits.join(recurring, "general", "left_semi").select("template").distinct()
+    recurring = _shared(owners.join(fits, "template"), "general", p)
+    out = materialize(fits.join(recurring, "general", "left_semi").select("template"), "recurring-templates")
+    forget(near, best, owners, tokens, fits)
+    return out
 
 
 def drop_recurring_lines(docs: DataFrame, p: Lines = Lines()) -> DataFrame:

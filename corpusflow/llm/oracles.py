@@ -36,9 +36,10 @@ WITH keyed AS (SELECT doc_id, md5(coalesce(text, '')) AS key, coalesce(text, '')
   leaves AS (SELECT leaf FROM solid WHERE len(t) >= 6 GROUP BY leaf HAVING count(DISTINCT key) >= 10),
   tall AS (SELECT DISTINCT key, template, leaf, t[3:] AS r, len(t) - 2 AS m, (len(t) - 2) // 4 + 1 AS g FROM solid WHERE len(t) >= 6 AND leaf IN (SELECT leaf FROM leaves) AND template NOT IN (SELECT template FROM exact)),
   cut AS (SELECT *, unnest(range(g)) AS s FROM tall),
-  placed AS (SELECT key, template, r, m, concat_ws('|', leaf, s, array_to_string(r[s * m // g + 1:(s + 1) * m // g], ' ')) AS node FROM cut),
-  nodes AS (SELECT node FROM placed GROUP BY node HAVING count(DISTINCT key) >= 10 AND count(DISTINCT template) > 1),
-  members AS (SELECT * FROM placed WHERE node IN (SELECT node FROM nodes)),
+  placed AS (SELECT key, template, r, m, s, concat_ws('|', leaf, s, array_to_string(r[s * m // g + 1:(s + 1) * m // g], ' ')) AS node FROM cut),
+  nodes AS (SELECT node, count(DISTINCT key) AS n FROM placed GROUP BY node HAVING count(DISTINCT key) >= 10 AND count(DISTINCT template) > 1),
+  best AS (SELECT DISTINCT template, first_value(node) OVER (PARTITION BY template ORDER BY n DESC, s) AS node FROM placed JOIN nodes USING (node)),
+  members AS (SELECT * FROM placed JOIN best USING (template, node)),
   each AS (SELECT node, template, r, m, count(*) AS docs FROM members GROUP BY ALL),
   token AS (SELECT node, template, m, docs, unnest(r) AS x, unnest(range(m)) AS i FROM each),
   constant AS (SELECT node, i, x, true AS c FROM token GROUP BY node, i, x HAVING sum(docs) >= 10),

@@ -32,9 +32,15 @@ def brute_lines(rows, p=linededup.Lines()):
             for k in range(vary + 1):
                 lo, hi = k * m // (vary + 1), (k + 1) * m // (vary + 1)
                 nodes[len(t), t[: p.depth], k, t[p.depth + lo : p.depth + hi]].add(t)
-    for own in nodes.values():
-        if len(own) < 2 or len(set().union(*(documents_of[t] for t in own))) < p.min_docs:
-            continue
+    shared = {k: len(set().union(*(documents_of[t] for t in own))) for k, own in nodes.items() if len(own) > 1}
+    best = defaultdict(list)
+    for k in sorted((k for k, n in shared.items() if n >= p.min_docs), key=lambda k: k[2]):
+        for t in nodes[k]:
+            best[t].append(k)
+    chosen = defaultdict(set)
+    for t, keys in best.items():
+        chosen[max(keys, key=lambda k: shared[k])].add(t)
+    for own in chosen.values():
         count = Counter()
         for t in own:
             for i, x in enumerate(t[p.depth :]):
