@@ -106,11 +106,17 @@ def _word_lists(shards: DataFrame) -> DataFrame:
     return shards.select("shard", F.posexplode("lists").alias("part", "words")).where("words is not null")
 
 
-def _words(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The words of compressed lists, and the number of each list."""
+def _words(blobs: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of compressed lists as one array, and the number of each list."""
     unzip = zstandard.ZstdDecompressor()
-    lists = [unzip.decompress(x).split(b" ") for x in blobs]
-    return [w for x in lists for w in x], np.array([len(x) for x in lists], np.int64)
+    lists = [unzip.decompress(x) + b" " for x in blobs]
+    data = np.frombuffer(b"".join(lists), np.uint8)
+    space = data == 32
+    ends = np.flatnonzero(space)
+    offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])])
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    return words, np.diff(np.searchsorted(ends, edges))
 
 
 def dictionary_codes(shards: DataFrame, parts: int) -> DataFrame:
@@ -119,7 +125,7 @@ def dictionary_codes(shards: DataFrame, parts: int) -> DataFrame:
 
     def number(table: pa.Table) -> pa.Table:
         words, sizes = _words(table.column("words").to_pylist())
-        coded = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         return pa.table({"shard": table.column("shard"), "part": table.column("part"), "codes": pa.array([pack(coded[e - n : e]) for n, e in zip(sizes.tolist(), ends.tolist())], pa.binary())})
 
@@ -130,7 +136,7 @@ def dictionary(shards: DataFrame, parts: int) -> DataFrame:
     """(word, code) of every word of all shards."""
 
     def spell(key: tuple, table: pa.Table) -> pa.Table:
-        words = pa.array(_words(table.column("words").to_pylist())[0], pa.binary()).dictionary_encode().dictionary
+        words = _words(table.column("words").to_pylist())[0].dictionary_encode().dictionary
         return pa.table({"word": words.cast(pa.string()), "code": pa.array(np.arange(len(words)) * parts + key[0].as_py(), pa.int64())})
 
     return _word_lists(shards).groupBy("part").applyInArrow(spell, "word string, code long")
@@ -203,7 +209,7 @@ def interactions(counts: DataFrame) -> DataFrame:
     return counts.mapInArrow(run, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in names))
 
 
-def filter_audit(docs: DataFrame, labels: DataFrame, shard_chars: int = 1 << 21, part_bytes: int = 64 << 20) -> DataFrame:
+def filter_audit(docs: DataFrame, labels: DataFrame, shard_chars: int = 1 << 21, part_bytes: int = 16 << 20) -> DataFrame:
     """Counts of every part, order of the five filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
     The dictionary has a part for every part_bytes of text, whose words are held at once."""
