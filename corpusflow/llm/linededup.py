@@ -157,7 +157,8 @@ def drop_recurring_lines(docs: DataFrame, p: Lines = Lines()) -> DataFrame:
     kept = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(drop)["at"]), lambda i: F.get(x, i))
     loses = F.coalesce(~F.col(drop)["spared"], F.lit(False))
     text = F.when(loses, _let(every, lambda x: F.array_join(kept(x), "\n"))).otherwise(F.col("text").cast("string"))
-    rows = docs.select(*(f"`{c}`" for c in columns)).withColumn(key, _row()).join(places, key, "left")
+    # by hash at every size: the places grow with the documents
+    rows = docs.select(*(f"`{c}`" for c in columns)).withColumn(key, _row()).join(places.hint("merge"), key, "left")
     solid = F.size(F.filter(every, lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
     found_here = F.coalesce(F.size(F.col(drop)["at"]), F.lit(0))
     own = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(solid), "n_dropped": F.when(loses, found_here).otherwise(0), "n_spared": F.when(loses, 0).otherwise(found_here)}
