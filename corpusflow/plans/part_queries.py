@@ -13,6 +13,7 @@ from corpusflow.plans.text_queries import strip, table
 from corpusflow.plans.vector_queries import _NEAREST, _hits
 from corpusflow.sources import files
 from corpusflow.sources.collections import Collection
+from corpusflow.sources.vector_index import VectorIndex
 from corpusflow.steps import steps_dir
 from corpusflow.streaming.ingest import upsert_stream
 
@@ -171,3 +172,39 @@ def stream_upsert(spark, sf_dir):
     for _ in range(2):
         upsert_stream(spark, inbox, "chunk_id string, document_name string, section string, text string", store, at).awaitTermination()
     return store.read().select("id", "document_name", "section")
+
+
+def _indexed(spark, sf_dir):
+    """A collection of all vectors whose labels of every third row came with a later change, and its index, fitted before it."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    store = Collection(spark, _folder(spark, "indexed"), key="vec_id")
+    store.add(rows.withColumn("label", F.when(F.col("vec_id") % 3 == 0, F.lit(-1)).otherwise(F.col("label")).cast(dict(rows.dtypes)["label"])))
+    index = VectorIndex(store, filters=("label",))
+    index.build()
+    store.add(rows.where("vec_id % 3 = 0"))
+    index.refresh()
+    return rows, store, index
+
+
+@query("""WITH q AS (SELECT count(*) AS queries FROM embeddings WHERE vec_id % 100 = 0)
+SELECT 'all' AS rows, queries, queries * least(5, (SELECT count(*) FROM embeddings)) AS hits, true AS recalled FROM q UNION ALL SELECT 'label 3', queries, queries * least(5, (SELECT count(*) FROM embeddings WHERE label = 3)), true FROM q""")
+def vec_index_recall(spark, sf_dir):
+    """Search by inverted lists, with a filter and without, against exact search: hits, and whether at least 0.9 of the exact ones are among them."""
+    rows, store, index = _indexed(spark, sf_dir)
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    n, out = asked.count(), None
+    for name, where in (("all", F.lit(True)), ("label 3", F.col("label") == 3)):
+        found = index.search(asked, 5, where)
+        exact = vectors.top_k_join(rows.where(where), asked, 5).select("query_id", "vec_id", F.lit(1).alias("exact"))
+        met = found.join(exact, ["query_id", "vec_id"], "left").agg(F.count(F.lit(1)).alias("hits"), F.count("exact").alias("right"))
+        one = met.select(F.lit(name).alias("rows"), F.lit(n).cast("long").alias("queries"), "hits", (F.col("right") >= 0.9 * F.col("hits")).alias("recalled"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (0, 42, 300)")
+def collection_lookup(spark, sf_dir):
+    """Rows of a collection by id, the change of a row before its base."""
+    _, store, _ = _indexed(spark, sf_dir)
+    found = store.get(0).unionByName(store.get(42)).unionByName(store.get(300))
+    return found.select("vec_id", "label")
