@@ -101,3 +101,52 @@ def test_inverted_lists(spark, tmp_path, size, kind):
     store.compact()
     assert index.refresh() == store.current() == index._indexed()
     assert index.search(queries, 5).count() == 200
+
+
+def _bm25(docs, asked, k):
+    import math
+    import re
+    from collections import Counter
+
+    words = lambda t: [w for w in re.findall(r"\w+", (t or "").lower()) if len(w) > 1]
+    bags = {i: Counter(words(t)) for i, t in docs}
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    df = Counter(w for b in bags.values() for w in b)
+    out = {}
+    for q, t in asked:
+        scores = []
+        for i, b in bags.items():
+            hit = [(n, w) for w, n in Counter(words(t)).items() if w in b]
+            if hit:
+                s = sum(n * math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for n, w in hit)
+                scores.append((-round(s, 6), i))
+        out[q] = sorted(scores)[:k]
+    return out
+
+
+def test_block_max_search_is_exact(spark, tmp_path):
+    """Against exhaustive BM25: words that nearly all rows have, equal rows, rare words, and questions without any known word."""
+    import random
+
+    from corpusflow.sources import text_index
+
+    rng = random.Random(3)
+    rare = [f"rare{i}" for i in range(300)]
+    docs = [(i, " ".join(["the"] * rng.randint(0, 9) + rng.choices(rare[:20], k=rng.randint(0, 6)) + rng.choices(rare, k=rng.randint(0, 25)))) for i in range(1500)]
+    docs += [(2000 + i, "the same rare1 rare2 text") for i in range(30)] + [(3000, None), (3001, ""), (3002, "THE Rare5 rare5")]
+    asked = [(i, " ".join(["the"] + rng.choices(rare, k=rng.randint(1, 12)))) for i in range(25)] + [(90, "the the"), (91, "unknown words"), (92, ""), (93, None), (94, "rare1 rare2 text"), (95, "the rare5")]
+    index = text_index.SparseIndex(spark, f"file://{tmp_path}/i", "doc_id")
+    index.build(text_index.bm25_bags(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"))
+    frame = spark.createDataFrame(asked, "query_id long, question string")
+    got = {q: [] for q, _ in asked}
+    for r in text_index.bm25_search(index, frame, "question", 7).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-round(r["score"], 6), r["doc_id"]))
+    expected = _bm25(docs, asked, 7)
+    assert all([s for s, _ in got[q]] == pytest.approx([s for s, _ in expected[q]], abs=2e-6) for q in expected)
+    assert sum([i for _, i in got[q]] == [i for _, i in expected[q]] for q in got) >= len(got) - 2  # rounding may part ties
+    # impact order: blocks of a value fall from its largest weight, none longer than BLOCK
+    blocks = index._table("blocks").collect()
+    assert all(len(b["ids"]) <= text_index.BLOCK and list(b["weights"]) == sorted(b["weights"], reverse=True) and b["top"] == b["weights"][0] for b in blocks)
+    known, live = index.live_blocks(frame.select("query_id", text_index.bag_of(text_index.runs(text_index.word_tokens(F.col("question")))).alias("bag")), 7, text_index.inverse_frequency)
+    every = known.join(index._table("blocks"), "value").count()
+    assert live.count() < every
