@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.config import DEFAULT, Config
 from corpusflow.functions import ids
 from corpusflow.functions.text import is_blank, let, paragraphs, sentences, strip
+from corpusflow.operators.scan import segmented_scan
 
 _CHUNKS = "struct<chunks:array<string>,cur:string>"
 
@@ -35,18 +36,18 @@ def chunk_text(text: Column, size: int = DEFAULT.chunk_chars, overlap: int = DEF
     return F.when(F.length(text) > size, packed).when(is_blank(text), none).otherwise(F.array(text))
 
 
-def track_sections(blocks: DataFrame, document: str, order: list[str], level: str = "level", heading: str = "text") -> DataFrame:
+def track_sections(blocks: DataFrame, document: str, order: list[str], level: str = "level", heading: str = "text", totals: dict[str, Column] | None = None) -> DataFrame:
     """Add section, subsection and heading (the deepest one) in force at each block, itself included.
 
-    level is 1..3 at a heading and null elsewhere. A level-1 heading clears the two below, level 2 the third.
+    level is 1..3 at a heading and null elsewhere. A level-1 heading clears the two below, level 2 the third. totals are running
+    sums to take along. A document of any length is many tasks.
     """
-    window = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = lambda n: F.when(F.col(level) == n, F.col(heading))
-    count = lambda n: F.coalesce(F.sum(F.when(F.col(level) == n, 1).otherwise(0)).over(window(document, *(f"_n{i}" for i in range(1, n)))), F.lit(0))
-    out = blocks.withColumn("section", F.last(own(1), ignorenulls=True).over(window(document))).withColumn("_n1", count(1))
-    out = out.withColumn("subsection", F.last(own(2), ignorenulls=True).over(window(document, "_n1"))).withColumn("_n2", count(2))
-    out = out.withColumn("_h3", F.last(own(3), ignorenulls=True).over(window(document, "_n1", "_n2")))
-    return out.withColumn("heading", F.coalesce("_h3", "subsection", "section")).drop("_n1", "_n2", "_h3")
+    # of headings down to each level the last one says which is in force: none, if it is of a level above
+    down_to = {f"_l{n}": F.when(F.col(level) <= n, F.concat(F.col(level).cast("string"), F.col(heading))) for n in (1, 2, 3)}
+    out = segmented_scan(blocks, document, order, totals, down_to)
+    own = lambda n: F.when(F.startswith(f"_l{n}", F.lit(str(n))), F.substr(f"_l{n}", F.lit(2)))
+    out = out.withColumns({"section": own(1), "subsection": own(2), "_h3": own(3)})
+    return out.withColumn("heading", F.coalesce("_h3", "subsection", "section")).drop(*down_to, "_h3")
 
 
 def heading_segments(blocks: DataFrame, document: str, page: str, position: str, is_heading: str = "is_heading", text: str = "text") -> DataFrame:
@@ -54,15 +55,15 @@ def heading_segments(blocks: DataFrame, document: str, page: str, position: str,
     line). Blank blocks are skipped, and so are images where blocks has an is_image column."""
     rows = blocks.where(~is_blank(F.col(text)))
     rows = rows.where(~F.coalesce(F.col("is_image"), F.lit(False))) if "is_image" in blocks.columns else rows
-    run = Window.partitionBy(document, page).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("segment", F.sum(F.col(is_heading).cast("int")).over(run)).where(~F.col(is_heading))
+    of = F.to_json(F.struct(document, page))
+    rows = segmented_scan(rows.withColumn("_of", of), "_of", [position], totals={"segment": F.col(is_heading).cast("int")}).drop("_of").where(~F.col(is_heading))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, text))), lambda s: s[text]), "\n\n")
     return rows.groupBy(document, page, "segment").agg(F.count(F.lit(1)).alias("n_blocks"), body.alias("body"))
 
 
 def number_chunks(chunks: DataFrame, document: str, order: list[str]) -> DataFrame:
-    """Add chunk_index: dense from 0 in each document."""
-    return chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy(document).orderBy(*order)) - 1)
+    """Add chunk_index: dense from 0 in each document, in the order of columns that tell its chunks apart."""
+    return segmented_scan(chunks, document, order, totals={"chunk_index": F.lit(1)}).withColumn("chunk_index", (F.col("chunk_index") - 1).cast("int"))
 
 
 def chunk_document(blocks: DataFrame, document: str, page: str, position: str, tables: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
@@ -77,9 +78,7 @@ def chunk_document(blocks: DataFrame, document: str, page: str, position: str, t
         once = tables.dropDuplicates(["table_id"]).select(document, page, F.lit(-1).cast("long").alias("position"), F.lit(None).cast("int").alias("level"), "text", "table_id")
         rows = rows.unionByName(once)
     order = [page, "position", "table_id"]
-    tracked = track_sections(rows, document, order)
-    run = Window.partitionBy(document, page).orderBy("position", "table_id").rowsBetween(Window.unboundedPreceding, 0)
-    tracked = tracked.withColumn("segment", F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(run)).where(~is_blank(F.col("text")))
+    tracked = track_sections(rows, document, order, totals={"segment": F.col("level").isNotNull().cast("int")}).where(~is_blank(F.col("text")))
     where = ["section", "subsection", "heading"]
     single = tracked.where("level is not null or table_id is not null").select(
         document, page, "segment", F.col("position").alias("at"), F.when(F.col("table_id").isNotNull(), "table").otherwise("heading").alias("content_type"), *where, "table_id", F.array("text").alias("parts")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.config import DEFAULT, REFUSAL, Config
 from corpusflow.functions import guards
 from corpusflow.functions.text import is_blank, sentences, strip, token_f1
+from corpusflow.operators.scan import segmented_scan
 
 NO_ANSWER = f"I {REFUSAL} in the knowledge base to answer that reliably."
 
@@ -55,12 +56,13 @@ def context_sources(hits: DataFrame, query: str = "query_id", rank: str = "rank"
 
     Ranks and lengths alone are ordered and summed; texts meet only the places that fit.
     """
-    order = Window.partitionBy(query).orderBy(rank)
     block = lambda n: source_block(n, *(F.col(c) for c in ("document_name", "page_start", "section", "heading", "content_type", "table_id", "text")))
     solid = hits.where(~is_blank(F.coalesce("text", F.lit(""))))
-    sizes = solid.select(query, rank, F.length(block(F.lit(""))).alias("_n")).withColumn("source_id", F.row_number().over(order))
-    total = F.sum(F.col("_n") + F.length(F.col("source_id").cast("string"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    fits = sizes.withColumn("used_chars", total).where(F.col("used_chars") <= config.context_chars).drop("_n")
+    sizes = solid.select(query, rank, F.length(block(F.lit(""))).alias("_n"))
+    placed = segmented_scan(sizes, query, [rank], totals={"source_id": F.lit(1), "_upto": F.col("_n")})
+    n = F.col("source_id")
+    digits = sum((F.greatest(n - (10**d - 1), F.lit(0)) for d in range(1, 19)), n)  # of the numbers from 1 to source_id
+    fits = placed.withColumn("used_chars", F.col("_upto") + digits).where(F.col("used_chars") <= config.context_chars).withColumn("source_id", n.cast("int")).drop("_n", "_upto")
     return solid.join(fits, [query, rank]).withColumn("block", block(F.col("source_id")))
 
 
