@@ -37,7 +37,9 @@ _BLOCKS = frozenset(
 )
 _FURNITURE = frozenset("nav footer aside form button select menu dialog label fieldset head search".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_PARAGRAPHS = frozenset("p li blockquote pre dd dt figcaption".split())
+_PARAGRAPHS = frozenset("p li blockquote pre dd dt figcaption address".split())
+#: Parts of forms that are words of a sentence where they stand in one.
+_PHRASES = frozenset("label button output".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = _BLOCKS - _VOID - {"p"} - _HEADINGS
 _IN_TEXT = "script style noscript template svg title textarea iframe math object canvas audio video".split()
@@ -75,6 +77,16 @@ LABELLED_PAGES = [
     "<article><h1>+8</h1><p>+44</p><div>-0[1]</div><div>-0[1]</div><div>-0[1]</div><p>+31</p><p>+18</p><section class=comments><h2>-2</h2><div>-2</div><p>-40</p><div>-2</div><p>-18</p></section></article>",
     "<main><h1>+5</h1><p>+90</p><blockquote>+22</blockquote><p>+33[8]</p><form><label>-2</label><button>-1</button></form><div id=share>-2[3]</div></main><div class=sidebar><h3>-2</h3><p>-25</p></div>",
     "<article><p>+50</p><ol><li>+4[3]<li>+2[4]<li>+5[2]</ol><p>+48</p><h4>-2</h4><p>-0[8]</p><p>-0[9]</p></article>",
+    # paragraphs that are little but links, and the headings before them
+    "<nav>-0[3]</nav><article><h1>+3</h1><p>+1[2]</p><p>+24</p><p>+18</p></article><footer>-6</footer>",
+    "<article><h1>+5</h1><p>+2[5]</p><p>+40</p><p>+1[3]</p></article><div>-0[3]</div>",
+    "<article><h1>+2</h1><p>+1[2]</p></article><footer>-4[2]</footer>",
+    "<main><h1>+4</h1><p>+3[6]</p><p>+28</p><h2>+2</h2><p>+1[4]</p></main><footer>-2[1]</footer>",
+    "<nav>-0[4]</nav><article><h1>+6</h1><p>+2[3]</p><p>+1[1]</p><p>+9</p></article>",
+    "<article><h1>+1</h1><p>+10</p><p>+4</p></article>",
+    "<article><h1>+3</h1><p>+12</p><p>+5</p></article>",
+    "<article><h1>+2</h1><p>+8</p><address>+6</address></article>",
+    "<main><h1>+2</h1><p>+14</p><address>+4</address></main>",
     # names of furniture on an element that holds the story
     "<div id=header>-3</div><article class='post comment-open'><h1>+6</h1><p>+3</p><p>+45</p><p>+28</p></article><div class=footer>-8</div>",
     "<div class=widget-content><article><h1>+3</h1><p>+36</p><p>+12</p><p>+2</p></article></div><div class=widget><h3>-2</h3><ul><li>-0[4]<li>-0[3]</ul></div>",
@@ -202,6 +214,8 @@ def text_blocks(page: str) -> tuple[list[str], list[tuple]]:
             in_link = not token[2]
         elif name == "br":
             parts.append(" ")
+        elif name in _PHRASES and (paragraph or heading):
+            continue
         elif name in _BLOCKS:
             close()
             in_link = False

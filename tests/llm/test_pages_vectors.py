@@ -82,6 +82,25 @@ def test_story_beside_small_article_elements():
     assert htmltext.main_text(f"<body><article><h1>T</h1>{text}</article><footer>{story}</footer></body>", tree) == f"T\n{story}\n{story}"
 
 
+def test_links_and_form_elements_within_sentences():
+    """Sentences that are little but links, and labels and buttons that are words of one, stay with what stands around them."""
+    tree = htmltext.trained()
+    for page, text in {
+        "<article><h1>Title of it</h1><p>See <a href=x>one thing</a> <a href=y>two</a>.</p><p>And then the text goes on with a good many words in it.</p></article>": "Title of it\nSee one thing two.\nAnd then the text goes on with a good many words in it.",
+        "<article><h1>A head</h1><p>See <a>this page</a> and <a>that one</a>.</p></article><footer>Copyright of us all</footer>": "A head\nSee this page and that one.",
+        "<article><p>text <label>term</label> text</p><p>Fine.</p></article>": "text term text\nFine.",
+        "<p>text <label>term</label> text</p><p>Fine.</p>": "text term text\nFine.",
+        "<article><h2>Press <button>this</button> now</h2><p>It will open the door of the house for you.</p></article>": "Press this now\nIt will open the door of the house for you.",
+        "<article><h1>Where</h1><p>We live here, all of us, in one house.</p><address>12 High Street, Town</address></article>": "Where\nWe live here, all of us, in one house.\n12 High Street, Town",
+    }.items():
+        assert htmltext.main_text(page, tree) == text
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "<article><p>A text of some words in it.</p></article>", "x", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in htmltext.extract_text(rows).collect()] == [(1, "u", "A text of some words in it.", 27)]
+
+
 PAGE = """<html><head><title>T</title></head><body class="page has-sidebar"><header><h1>Site</h1></header>
 <nav><a href=/>Home</a></nav><div id="cookie-notice">We use cookies</div>
 <main><article><header><h1>Head &amp; line</h1></header><p>First   paragraph<br>goes&nbsp;on <a href="x>y">here</a>.</p><script>if (a<b) "</p>"</script>
