@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.config import DEFAULT, Config
 from corpusflow.functions.text import SPACE, WORD, let, strip
+from corpusflow.steps import materialize
 
 PAGE_NUMBER = r"(?i)^(?:\d{1,4}|[-–]\s*\d{1,4}\s*[-–]|(?:page|pg\.?)\s*\d{1,4})$"
 
@@ -49,10 +50,31 @@ def clean_page(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), untouched).otherwise(let(lines, finish))
 
 
+#: Hashes of likely repeats that are broadcast; more of them meet their lines by hash.
+BROADCAST_LINES = 500_000
+
+
+def _likely_lines(pages: DataFrame, document: str, page: str, text: str, config: Config) -> DataFrame:
+    """document, page, line of the stripped lines of some length whose hash enough rows of the document have, among them all repeated
+    lines.
+
+    A first pass counts hashes alone, with map-side combination; only lines with a count that a repeat must have are moved.
+    """
+    kept = F.filter(F.array_distinct(F.transform(F.split(text, "\n"), strip)), lambda x: F.length(x) >= config.repeat_min_chars)
+    lines = pages.select(document, page, F.explode(kept).alias("line")).withColumn("_hash", F.xxhash64(document, "line"))
+    likely = lines.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= config.repeat_min_pages).select("_hash")
+    likely = materialize(likely, "likely-lines")
+    few = likely.count() <= BROADCAST_LINES
+    return materialize(lines.join(F.broadcast(likely) if few else likely, "_hash", "left_semi").drop("_hash"), "repeats")
+
+
+def _repeats(likely: DataFrame, document: str, page: str, config: Config) -> DataFrame:
+    return likely.groupBy(document, "line").agg(F.count_distinct(page).alias("pages")).where(F.col("pages") >= config.repeat_min_pages)
+
+
 def repeated_lines(pages: DataFrame, document: str, page: str, text: str, config: Config = DEFAULT) -> DataFrame:
     """document, line, pages: stripped lines of some length that enough of a document's pages have."""
-    lines = pages.select(document, page, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), strip))).alias("line")).where(F.length("line") >= config.repeat_min_chars)
-    return lines.groupBy(document, "line").agg(F.count_distinct(page).alias("pages")).where(F.col("pages") >= config.repeat_min_pages)
+    return _repeats(_likely_lines(pages, document, page, text, config), document, page, config)
 
 
 def remove_repeated_lines(pages: DataFrame, document: str, page: str, text: str, config: Config = DEFAULT) -> DataFrame:
@@ -60,18 +82,21 @@ def remove_repeated_lines(pages: DataFrame, document: str, page: str, text: str,
 
     Repeated lines reach a page by a join on (document, line), so neither a document nor its set of lines must fit a task.
     """
-    lines = pages.select(document, page, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), strip))).alias("line")).where(F.length("line") >= config.repeat_min_chars)
-    hits = lines.join(repeated_lines(pages, document, page, text, config).drop("pages"), [document, "line"], "left_semi")
+    likely = _likely_lines(pages, document, page, text, config)
+    hits = likely.join(_repeats(likely, document, page, config).drop("pages"), [document, "line"], "left_semi")
     per_page = hits.groupBy(document, page).agg(F.collect_set("line").alias("_repeated"))
     joined = pages.join(per_page, [document, page], "left")
-    in_set = lambda x: F.coalesce(F.array_contains("_repeated", strip(x)), F.lit(False))
-    every = F.split(text, "\n")
-    return joined.withColumn("removed_lines", F.coalesce(F.filter(every, in_set), F.array().cast("array<string>"))).withColumn(text, F.array_join(F.filter(every, lambda x: ~in_set(x)), "\n")).drop("_repeated")
+    found = F.filter(F.split(text, "\n"), lambda x: F.array_contains("_repeated", strip(x)))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_repeated", strip(x))), "\n")
+    none = F.col("_repeated").isNull()
+    removed = F.when(none | F.col(text).isNull(), F.array().cast("array<string>")).otherwise(found)
+    return joined.withColumns({"removed_lines": removed, text: F.when(none, F.col(text)).otherwise(left)}).drop("_repeated")
 
 
 def clean_documents(pages: DataFrame, document: str, page: str, text: str, config: Config = DEFAULT) -> DataFrame:
-    """pages with cleaned_text and cleaning_ops added: each page cleaned, then repeated lines removed; text itself stays."""
-    cleaned = pages.withColumn("_clean", clean_page(F.col(text))).withColumn("cleaned_text", F.col("_clean.text"))
+    """pages with cleaned_text and cleaning_ops added: each page cleaned, then repeated lines removed; text itself stays. Cleaned pages
+    are written once, and read by what follows."""
+    cleaned = materialize(pages.withColumn("_clean", clean_page(F.col(text))).withColumn("cleaned_text", F.col("_clean.text")), "cleaned-pages")
     removed = remove_repeated_lines(cleaned, document, page, "cleaned_text", config)
     named = F.transform("removed_lines", lambda x: F.concat(F.lit("removed_repeated: "), F.substring(strip(x), 1, 40)))
     return removed.withColumn("cleaning_ops", F.concat("_clean.ops", named)).drop("_clean", "removed_lines")
