@@ -87,10 +87,13 @@ def guard_output(spark, sf_dir):
     return rows.select("conv_id", "turn", "r.severity", F.array_join(F.transform("r.warnings", lambda w: w["guard_name"]), ",").alias("warnings"))
 
 
-@query(f"""WITH c AS (SELECT id, q, e = 1 AS expected FROM (VALUES {_values([(a, b, int(c)) for a, b, c in CASES])}) v(id, q, e)), r AS (SELECT id, (({_input_sql("q", HELP_TOPICS, guards.BLOCKED)}) IS NULL) = expected AS ok FROM c)
+@query(f"""WITH c AS (SELECT id, q, e = 1 AS expected FROM (VALUES {_values([(a, b, int(c)) for a, b, c in CASES])}) v(id, q, e) UNION ALL SELECT upper(left(role, 3)) || conv_id, text, turn % 2 = 0 FROM conversations), r AS (SELECT id, (({_input_sql("q", HELP_TOPICS, guards.BLOCKED)}) IS NULL) = expected AS ok FROM c)
 SELECT left(id, 3) AS suite, count(*) AS total, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed FROM r GROUP BY 1""")
 def guard_suite_rollup(spark, sf_dir):
+    """Cases by hand, and every turn of the conversations, the even ones expected to pass."""
     cases = spark.createDataFrame(CASES, "id string, q string, expected boolean")
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.upper(F.left("role", F.lit(3))), F.col("conv_id").cast("string")).alias("id"), F.col("text").alias("q"), (F.col("turn") % 2 == 0).alias("expected"))
+    cases = cases.unionByName(turns)
     return evaluation.suite_rollup(cases.withColumn("ok", guards.check_input(F.col("q"), HELP_TOPICS)["passed"] == F.col("expected")), "id", "ok")
 
 
@@ -146,15 +149,27 @@ REPLIES = [
 ]
 
 
+#: A reply for each event, of four kinds: whole, without a score, without JSON, with scores as text and beyond the scale.
+_REPLY = """CASE event_id % 4 WHEN 0 THEN 'So: {"correctness": ' || event_id % 6 || ', "relevance": ' || event_id % 5 || ', "groundedness": 3, "completeness": ' || event_id % 3 || ', "hallucination_flag": ' || CASE WHEN event_id % 7 = 0 THEN 'true' ELSE 'false' END || '}'
+  WHEN 1 THEN '{"correctness": ' || event_id % 6 || '}' WHEN 2 THEN 'a score of ' || event_id ELSE '{"correctness": "' || event_id % 9 || '", "relevance": ' || -(event_id % 4) || ', "groundedness": 2, "completeness": 9, "hallucination_flag": true}' END"""
+
+
 def _score_sql(k: str) -> str:
     return f"greatest(0, least(5, coalesce(trunc(try_cast(json_extract_string(j, '$.{k}') AS DOUBLE))::INT, 0)))"
 
 
-@query(f"""WITH r AS (SELECT id, regexp_extract(reply, '(?s)(\\{{.*?\\}})', 1) AS j FROM (VALUES {_values(REPLIES)}) v(id, reply)), p AS (SELECT id, CASE WHEN json_valid(j) THEN j ELSE '{{}}' END AS j FROM r),
+@query(f"""WITH r AS (SELECT id, regexp_extract(reply, '(?s)(\\{{.*?\\}})', 1) AS j FROM (SELECT * FROM (VALUES {_values(REPLIES)}) v(id, reply) UNION ALL SELECT event_id::VARCHAR, {_REPLY} FROM events)), p AS (SELECT id, CASE WHEN json_valid(j) THEN j ELSE '{{}}' END AS j FROM r),
   s AS (SELECT id, {", ".join(f"{_score_sql(k)} AS {k}" for k in metrics.SCORES)}, json_extract_string(j, '$.hallucination_flag')::BOOLEAN AS hallucination_flag, {" AND ".join(f"json_extract_string(j, '$.{k}') IS NOT NULL" for k in (*metrics.SCORES, "hallucination_flag"))} AS complete FROM p)
 SELECT id, complete AS parsed, {", ".join(f"CASE WHEN complete THEN {k} END::INT AS {k}" for k in metrics.SCORES)}, CASE WHEN complete THEN hallucination_flag END AS hallucination_flag, CASE WHEN complete THEN round(({" + ".join(metrics.SCORES)}) / 20, 4) END AS normalized_score FROM s""")
 def judge_parse(spark, sf_dir):
-    rows = spark.createDataFrame(REPLIES, "id string, reply string").select("id", metrics.judge_scores(F.col("reply")).alias("s"))
+    """Replies by hand, and one for each event."""
+    e = F.col("event_id")
+    text = lambda n: (e % n).cast("string")
+    whole = F.concat(F.lit('So: {"correctness": '), text(6), F.lit(', "relevance": '), text(5), F.lit(', "groundedness": 3, "completeness": '), text(3), F.lit(', "hallucination_flag": '), F.when(e % 7 == 0, "true").otherwise("false"), F.lit("}"))
+    odd = F.concat(F.lit('{"correctness": "'), text(9), F.lit('", "relevance": '), (-(e % 4)).cast("string"), F.lit(', "groundedness": 2, "completeness": 9, "hallucination_flag": true}'))
+    reply = F.when(e % 4 == 0, whole).when(e % 4 == 1, F.concat(F.lit('{"correctness": '), text(6), F.lit("}"))).when(e % 4 == 2, F.concat(F.lit("a score of "), e.cast("string"))).otherwise(odd)
+    rows = spark.createDataFrame(REPLIES, "id string, reply string").unionByName(table(spark, sf_dir, "events").select(e.cast("string").alias("id"), reply.alias("reply")))
+    rows = rows.select("id", metrics.judge_scores(F.col("reply")).alias("s"))
     return rows.select("id", F.col("s").isNotNull().alias("parsed"), *(F.col(f"s.{k}").alias(k) for k in metrics.SCORES), "s.hallucination_flag", "s.normalized_score")
 
 
@@ -227,10 +242,10 @@ def file_stamps(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", evaluation.file_stamp(F.col("ts")).alias("stamp"))
 
 
-@query(f"""WITH {_FACT}, m AS (SELECT DISTINCT model FROM facts WHERE model <> 'm1') SELECT conv_id, model FROM conversations, m WHERE turn = 0""")
+@query(f"""WITH {_FACT}, m AS (SELECT DISTINCT model FROM facts WHERE model <> 'm1') SELECT conv_id, turn, model FROM conversations, m""")
 def questions_by_model(spark, sf_dir):
     models = _facts(spark, sf_dir).select("model").distinct().withColumn("oom_safe", F.col("model") != "m1")
-    return evaluation.questions_by_model(table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id"), models).select("conv_id", "model")
+    return evaluation.questions_by_model(table(spark, sf_dir, "conversations").select("conv_id", "turn"), models).select("conv_id", "turn", "model")
 
 
 @query(f"""WITH {_FACT}, o AS (SELECT model, round_even(avg(correctness), 4) AS old, round_even(avg(relevance), 4) AS new FROM facts GROUP BY model) SELECT model, new, old, round(new - old, 4) AS delta FROM o""")

@@ -108,17 +108,17 @@ def blocked_answers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", r["answer"].alias("answer"), r["blocked_by"].isNotNull().alias("stopped"), F.size(r["sources"]).alias("n_sources"))
 
 
-@query("""SELECT conv_id, md5(concat_ws(chr(10) || chr(10), 'CATEGORY: chat', 'QUESTION: ' || text, 'RUBRIC: be right', 'REFERENCE ANSWER: none', 'CANDIDATE ANSWER: ' || text, 'CONTEXT (first 2000 chars): ' || CASE WHEN conv_id % 3 = 0 THEN '(no context provided)' ELSE left(repeat(text, 30), 2000) END,
-  'Score the CANDIDATE ANSWER by the rubric. Return only a JSON object with the scores.')) AS digest FROM conversations WHERE turn = 0""")
+@query("""SELECT conv_id, turn, md5(concat_ws(chr(10) || chr(10), 'CATEGORY: chat', 'QUESTION: ' || text, 'RUBRIC: be right', 'REFERENCE ANSWER: none', 'CANDIDATE ANSWER: ' || text, 'CONTEXT (first 2000 chars): ' || CASE WHEN conv_id % 3 = 0 THEN '(no context provided)' ELSE left(repeat(text, 30), 2000) END,
+  'Score the CANDIDATE ANSWER by the rubric. Return only a JSON object with the scores.')) AS digest FROM conversations""")
 def judge_prompts(spark, sf_dir):
     text = F.col("text")
     prompt = rag.judge_prompt(F.lit("chat"), text, F.lit("be right"), F.lit("none"), text, F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.repeat(text, F.lit(30))))
-    return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.md5(prompt).alias("digest"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(prompt).alias("digest"))
 
 
-@query("SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, text)) AS digest FROM conversations WHERE turn < 4 GROUP BY conv_id")
+@query("SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id")
 def code_prompts(spark, sf_dir):
-    return rag.code_prompt(table(spark, sf_dir, "conversations").where("turn < 4"), "conv_id", "turn").select("conv_id", F.md5("context").alias("digest"))
+    return rag.code_prompt(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", F.md5("context").alias("digest"))
 
 
 @query("SELECT doc_id::VARCHAR AS id, source AS primary_source FROM documents WHERE doc_id % 4 > 0")

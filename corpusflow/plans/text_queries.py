@@ -9,6 +9,7 @@ from corpusflow.functions import ids
 from corpusflow.functions.text import sentences
 from corpusflow.operators import chunking, cleaning, evaluation, tables
 from corpusflow.shipping import ship_package
+from corpusflow.steps import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -287,14 +288,20 @@ BIG_TABLES = [
 ]
 
 
-@query(f"""WITH t AS (SELECT * FROM (VALUES {_values(BIG_TABLES)}) v(chunk_id, text)), l AS (SELECT *, string_split(text, chr(10)) AS lines FROM t),
+@query(f"""WITH t AS (SELECT * FROM (VALUES {_values(BIG_TABLES)}) v(chunk_id, text) UNION ALL
+    SELECT l_orderkey::VARCHAR, '| Part | Note |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || l_partkey || ' | ' || repeat(l_returnflag || ' ' || l_suppkey || ' ', 60) || '|', chr(10) ORDER BY l_linenumber, '| ' || l_partkey || ' | ' || l_returnflag || ' ' || l_suppkey || ' ') FROM lineitem GROUP BY l_orderkey), l AS (SELECT *, string_split(text, chr(10)) AS lines FROM t),
   r AS (SELECT *, CASE WHEN len(list_filter(lines, lambda x: starts_with({strip("x")}, '|-'))) = 0 THEN 1 ELSE list_position(list_transform(lines, lambda x: starts_with({strip("x")}, '|-')), true) END AS top FROM l),
   h AS (SELECT *, array_to_string(lines[1:top], chr(10)) || chr(10) AS header, lines[top + 1:] AS data FROM r),
   f AS (SELECT *, {_fold_sql("data", "header", "(length(a.cur) + length(u.p) + 1 > 1500 AND a.cur <> header)", "header || u.p || chr(10)", "a.cur || u.p || chr(10)")} AS f FROM h),
   p AS (SELECT chunk_id, length(text) > 1500 AS long, CASE WHEN length(text) <= 1500 OR len(data) = 0 THEN [text] ELSE list_append(f.chunks, {strip("f.cur")}) END AS c FROM f)
 SELECT chunk_id || CASE WHEN long THEN '_part' || (i + 1) ELSE '' END AS chunk_id, length(c[i + 1])::INT AS char_count, md5(c[i + 1]) AS digest FROM (SELECT *, unnest(range(len(c))) AS i FROM p)""")
 def oversize_split_table(spark, sf_dir):
+    """Tables by hand, and one for each order with a row of a long note for each of its (few) line items."""
     rows = spark.createDataFrame([(k, t, True, 0) for k, t in BIG_TABLES], "chunk_id string, text string, has_table boolean, char_count int")
+    line = F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), F.repeat(F.concat("l_returnflag", F.lit(" "), F.col("l_suppkey").cast("string"), F.lit(" ")), F.lit(60)), F.lit("|"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("l"))
+    text = F.concat(F.lit("| Part | Note |\n|---|---|\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    rows = materialize(rows.unionByName(lines.select(F.col("l_orderkey").cast("string").alias("chunk_id"), text.alias("text"), F.lit(True).alias("has_table"), F.lit(0).alias("char_count"))), "order-tables")
     return chunking.split_oversized(rows).select("chunk_id", "char_count", F.md5("text").alias("digest"))
 
 
@@ -322,13 +329,19 @@ WORDS = [
 ]
 
 
-@query(f"""WITH RECURSIVE w AS (SELECT page, trim(text) AS text, l::DOUBLE AS l, t::DOUBLE AS t, (t + h)::DOUBLE AS b, conf::DOUBLE AS conf, row_number() OVER (PARTITION BY page ORDER BY t, l) AS i FROM (VALUES {_values(WORDS)}) v(page, text, l, t, w, h, conf) WHERE trim(text) <> '' AND conf > 10),
+@query(f"""WITH RECURSIVE w AS (SELECT page, trim(text) AS text, l::DOUBLE AS l, t::DOUBLE AS t, (t + h)::DOUBLE AS b, conf::DOUBLE AS conf, row_number() OVER (PARTITION BY page ORDER BY t, l, t + h, trim(text)) AS i FROM (SELECT page::BIGINT AS page, text, l, t, w, h, conf FROM (VALUES {_values(WORDS)}) v(page, text, l, t, w, h, conf)
+    UNION ALL SELECT l_orderkey + 10, l_returnflag || l_linestatus || l_partkey, l_linenumber * 60, l_suppkey % 40, 40, 10 + l_linenumber % 3, l_quantity FROM lineitem) WHERE trim(text) <> '' AND conf > 10),
   walk AS (SELECT page, i, text, l, conf, 0 AS r, t AS top, b AS bottom FROM w WHERE i = 1 UNION ALL
     SELECT w.page, w.i, w.text, w.l, w.conf, CASE WHEN j THEN r ELSE r + 1 END, CASE WHEN j THEN least(top, w.t) ELSE w.t END, CASE WHEN j THEN greatest(bottom, w.b) ELSE w.b END
     FROM (SELECT walk.*, w.t AS wt, w.b AS wb, (least(bottom, w.b) - greatest(top, w.t)) > 0.4 * least(bottom - top, w.b - w.t) AS j FROM walk JOIN w ON w.page = walk.page AND w.i = walk.i + 1) s JOIN w ON w.page = s.page AND w.i = s.i + 1)
-SELECT page, r::INT AS row_index, count(*)::INT AS n_words, string_agg(text, ' ' ORDER BY l) AS row_text, round(avg(conf) / 100, 6) AS confidence FROM walk GROUP BY page, r""")
+SELECT page, r::INT AS row_index, count(*)::INT AS n_words, string_agg(text, ' ' ORDER BY l, text) AS row_text, round(avg(conf) / 100, 6) AS confidence FROM walk GROUP BY page, r""")
 def row_cluster(spark, sf_dir):
-    words = spark.createDataFrame(WORDS, "page int, text string, left int, top int, width int, height int, conf double")
+    """Word boxes by hand, and one for each line item, its order the page."""
+    words = spark.createDataFrame(WORDS, "page int, text string, left int, top int, width int, height int, conf double").withColumn("page", F.col("page").cast("long"))
+    n = F.col("l_linenumber").cast("int")
+    text = F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string"))
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 10).cast("long"), text, n * 60, (F.col("l_suppkey") % 40).cast("int"), F.lit(40), n % 3 + 10, F.col("l_quantity").cast("double"))
+    words = words.unionByName(items.toDF(*words.columns))
     return tables.cluster_rows(words, ["page"]).withColumn("confidence", F.round("confidence", 6))
 
 
