@@ -169,6 +169,12 @@ def write_report(ranking: DataFrame, winners: DataFrame, path: str, title: str =
     spark.createDataFrame([(render_report(ranking, winners, title).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_summaries(path: str, **summaries: DataFrame) -> None:
+    """Each rollup (a row per model or category) as JSON lines in one file in a folder of its name under `path`."""
+    for name, rows in summaries.items():
+        rows.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+
+
 def file_stamp(at: Column | None = None) -> Column:
     """Date and time as in file names, of a moment or of now."""
     return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss")

@@ -11,6 +11,8 @@ from corpusflow.config import DEFAULT, REFUSAL, Config
 from corpusflow.functions import guards
 from corpusflow.functions.text import is_blank, sentences, strip, token_f1
 from corpusflow.operators.scan import segmented_scan
+from corpusflow.operators.vectors import Embedder, text_similarity
+from corpusflow.sources.text_index import SparseIndex, bm25_search
 
 NO_ANSWER = f"I {REFUSAL} in the knowledge base to answer that reliably."
 
@@ -104,14 +106,15 @@ class ExtractiveGenerator:
 
 
 def answer(
-    questions: DataFrame, hits: DataFrame | None, generator: Generator, query: str = "query_id", question: str = "question", topics: list[str] | None = None, config: Config = DEFAULT, **guard_options
+    questions: DataFrame, hits: DataFrame | None, generator: Generator, query: str = "query_id", question: str = "question", topics: list[str] | None = None, config: Config = DEFAULT, embedder: Embedder | None = None, **guard_options
 ) -> DataFrame:
     """questions with context, n_sources, answer and guard results: input guards (given topics), context, generation, output
     guards.
 
     Blocked questions get the reason for an answer and no context; questions without context get the canonical refusal. With
     hits None nothing is retrieved: every question that passes goes to the generator with a plain system prompt, and none is
-    refused for want of context. A generator that adds `<out>_error` gives an answer of "Error: " and that text where it is
+    refused for want of context. With an embedder, answers are held against their context (grounding, the cosine of both) as well. A
+    generator that adds `<out>_error` gives an answer of "Error: " and that text where it is
     not null. Answers are stripped.
     """
     passed = F.struct(F.lit(True).alias("passed"), F.lit(None).cast("string").alias("blocked_by"), F.lit("").alias("reason"), F.lit("info").alias("severity"))
@@ -129,10 +132,24 @@ def answer(
     given = F.when(~F.col("input_check.passed"), F.col("input_check.reason"))
     given = (given if hits is None else given.when(F.col("context") == "", F.lit(NO_ANSWER))).otherwise(said)
     rows = rows.withColumn("answer", given).drop("answer_error").withColumn("n_sources", F.when(F.col("input_check.passed"), F.coalesce("n_sources", F.lit(0))).otherwise(0))
-    return rows.withColumn("output_check", guards.check_output(F.col("answer"), F.col("context") != "", config=config))
+    if embedder is None:
+        return rows.withColumn("output_check", guards.check_output(F.col("answer"), F.col("context") != "", config=config))
+    rows = text_similarity(rows, embedder, "answer", "context", "grounding")
+    return rows.withColumn("output_check", guards.check_output(F.col("answer"), F.col("context") != "", F.col("grounding"), config=config))
 
 
 def code_prompt(snippets: DataFrame, query: str = "query_id", rank: str = "rank") -> DataFrame:
     """query and the joined snippets (text) of a question about code, ready for a system prompt."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "text"))), lambda s: s["text"]), "\n\n---\n\n")
     return snippets.groupBy(query).agg(joined.alias("context"))
+
+
+def answer_code(questions: DataFrame, windows: DataFrame, index: SparseIndex, generator: Generator, k: int = 5, question: str = "question") -> DataFrame:
+    """questions (query_id, question) with context, n_sources and answer: the k windows of code (the index's key, text) that share the
+    most telling words with each question, its prompt, and what the generator makes of it. Without a window the answer is the refusal."""
+    hits = bm25_search(index, questions, question, k).join(windows.select(index.key, "text"), index.key)
+    counted = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sources"))
+    rows = questions.join(code_prompt(hits), "query_id", "left").join(counted, "query_id", "left").withColumns({"context": F.coalesce("context", F.lit("")), "n_sources": F.coalesce("n_sources", F.lit(0))})
+    rows = rows.withColumn("_system", system_prompt(F.col("context"))).withColumn("_user", user_prompt(F.col(question)))
+    rows = generator.generate(rows, "_system", "_user", "answer").drop("_system", "_user")
+    return rows.withColumn("answer", F.when(F.col("context") == "", F.lit(NO_ANSWER)).otherwise(strip(F.col("answer"))))

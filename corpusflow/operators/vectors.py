@@ -30,6 +30,20 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def sparse_dot(a: Column, b: Column) -> Column:
+    """Dot product of two sparse vectors, arrays of (d, w)."""
+    weights = F.map_from_entries(F.transform(b, lambda x: F.struct(x["d"], x["w"])))
+    return let(weights, lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(m, x["d"]), F.lit(0.0))))
+
+
+def text_similarity(df: DataFrame, embedder: Embedder, left: str, right: str, out: str) -> DataFrame:
+    """df with the cosine of two texts' vectors; null where either has none."""
+    rows = embedder.embed(embedder.embed(df, left, "_left"), right, "_right")
+    sparse = dict(rows.dtypes)["_left"].startswith("array<struct")
+    similarity = F.when((F.size("_left") > 0) & (F.size("_right") > 0), sparse_dot(F.col("_left"), F.col("_right"))) if sparse else 1 - cosine_distance(F.col("_left"), F.col("_right"))
+    return rows.withColumn(out, similarity).drop("_left", "_right")
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int = DEFAULT.top_k, where: Column | None = None, vec_id: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The k nearest rows to one query, filtered before distances are taken: an ordered limit, no full sort."""
     rows = vectors.where(where) if where is not None else vectors

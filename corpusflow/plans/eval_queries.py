@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from corpusflow.config import REFUSAL
 from corpusflow.functions import guards, metrics, text
 from corpusflow.operators import evaluation
 from corpusflow.plans.text_queries import _values, strip, table
+from corpusflow.steps import steps_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -214,6 +217,15 @@ def model_summary(spark, sf_dir):
     return evaluation.model_summary(_facts(spark, sf_dir), means=("recall", "correctness"), flag="flag")
 
 
+@query(ORACLES["model_summary"])
+def summary_files(spark, sf_dir):
+    """The rollup by model written as JSON and read back."""
+    path = f"{steps_dir(spark)}/summaries-{uuid.uuid4().hex}"
+    rows = model_summary(spark, sf_dir)
+    evaluation.write_summaries(path, models=rows)
+    return spark.read.schema(rows.schema).json(f"{path}/models")
+
+
 _TOKENS = ("prompt_tokens", "total_tokens")
 _SUMMARY = f"""{_FACT}, names AS (SELECT DISTINCT category FROM facts UNION ALL SELECT 'never'), grid AS (SELECT category, model FROM names, (SELECT DISTINCT model FROM facts)),
   g AS (SELECT category, model, count(*) AS questions, round_even(avg((correctness >= 3)::INT), 4) AS llm_accuracy, {", ".join(f"round_even(avg({c} / 5), 4) AS avg_{c}" for c in metrics.SCORES)}, round_even(avg(flag::INT), 4) AS hallucination_rate, round_even(avg(recall), 4) AS avg_recall,

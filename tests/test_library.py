@@ -115,6 +115,34 @@ def test_search_and_embedding(spark):
     assert meta == {"text": "apples and pears"}
 
 
+def test_answers_are_held_against_their_context(spark):
+    """With an embedder the grounding guard runs inside answers: it warns of one that has nothing of its context."""
+
+    class Says:
+        def generate(self, df, system, user, out):
+            return df.withColumn(out, F.when(F.col("query_id") == 1, "The exam fee is due in May, as always. [SOURCE 1]").otherwise("Purple bananas sing loudly beneath distant moons. [SOURCE 1]"))
+
+    asked = spark.createDataFrame([(1, "When is the exam fee due?"), (2, "When is the exam fee due?")], "query_id int, question string")
+    hits = spark.createDataFrame([(q, 1, "d", 1, "", "", "text", "", "The exam fee is due in May, as always, for all students.") for q in (1, 2)], "query_id int, rank int, document_name string, page_start int, section string, heading string, content_type string, table_id string, text string")
+    out = {r["query_id"]: r for r in rag.answer(asked, hits, Says(), embedder=vectors.HashingEmbedder(1024)).collect()}
+    names = {q: [w["guard_name"] for w in r["output_check"]["warnings"]] for q, r in out.items()}
+    assert names == {1: [], 2: ["ContextGroundingGuard"]} and out[1]["grounding"] > 0.5 > 0.15 > out[2]["grounding"]
+    plain = rag.answer(asked, hits, Says())
+    assert "grounding" not in plain.columns and all(not r["output_check"]["warnings"] for r in plain.collect())
+
+
+def test_questions_about_code(spark, tmp_path):
+    from corpusflow.sources.text_index import SparseIndex, bm25_bags
+
+    files_ = spark.createDataFrame([("a.py", "def parse_header(line):\n    return line.split()\n\ndef other():\n    pass"), ("b.py", "class Widget:\n    color = red")], "path string, body string")
+    windows = chunking.line_windows(files_, "path", "body", 2, 0).select(F.concat_ws("#", "path", "chunk_index").alias("id"), F.col("body").alias("text"))
+    index = SparseIndex(spark, f"file://{tmp_path}/code")
+    index.build(bm25_bags(windows, "id", "text"))
+    asked = spark.createDataFrame([(1, "What does parse_header return?"), (2, "zebra?")], "query_id int, question string")
+    out = {r["query_id"]: r for r in rag.answer_code(asked, windows, index, rag.ExtractiveGenerator(), 1).collect()}
+    assert "parse_header(line)" in out[1]["context"] and out[1]["n_sources"] == 1 and out[2]["n_sources"] == 0 and out[2]["answer"] == rag.NO_ANSWER
+
+
 def test_collection(spark, tmp_path):
     store = Collection(spark, f"file://{tmp_path}")
     assert store.count() == 0
