@@ -58,7 +58,7 @@ def _brute(table, asked, k, ok):
     return out
 
 
-@pytest.mark.parametrize("size, kind", [(600, "random"), (4000, "random"), (4000, "grouped")])
+@pytest.mark.parametrize("size, kind", [(600, "random"), (3000, "random"), (3000, "grouped")])
 def test_inverted_lists(spark, tmp_path, size, kind):
     """Recall of filtered and plain search at two sizes; later changes, filters that changed and rows that went are seen."""
     rng = np.random.Generator(np.random.PCG64(size))

@@ -26,7 +26,7 @@ def test_running_values(spark, keys):
 
 def test_one_long_document(spark):
     """A document with nearly all blocks is dealt evenly, and its headings and numbers reach across partitions."""
-    n = 200_000
+    n = 60_000
     blocks = spark.range(n).select(F.when(F.col("id") < n - 50, "long").otherwise(F.concat(F.lit("d"), F.col("id").cast("string"))).alias("doc"), (F.col("id") % 1000).alias("page"), F.floor(F.col("id") / 1000).cast("long").alias("position"))
     at = F.col("page") * 1000 + F.col("position")
     blocks = blocks.withColumns({"level": F.when(at == 7, 1).when(at % 90001 == 5, 2).when(at % 4001 == 0, 3).cast("int"), "text": F.concat(F.lit("x"), at.cast("string"))})
