@@ -58,7 +58,7 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def document_term_shards(docs: DataFrame, parts: int, shard_chars: int = 1 << 21) -> DataFrame:
+def document_term_shards(docs: DataFrame, parts: int, shard_chars: int = 1 << 20) -> DataFrame:
     """Shards in compressed sparse row form over their own word lists, with the documents' ids, parts, flags C and D (bits 4 and 8)
     and digests beside. starts, words (each row's ascending numbers, as steps) and counts are packed; lists are the shard's words
     by part of the dictionary, apart by spaces and compressed."""
@@ -209,7 +209,7 @@ def interactions(counts: DataFrame) -> DataFrame:
     return counts.mapInArrow(run, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in names))
 
 
-def filter_audit(docs: DataFrame, labels: DataFrame, shard_chars: int = 1 << 21, part_bytes: int = 16 << 20) -> DataFrame:
+def filter_audit(docs: DataFrame, labels: DataFrame, shard_chars: int = 1 << 20, part_bytes: int = 16 << 20) -> DataFrame:
     """Counts of every part, order of the five filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
     The dictionary has a part for every part_bytes of text, whose words are held at once."""
