@@ -115,6 +115,37 @@ def test_search_and_embedding(spark):
     assert meta == {"text": "apples and pears"}
 
 
+def test_a_block_join_holds_parts_of_its_blocks(spark):
+    """Equal to brute force with copies, zero, null and odd vectors; a task's memory follows its blocks and not their product."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    some = rng.normal(size=(60, 6)).tolist()
+    table = {i: some[rng.integers(0, 60)] for i in range(5000)} | {5000: None, 5001: [0.0] * 6, 5002: [1.0, None, 0.0, 0.0, 0.0, 0.0], 5003: [float("nan")] * 6}
+    asked = {i: v for i, v in table.items() if i % 500 == 0} | {9: [0.0] * 6, 7: table[7]}
+    rows = spark.createDataFrame(list(table.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.top_k_join(rows, spark.createDataFrame(list(asked.items()), "query_id long, embedding array<double>"), 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
+    unit = lambda v: np.array([x if x is not None else np.nan for x in v or [0.0] * 6]) / np.linalg.norm(np.array([x if x is not None else np.nan for x in v or [0.0] * 6]))
+    with np.errstate(invalid="ignore"):
+        units = {i: unit(v) for i, v in table.items()}
+        for q, v in asked.items():
+            d = [(float(x), i) for i, u in units.items() for x in [np.nan_to_num(1 - unit(v) @ u, nan=np.inf)]]
+            best = sorted((round(x, 12), i) for x, i in d)[:7]
+            assert [i for _, i in got[q]] == [i for _, i in best] and [x for x, _ in got[q]] == pytest.approx([x for x, _ in best], abs=1e-9)
+    block = lambda n: pa.table({"id": pa.array(range(n)), "vec": pa.array(list(rng.normal(size=(n, 8))), pa.list_(pa.float64()))})
+    a, b = block(10_000), block(2000)
+    tracemalloc.start()
+    assert vectors.nearest_of_blocks(5)(a, b).num_rows == 10_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak  # the product of the blocks alone is 160 MB
+
+
 def test_answers_are_held_against_their_context(spark):
     """With an embedder the grounding guard runs inside answers: it warns of one that has nothing of its context."""
 
