@@ -115,6 +115,14 @@ def test_search_and_embedding(spark):
     assert meta == {"text": "apples and pears"}
 
 
+def test_passages_are_searched_once(spark):
+    """The context reads its hits twice; the search is not run for each."""
+    from corpusflow.plans import registry
+
+    plan = registry.QUERIES["hash_embed_retrieve"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 0
+
+
 def test_a_block_join_holds_parts_of_its_blocks(spark):
     """Equal to brute force with copies, zero, null and odd vectors; a task's memory follows its blocks and not their product."""
     import tracemalloc
