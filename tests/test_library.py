@@ -49,6 +49,16 @@ def test_oversize(spark):
     assert out["h_part1"] == BIG_TABLES[2][1]  # header alone: nothing is lost
 
 
+def test_order_tables_move_what_their_lines_are_made_of(spark):
+    """Long notes are written where tables are split: none is shuffled or stored before."""
+    from corpusflow.plans.text_queries import oversize_split_table
+
+    plan = oversize_split_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" in plan and "order-tables" not in plan
+    moved = [line for line in plan.split("\n") if "collect_list" in line]
+    assert moved and not any("repeat(" in line for line in moved if "partial_collect_list" in line)
+
+
 def test_ids_and_markdown(spark):
     assert one(spark, ids.chunk_id(F.lit("abc12345xyz"), F.lit(3), F.lit(7))) == "abc12345_p0003_c0007"
     assert one(spark, ids.table_id(F.lit("abc12345"), F.lit(5), F.lit(2))) == "abc12345_p0005_t02"
