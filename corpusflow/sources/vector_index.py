@@ -6,12 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.operators.vectors import cosine_distance
 from corpusflow.sources.collections import GONE, Collection
 
+#: Entries and queries of the parts that a task compares at a time, and rows of best entries that it keeps.
+ENTRY_PART, QUERY_PART, BEST_ROWS = 4_096, 512, 1_000_000
+
 
 @dataclass(frozen=True)
 class Quantizer:
@@ -24,7 +28,7 @@ class Quantizer:
     rounds: int = 8
     recall: float = 0.97
     k: int = 5
-    list_rows: int = 200_000
+    list_rows: int = 100_000
     query_block: int = 2000
 
 
@@ -68,17 +72,16 @@ class Codebooks:
         parts = self._parts(unit - self.lists[own])
         return own, np.stack([_nearest(parts[:, j], self.books[j]) for j in range(len(self.books))], axis=1).astype(np.uint8)
 
-    def tables(self, residual: np.ndarray) -> np.ndarray:
-        """Squared distances of each part of the residuals (queries, parts, codes) to the codes' centres."""
-        return ((self._parts(residual)[:, :, None, :] - self.books[None]) ** 2).sum(axis=3)
+    def decode(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors, in single precision, that lists and codes stand for."""
+        parts = self.books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)[:, : self.dims]
+        return (self.lists[own] + parts).astype(np.float32)
 
-    def estimates(self, query: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
-        """Estimated squared distances (queries, entries) within one list."""
-        tables = self.tables(query - self.lists[number])
-        out = np.zeros((len(query), len(codes)))
-        for j in range(codes.shape[1]):
-            out += tables[:, j][:, codes[:, j]]
-        return out
+
+def estimates(query: np.ndarray, decoded: np.ndarray) -> np.ndarray:
+    """Estimated squared distances (queries, entries): those to the decoded vectors, as one product of matrices."""
+    query = query.astype(np.float32)
+    return (query**2).sum(axis=1)[:, None] + (decoded**2).sum(axis=1) - 2 * (query @ decoded.T)
 
 
 def fit(x: np.ndarray, total: int, q: Quantizer) -> Codebooks:
@@ -105,7 +108,7 @@ def fit(x: np.ndarray, total: int, q: Quantizer) -> Codebooks:
     _, codes = made.encode(x)
     guess = np.empty_like(exact)
     for number in np.unique(own):
-        guess[:, own == number] = made.estimates(asked, number, codes[own == number])
+        guess[:, own == number] = estimates(asked, made.decode(own[own == number], codes[own == number]))
     ranks = np.argsort(np.argsort(guess, axis=1, kind="stable"), axis=1)
     needed = np.sort(np.take_along_axis(ranks, best, axis=1).ravel())
     depth = int(needed[min(len(needed) - 1, int(np.ceil(q.recall * len(needed))) - 1)]) + 1
@@ -125,6 +128,56 @@ def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, x[good] / size[good, None]
 
 
+def nearest_entries(books: Codebooks, depth: int, key: str):
+    """Function of a table of entries (key, list, code) and one of queries (query_id, lists, unit): query_id, key and estimate of each query's
+    `depth` best entries in its lists, ties to the smaller key.
+
+    Parts of the entries meet parts of the queries; what cannot be among the `depth` best so far is left out at once. So a task holds its two tables,
+    the best so far, and one part's estimates, however many lists there are and however long they are."""
+
+    def matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+        column = column.combine_chunks()
+        size = len(column[0].as_py())
+        return np.frombuffer(column.buffers()[2], np.uint8)[column.offset * size : (column.offset + len(column)) * size].view(kind).reshape(len(column), -1)
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, asked = left.column(key).combine_chunks(), right.column("query_id").combine_chunks()
+        q, e, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(ids) and len(asked):
+            own, codes, unit = left.column("list").to_numpy(), matrix(left.column("code"), "u1"), matrix(right.column("unit"), "<f8")
+            place = np.argsort(pa.compute.sort_indices(ids).to_numpy())
+            order = np.argsort(own, kind="stable")
+            probing = np.zeros((len(asked), len(books.lists)), bool)
+            probing[np.arange(len(asked))[:, None], right.column("lists").combine_chunks().flatten().to_numpy().reshape(len(asked), -1)] = True
+            parts = range(0, len(asked), QUERY_PART)
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(min(QUERY_PART, len(asked) - lo), np.inf)) for lo in parts]
+            for start in range(0, len(ids), ENTRY_PART):
+                at = order[start : start + ENTRY_PART]
+                decoded, bounds = books.decode(own[at], codes[at]), np.append(np.flatnonzero(np.diff(own[at], prepend=-1)), len(at))
+                for n, lo in enumerate(parts):
+                    best_q, best_e, best_d, most = best[n]
+                    guess = np.full((len(most), len(at)), np.inf, np.float32)
+                    for a, z in zip(bounds[:-1], bounds[1:]):
+                        some = np.flatnonzero(probing[lo : lo + QUERY_PART, own[at[a]]])
+                        if len(some):
+                            guess[some, a:z] = estimates(unit[lo + some], decoded[a:z])
+                    if len(at) > depth and np.isinf(most).any():
+                        most = np.minimum(most, np.partition(guess, depth - 1, axis=1)[:, depth - 1] + 2e-6)
+                    at_q, at_e = np.nonzero((guess <= most[:, None] + 2e-6) & np.isfinite(guess))
+                    all_q, all_e = np.append(best_q, at_q), np.append(best_e, at[at_e])
+                    all_d = np.append(best_d, np.round(guess[at_q, at_e].astype(float), 6))
+                    by = np.lexsort((place[all_e], all_d, all_q))
+                    all_q, all_e, all_d = all_q[by], all_e[by], all_d[by]
+                    rank = np.arange(len(all_q)) - np.searchsorted(all_q, all_q)
+                    most = np.full(len(most), np.inf)
+                    most[all_q[rank == depth - 1]] = all_d[rank == depth - 1]
+                    best[n] = all_q[rank < depth], all_e[rank < depth], all_d[rank < depth], most
+            q, e, found = ([g[i] + (lo if i == 0 else 0) for lo, g in zip(parts, best)] for i in range(3))
+        return pa.table({"query_id": asked.take(pa.array(np.concatenate(q))), key: ids.take(pa.array(np.concatenate(e))), "estimate": pa.array(np.concatenate(found))})
+
+    return nearest
+
+
 class VectorIndex:
     """Inverted lists over a collection's vectors.
 
@@ -134,7 +187,8 @@ class VectorIndex:
     query's best entries by estimated distance, and compares those exactly by the collection's current rows; so entries of rows
     that were replaced or taken away give no wrong result, and neither does a filter by a column that has changed.
 
-    Vectors that are null, zero or not finite take no part. A list with more than `list_rows` rows is many tasks.
+    Vectors that are null, zero or not finite take no part. Lists are dealt to tasks of about `list_rows` entries, a longer list to many, and each
+    task sends `depth` entries a query at most, so what is moved and held follows from queries and tasks, not from the lists.
     """
 
     def __init__(self, collection: Collection, column: str = "embedding", filters: tuple[str, ...] = (), q: Quantizer = Quantizer()):
@@ -208,55 +262,47 @@ class VectorIndex:
         return out
 
     def probed(self, queries: DataFrame, query_id: str, vector: str) -> DataFrame:
-        """query_id, list and unit (the query's vector): the lists nearest to each query."""
+        """query_id, lists (array) and unit (the query's vector): the lists nearest to each query."""
         books = self.load()
 
         def run(batches):
             for batch in batches:
                 at, unit = _unit(batch.column(1))
                 order = np.argsort((books.lists**2).sum(axis=1) / 2 - unit @ books.lists.T, axis=1)[:, : books.probes] if len(at) else np.zeros((0, 1), np.int64)
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(at, n))), pa.array(order.ravel(), pa.int32()), pa.array([u.tobytes() for u in unit for _ in range(n)], pa.binary())], ["query_id", "list", "unit"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32())), pa.array([u.tobytes() for u in unit], pa.binary())], ["query_id", "lists", "unit"])
 
-        return queries.select(query_id, vector).mapInArrow(run, f"query_id {dict(queries.dtypes)[query_id]}, list int, unit binary")
+        return queries.select(query_id, vector).mapInArrow(run, f"query_id {dict(queries.dtypes)[query_id]}, lists array<int>, unit binary")
 
     def touched(self, queries: DataFrame, query_id: str = "query_id", vector: str = "embedding") -> float:
         """Share of the entries whose codes a query reads, on average."""
         sizes = self.entries().groupBy("list").count()
-        asked = self.probed(queries, query_id, vector).drop("unit")
+        asked = self.probed(queries, query_id, vector).select("query_id", F.explode("lists").alias("list"))
         read = asked.join(sizes, "list").groupBy("query_id").agg(F.sum("count").alias("n")).agg(F.avg("n")).first()[0] or 0
         return read / max(1, self.entries().count())
 
-    def search(self, queries: DataFrame, k: int, where: Column | None = None, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
-        """query_id, the collection's key, distance (cosine, exact) and rank of the k nearest rows found that fit `where`, a condition on
-        filter columns."""
+    def guesses(self, queries: DataFrame, depth: int, where: Column | None = None, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+        """query_id, key and estimate: the `depth` best entries of each query in the lists of each task."""
         books, key, q = self.load(), self.collection.key, self.q
         probes = self.probed(queries, query_id, vector)
-        lists = sorted(r[0] for r in probes.select("list").distinct().collect())  # most_lists at most
+        lists = sorted(r[0] for r in probes.select(F.explode("lists").alias("list")).distinct().collect())  # most_lists at most
         entries = self.entries().where(F.col("list").isin(lists))
         entries = entries.where(where) if where is not None else entries
-        sizes = entries.groupBy("list").count().agg(F.max("count")).first()[0] or 0
-        parts, blocks = max(1, -(-sizes // q.list_rows)), max(1, -(-queries.count() // q.query_block))
-        spread = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-        depth, kinds = max(books.depth, k), (dict(queries.dtypes)[query_id], dict(entries.dtypes)[key])
-
-        def best(left: pa.Table, right: pa.Table) -> pa.Table:
-            ids, asked = left.column(key).combine_chunks(), right.column("query_id").combine_chunks()
-            q_at, e_at, found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            if left.num_rows and right.num_rows:
-                codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
-                unit = np.frombuffer(b"".join(right.column("unit").to_pylist())).reshape(right.num_rows, -1)
-                take, number = min(depth, len(codes)), left.column("list")[0].as_py()
-                for lo in range(0, len(unit), 64):
-                    guess = books.estimates(unit[lo : lo + 64], number, codes)
-                    top = np.argpartition(guess, take - 1, axis=1)[:, :take]
-                    q_at, e_at = np.append(q_at, np.repeat(np.arange(lo, lo + len(guess)), take)), np.append(e_at, top.ravel())
-                    found = np.append(found, np.take_along_axis(guess, top, axis=1).ravel())
-            return pa.table({"query_id": asked.take(pa.array(q_at)), key: ids.take(pa.array(e_at)), "estimate": pa.array(found)})
-
-        left = spread(entries.select(key, "list", "code"), "e", parts, "q", blocks)
-        right = spread(probes, "q", blocks, "e", parts)
-        guesses = left.groupBy("list", "e", "q").cogroup(right.groupBy("list", "e", "q")).applyInArrow(best, f"query_id {kinds[0]}, `{key}` {kinds[1]}, estimate double")
+        total, longest = entries.groupBy("list").count().agg(F.sum("count"), F.max("count")).first()
+        parts = max(1, -(-(longest or 0) // q.list_rows))  # of each list
+        groups = max(1, -(-(total or 0) // (q.list_rows * parts)))
+        blocks = max(1, -(-queries.count() // max(1, min(q.query_block, BEST_ROWS // depth))))
+        left = entries.select(F.pmod(F.xxhash64("list"), F.lit(groups)).alias("g"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("e"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"), key, "list", "code")
+        tasks = F.explode(F.sequence(F.lit(0), F.lit(groups * parts - 1))).alias("t")
+        right = probes.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("q"), tasks, "query_id", "lists", "unit")
+        right = right.select(F.floor(F.col("t") / parts).alias("g"), (F.col("t") % parts).cast("long").alias("e"), "q", "query_id", "lists", "unit")
+        both = left.groupBy("g", "e", "q").cogroup(right.groupBy("g", "e", "q"))
+        return both.applyInArrow(nearest_entries(books, depth, key), f"query_id {dict(probes.dtypes)['query_id']}, `{key}` {dict(entries.dtypes)[key]}, estimate double")
+
+    def search(self, queries: DataFrame, k: int, where: Column | None = None, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+        """query_id, the collection's key, distance (cosine, exact) and rank of the k nearest rows found that fit `where`, a condition on
+        filter columns."""
+        key, depth = self.collection.key, max(self.load().depth, k)
+        guesses = self.guesses(queries, depth, where, query_id, vector)
         order = Window.partitionBy("query_id").orderBy("estimate", key)
         few = guesses.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= depth).select("query_id", key).distinct()
         rows = self.collection.read()

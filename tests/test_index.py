@@ -150,3 +150,44 @@ def test_block_max_search_is_exact(spark, tmp_path):
     known, live = index.live_blocks(frame.select("query_id", text_index.bag_of(text_index.runs(text_index.word_tokens(F.col("question")))).alias("bag")), 7, text_index.inverse_frequency)
     every = known.join(index._table("blocks"), "value").count()
     assert live.count() < every
+
+
+def test_a_tasks_best_entries_follow_queries_not_lists(spark, tmp_path):
+    """What tasks send on and hold is bounded by queries, however many lists there are; equal entries are taken by id."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpusflow.sources import vector_index
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    store = Collection(spark, f"file://{tmp_path}", buckets=2)
+    schema = "id long, embedding array<double>"
+    x = rng.normal(size=(3000, 16))
+    store.add(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], schema))
+    index = VectorIndex(store)
+    index.build()
+    books = index.load()
+    assert len(books.lists) > 40 and books.probes > 10
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(30, 16)).tolist())], "query_id long, embedding array<double>")
+    assert index.guesses(queries, 20).count() == 30 * 20  # one task's share; by lists it would be several hundred a query
+
+    n, asked = 60_000, 1000
+    unit = x[:asked] / np.linalg.norm(x[:asked], axis=1)[:, None]
+    own, codes = books.encode(np.repeat(unit, 60, axis=0))
+    ids = np.arange(n) * 7 % n  # not in order
+    left = pa.table({"id": ids, "list": pa.array(own, pa.int32()), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
+    every = np.tile(np.arange(len(books.lists), dtype=np.int32), (asked, 1))
+    right = pa.table({"query_id": np.arange(asked), "lists": pa.array(list(every), pa.list_(pa.int32())), "unit": pa.array([u.tobytes() for u in unit], pa.binary())})
+    tracemalloc.start()
+    got = vector_index.nearest_entries(books, 20, "id")(left, right)
+    assert tracemalloc.get_traced_memory()[1] < 150e6 and got.num_rows == 20 * asked
+    tracemalloc.stop()
+    q, e, d = (got.column(c).to_numpy() for c in ("query_id", "id", "estimate"))
+    decoded = books.decode(own[::60], codes[::60]).astype(float)
+    full = ((unit[:40, None] - decoded[None]) ** 2).sum(axis=2)
+    for i in range(40):
+        assert np.abs(np.sort(d[q == i]) - np.sort(np.repeat(full[i], 60))[:20]).max() < 1e-5
+        # all copies of the nearest text are equal: the smallest ids of it
+        same = np.flatnonzero((np.repeat(decoded, 60, axis=0) == decoded[full[i].argmin()]).all(axis=1))
+        assert sorted(e[q == i].tolist()) == sorted(ids[same].tolist())[:20]
