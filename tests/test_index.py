@@ -191,3 +191,35 @@ def test_a_tasks_best_entries_follow_queries_not_lists(spark, tmp_path):
         # all copies of the nearest text are equal: the smallest ids of it
         same = np.flatnonzero((np.repeat(decoded, 60, axis=0) == decoded[full[i].argmin()]).all(axis=1))
         assert sorted(e[q == i].tolist()) == sorted(ids[same].tolist())[:20]
+
+
+def test_segments_are_inverted_and_summed_where_their_rows_are(spark, tmp_path, monkeypatch):
+    """Many segments, blocks of queries: the index moves no posting, a row is summed in its segment alone, and results are as with one segment."""
+    import random
+
+    from corpusflow.sources import text_index
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(["the"] * rng.randint(0, 5) + rng.choices(words, k=rng.randint(0, 40)))) for i in range(900)] + [(5000 + i, "the same w1 w2 text") for i in range(40)] + [(9000, None), (9001, "")]
+    asked = [(i, " ".join(["the"] + rng.choices(words, k=rng.randint(1, 15)))) for i in range(30)] + [(90, "the"), (91, "none"), (92, None), (93, "same w1")]
+    frame = spark.createDataFrame(asked, "query_id long, question string")
+    monkeypatch.setattr(text_index, "SEGMENT", 300)
+    monkeypatch.setattr(text_index, "BUCKET_ROWS", 90)
+    monkeypatch.setattr(text_index, "QUERY_BLOCK", 7)
+    index = text_index.SparseIndex(spark, f"file://{tmp_path}/i", "doc_id")
+    index.build(text_index.bm25_bags(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"))
+    blocks = index._table("blocks").collect()
+    of = {}
+    for b in blocks:
+        for i in b["ids"]:
+            of.setdefault(i, set()).add(b["segment"])
+    assert all(len(s) == 1 for s in of.values()) and 20 < len({b["segment"] for b in blocks}) < 300
+    bags = {i: dict.fromkeys(w for w in (t or "").split() if len(w) > 1) for i, t in docs}
+    assert sorted((b["value"], i) for b in blocks for i in b["ids"]) == sorted((w, i) for i, bag in bags.items() for w in bag)
+    got = {q: [] for q, _ in asked}
+    for r in text_index.bm25_search(index, frame, "question", 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-round(r["score"], 6), r["doc_id"]))
+    expected = _bm25(docs, asked, 5)
+    assert all([s for s, _ in got[q]] == pytest.approx([s for s, _ in expected[q]], abs=2e-6) for q in expected)
+    assert [i for _, i in got[93]] == [i for _, i in expected[93]] and got[91] == got[92] == []
